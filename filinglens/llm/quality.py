@@ -102,7 +102,8 @@ def fit(
     n = rows.count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1e6 * max_rows / n))
-    rows = rows.select("label", stats).repartition(8).persist()
+    # dealt by id and sorted, so that the same rows give the same model wherever they were read
+    rows = rows.repartition(8, key).sortWithinPartitions(key, stats).select("label", stats).persist()
     try:
         seen = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         good, all_ = seen.get(1.0, 0), sum(seen.values())

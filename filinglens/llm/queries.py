@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import ann, decontamination, html_wrapper, lines, mixing, ngram_join, quality, sharding, token_counts, warc
 from .base import materialise, shared_dir
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
