@@ -79,6 +79,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return labels
 
 
+#: Rows that one window of ``ranked`` takes, about.
+BUCKET_ROWS = 8_000
+
+
+def buckets_for(df: DataFrame) -> int:
+    """How many ranges to deal the rows of ``df`` over: as many more as there are more rows."""
+    return max(64, -(-df.count() // BUCKET_ROWS))
+
+
 def ranked(
     df: DataFrame, groups: list[Column], spread: Column, order: list[Column], rank: str, rows: str | None = None,
     size: Column | None = None, running: str | None = None, buckets: int = 64,

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise, ranked, unit_hash, words_sql
+from .base import buckets_for, materialise, ranked, unit_hash, words_sql
 
 SEED = "mix-1"
 #: Production targets: this share of the largest possible entropy, but no source more often than this.
@@ -79,7 +79,7 @@ def weights(sources: DataFrame, alpha: float, budget: int | None = None) -> Data
 
 def mix(
     docs: DataFrame, budget: int | None = None, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS,
-    source: str = "source", key: str = "doc_id", text: str = "text", seed: str = SEED, buckets: int = 64,
+    source: str = "source", key: str = "doc_id", text: str = "text", seed: str = SEED, buckets: int | None = None,
 ) -> DataFrame:
     """Rows of ``docs`` plus ``epoch`` (from 0): a source due e times is given as floor(e) whole permutations and the beginning
     of one more, up to its token budget.
@@ -92,6 +92,7 @@ def mix(
     key, then text; sources without tokens are taken once; no rows give no rows; a column ``epoch`` is replaced.
     """
     docs = docs.drop("epoch")
+    buckets = buckets or buckets_for(docs)
     sources = materialise(source_tokens(docs, source, text))
     alpha = exponent(sources, entropy_share, max_repeats)
     plan = weights(sources, alpha, budget).select(

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import free_name, ranked, unit_hash
+from .base import buckets_for, free_name, ranked, unit_hash
 
 SEED = "shard-1"
 
 
 def interleave(
     docs: DataFrame, shards: int = 8, stratum: str = "source", key: str = "doc_id", text: str = "text",
-    seed: str = SEED, buckets: int = 64,
+    seed: str = SEED, buckets: int | None = None,
 ) -> DataFrame:
     """Add ``shard`` (int) and ``slot`` (long) to every row; nothing else changes.
 
@@ -26,6 +26,7 @@ def interleave(
     leave shards empty. Columns called ``shard`` or ``slot`` are replaced.
     """
     docs = docs.drop("shard", "slot")
+    buckets = buckets or buckets_for(docs)
     u, r, n, f, pos, total = (free_name(docs, x) for x in ("_u", "_r", "_n", "_f", "_pos", "_total"))
     name = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
     df = docs.withColumn(u, unit_hash(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))))
