@@ -70,7 +70,7 @@ def year(title: Column) -> Column:
 def company_name(title: Column, ticker: Column) -> Column:
     """What stands before the ticker, less an opening bracket; the ticker if nothing does."""
     quoted = F.concat(F.lit(r"(?i)^(.+?)\s*[\(\[]?\Q"), ticker, F.lit(r"\E"))
-    found = F.trim(F.regexp_extract(title, quoted, 1))
+    found = F.trim(F.call_function("regexp_extract", title, quoted, F.lit(1)))
     return F.when(found != "", found).otherwise(ticker)
 
 

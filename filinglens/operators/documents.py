@@ -43,10 +43,11 @@ def top_sentences(scored: DataFrame, n: int = 20, key: str = "doc_id") -> DataFr
 def tally_terms(scored: DataFrame, n: int = 25, key: str = "doc_id") -> DataFrame:
     """(key, dimension, term, source, count, rank): once a sentence and source; the source is that of the last hit."""
     lists = [("growth", "phrase", "growth_phrases"), ("growth", "LM", "growth_lm"), ("risk", "phrase", "risk_phrases"), ("risk", "LM", "risk_lm"), ("cost_pressure", "phrase", "cost_phrases")]
-    hits = F.flatten(F.array(*[
-        F.transform(c, lambda x, dim=dim, src=src: F.struct(F.lit(dim).alias("dimension"), F.lit(src).alias("source"), F.lit(1 if src == "LM" else 0).alias("late"), x.alias("term")))
-        for dim, src, c in lists
-    ]))
+    def as_hits(dim: str, src: str, c: str) -> Column:
+        late = F.lit(1 if src == "LM" else 0).alias("late")
+        return F.transform(c, lambda x: F.struct(F.lit(dim).alias("dimension"), F.lit(src).alias("source"), late, x.alias("term")))
+
+    hits = F.flatten(F.array(*[as_hits(*x) for x in lists]))
     rows = scored.select(key, "sent_id", F.inline(hits))
     counts = rows.groupBy(key, "dimension", "term").agg(
         F.max_by("source", F.struct("sent_id", "late")).alias("source"), F.count(F.lit(1)).alias("count")

@@ -275,7 +275,7 @@ QA = f"regexp_replace(substr(text, length(regexp_extract(text, '(?is)^.*?{cleani
 TURNS = CALL + f""",
 tp AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, string_split(regexp_replace({QA}, '{cleaning.SPEAKER.replace("'", "''")}', chr(1) || '\\0', 'g'), chr(1)) AS p FROM calls)),
 tq AS (SELECT doc_id, pos, trim(regexp_extract(piece, '{cleaning.SPEAKER.replace("'", "''")}', 1)) AS speaker, trim(regexp_extract(piece, '{cleaning.SPEAKER.replace("'", "''")}', 2)) AS title,
- regexp_replace(substr(piece, strpos(piece, chr(10))), '^\\s+|\\s+$', '', 'g') AS text FROM tp WHERE pos > 0),
+ regexp_replace(regexp_replace(piece, '(?s)\\A(?:{cleaning.SPEAKER.replace("'", "''")})', ''), '^\\s+|\\s+$', '', 'g') AS text FROM tp WHERE pos > 0),
 turns AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS turn_idx, speaker, title,
  CASE WHEN regexp_matches(lower(title), 'analyst|research|capital|securities|bank') THEN 'Q' ELSE 'A' END AS role, text FROM tq WHERE text <> '')"""
 
@@ -327,9 +327,11 @@ def j2_stale_version(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
 def j1_stream(spark: SparkSession, sf: str) -> DataFrame:
-    sink, checkpoint = c.scratch(spark), c.scratch(spark)
+    source, sink, checkpoint = (c.scratch(spark) for _ in range(3))
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
     process = lambda df: df.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"))
-    d = table(spark, sf, "documents")
-    incremental.process_new_files(spark, f"{sf}/documents.parquet", d.schema.simpleString().removeprefix("struct<").removesuffix(">"), process, sink, checkpoint)
+    for k in range(2):  # two arrivals of files, each processed once
+        d.where(F.col("doc_id") % 2 == k).write.mode("append").parquet(source)
+        incremental.process_new_files(spark, source, d.schema, process, sink, checkpoint)
     return spark.read.parquet(sink)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 KEYS = ["ticker", "form_type", "filing_date"]
 
@@ -23,7 +24,7 @@ def stale(processed: DataFrame, version: str) -> DataFrame:
 
 
 def process_new_files(
-    spark: SparkSession, source: str, schema: str, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, form: str = "parquet",
+    spark: SparkSession, source: str, schema: str | StructType, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, form: str = "parquet",
 ) -> None:
     """Process every file of ``source`` that came since the last call, once, and append the results to ``sink``.
 
