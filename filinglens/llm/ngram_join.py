@@ -115,53 +115,60 @@ def _index(runs: int, depth: int, k: int):
 
 
 class _Forest:
-    """Labels of the rows of one chunk; joins are recorded as spanning edges."""
+    """Union-find over numbers; the smaller side is relabelled, so that labels are always final."""
 
     def __init__(self, n: int) -> None:
-        self.label, self.members, self.edges = np.arange(n), {}, []
+        self.label, self.members = np.arange(n), {}
 
-    def join(self, pairs: Iterable[tuple[int, int]]) -> None:
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
         label = self.label
-        for i, j in pairs:
-            a, b = label[i], label[j]
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = label[x], label[y]
             if a == b:
                 continue
             ma, mb = self.members.pop(a, None) or [a], self.members.pop(b, None) or [b]
             if len(ma) < len(mb):
-                a, b, ma, mb = b, a, mb, ma
+                a, ma, mb = b, mb, ma
             label[mb] = a
             self.members[a] = ma + mb
-            self.edges.append((i, j))
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """An edge from every number to the smallest of its set, but for that itself. The same set found again, in another
+        run or bucket, gives the same edges."""
+        n = len(self.label)
+        root = np.full(n, n)
+        np.minimum.at(root, self.label, np.arange(n))
+        i = np.flatnonzero(root[self.label] != np.arange(n))
+        return i, root[self.label[i]]
 
 
 def _plausible(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Brute force over the small buckets of a sorted partition, by sketches: spanning edges of what is plausible.
+    """Brute force over the small buckets of a sorted partition, by sketches: star edges of what is plausible.
 
     All pairs at one distance in sorted order are compared at once, so thousands of small buckets take one numpy
-    call. No pair leaves the task: at most one edge a row does.
+    call. No pair leaves the task: at most one edge a document does.
     """
     need = math.ceil(PLAUSIBLE * SKETCH)
     held: list[pd.DataFrame] = []
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
+        ids, node = np.unique(pdf["id"].to_numpy(), return_inverse=True)
         bucket = pdf.groupby(["bucket", "bi", "bj"], sort=False).ngroup().to_numpy()
         cross, side = (pdf["bi"] != pdf["bj"]).to_numpy(), pdf["side"].to_numpy()
         sk = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint16).reshape(len(pdf), SKETCH)
-        forest = _Forest(len(pdf))
+        forest = _Forest(len(ids))
         for d in range(1, len(pdf)):
             i = np.flatnonzero(bucket[:-d] == bucket[d:])
             if not len(i):
                 break
             i = i[~cross[i] | (side[i] != side[i + d])]
-            i = i[forest.label[i] != forest.label[i + d]]
+            i = i[forest.label[node[i]] != forest.label[node[i + d]]]
             if len(i):
                 agree = np.concatenate([(sk[x] == sk[x + d]).sum(axis=1) for x in np.array_split(i, -(-len(i) // 20_000))])
                 hit = i[agree >= need]
-                forest.join(zip(hit.tolist(), (hit + d).tolist(), strict=True))
-        a = [ids[i] for i, _ in forest.edges]
-        b = [ids[j] for _, j in forest.edges]
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+                forest.join(node[hit], node[hit + d])
+        a, b = forest.stars()
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
     rows = 0
     for pdf in batches:
@@ -180,7 +187,7 @@ def _plausible(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verify(k: int, threshold: float):
-    """Exact Jaccard over the whole texts of a family (or two blocks of one): links of every row, and spanning edges."""
+    """Exact Jaccard over the whole texts of a family (or two blocks of one): links of every row, and star edges."""
 
     def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
@@ -196,8 +203,8 @@ def _verify(k: int, threshold: float):
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])
                 apart = forest.label[i] != forest.label[j]
-                forest.join(zip(i[apart].tolist(), j[apart].tolist(), strict=True))
-            rows += [(int(ids[i]), int(ids[j]), 0) for i, j in forest.edges]
+                forest.join(i[apart], j[apart])
+            rows += [(int(ids[i]), int(ids[j]), 0) for i, j in zip(*forest.stars(), strict=True)]
             rows += [(int(ids[i]), None, int(links[i])) for i in np.flatnonzero(links)]
             if len(rows) > 20_000:
                 yield frame(rows)
