@@ -31,9 +31,9 @@ def read_records(
 ) -> tuple[DataFrame, DataFrame]:
     """(records, errors) of JSON files, one record each (without ``multi_line``: one a line); names that begin with _ are skipped by Spark itself.
     A file that is no record is a row of ``errors`` (path, _corrupt_record)."""
-    full = T._parse_datatype_string(schema).add("_corrupt_record", "string")
-    df = spark.read.schema(full).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(paths)
-    df = df.withColumn("path", F.col("_metadata.file_path"))
+    full = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_corrupt_record", T.StringType())])
+    raw = spark.read.text(paths, wholetext=multi_line).select(F.col("_metadata.file_path").alias("path"), "value")
+    df = raw.select("path", F.from_json("value", full, {"mode": "PERMISSIVE"}).alias("r")).select("path", "r.*")
     good = df.where("_corrupt_record IS NULL").drop("_corrupt_record", "path")
     if form:
         good = good.where(F.upper("form_type") == form.upper())
