@@ -198,7 +198,8 @@ def contamination(
         if k:
             result = materialise(result)  # so that a worker holds one automaton at a time
         matcher = spark.sparkContext.broadcast(Matcher(piece, window))
-        found = F.pandas_udf(_finder(matcher), "n_words long, starts array<int>, ends array<int>, items array<string>")
+        # called non-deterministic so that a later filter on its result doesn't run it a second time
+        found = F.pandas_udf(_finder(matcher), "n_words long, starts array<int>, ends array<int>, items array<string>").asNondeterministic()
         cols.append(free_name(result, f"_found{k}"))
         result = result.withColumn(cols[-1], found(F.col(text)))
     merge = F.pandas_udf(_merge, "n_hit long, starts array<int>, ends array<int>")
