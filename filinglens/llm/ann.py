@@ -99,9 +99,9 @@ def best(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame | None:
             x, i = row[other], cid[other]
             if len(x) > k:
                 least = np.partition(x, -k)[-k]
-                near = x >= least - 1e-12  # all ties with the last, so that ids decide
+                near = x >= least - 1e-6  # what rounding may have put behind the last
                 x, i = x[near], i[near]
-            order = np.lexsort((i, -x))[: k + 3]
+            order = np.lexsort((i, -x))[: k + 8]
             qids += [qid] * len(order)
             ids += i[order].tolist()
             scores += x[order].tolist()
@@ -148,7 +148,10 @@ def _forest_search(vectors: DataFrame, hashed: DataFrame, queries: DataFrame, n:
     data = data.withColumn("is_query", F.lit(False))
     asks = of_query.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_query", F.lit(True))
     cols = [*cells, "block", "is_query", "id"]
-    both = data.select(cols).unionByName(asks.select(cols)).join(vectors.select("id", "v"), "id")
+    # only directions travel, as floats; final scores are computed from the original vectors
+    top = F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    rays = vectors.withColumn("top", top).select("id", F.transform("v", lambda x: (x / F.col("top")).cast("float")).alias("v"))
+    both = data.select(cols).unionByName(asks.select(cols)).join(rays, "id")
     both = both.repartition(*cells, "block").sortWithinPartitions(*cells, "block")
     found = both.select(*cols, "v").mapInPandas(_search(k), "query_id long, id long, score double")
     return found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
