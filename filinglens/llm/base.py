@@ -43,8 +43,8 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node in it.
 
-    Distributed union-find: each round takes the smallest label among neighbours, then jumps to that
-    label's own label, so labels travel twice as far every round. Each round is one written table.
+    Distributed union-find: each round takes the smallest label among neighbours, then jumps to the label
+    that this one had itself, so labels travel ever farther. Each round is one written table.
     """
     sym = (
         edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
@@ -60,17 +60,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             .groupBy("x")
             .agg(F.min("m").alias("m"))
         )
-        near = materialise(
-            labels.join(low, labels.node == low.x, "left").select(
-                "node", F.col("component").alias("old"), F.least("component", "m").alias("component")
-            )
-        )
-        up = near.select(F.col("node").alias("up"), F.col("component").alias("jump"))
-        jumped = materialise(
-            near.join(up, near.component == up.up, "left").select(
-                "node", "old", F.least("component", "jump").alias("component")
-            )
+        near = labels.join(low, labels.node == low.x, "left").select(
+            "node", F.col("component").alias("old"), F.least("component", "m").alias("c")
         )
+        up = labels.select(F.col("node").alias("up"), F.col("component").alias("jump"))
+        jumped = materialise(near.join(up, near.c == up.up, "left").select("node", "old", F.least("c", "jump").alias("component")))
         labels = jumped.select("node", "component")
         if jumped.where("component < old").isEmpty():
             break
