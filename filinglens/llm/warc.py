@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import materialise
+
 MIN_DEDUP_BYTES = 100
+#: Repeated digests (under 100 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 50_000
 ROLL_BYTES = 16 << 20
 #: Raw payload bytes that one writing task takes, so the layout follows the data and not the cluster.
 SPAN_BYTES = 32 << 20
@@ -27,8 +31,8 @@ def decide(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES, salts: int = 16)
     """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to) for every page.
 
     Equal payloads of at least ``min_bytes``: the smallest page_id is the response. Digests are counted with map-side
-    aggregation; only repeated ones are joined back, each with ``salts`` copies so that a payload which
-    holds a third of all rows is spread.
+    aggregation. Only repeated ones are joined back: broadcast while they are at most BROADCAST_ROWS rows (counted), else each
+    with ``salts`` copies, so that a payload which holds a third of all rows is spread.
     """
     p = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -42,10 +46,15 @@ def decide(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES, salts: int = 16)
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("payload_digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .select("payload_digest", "first_id")
     )
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")
-    p = p.withColumn("salt", salt).join(again, ["payload_digest", "salt"], "left")
+    again = materialise(again)
+    if again.count() <= BROADCAST_ROWS:
+        p = p.join(F.broadcast(again), "payload_digest", "left")
+    else:
+        again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")
+        p = p.withColumn("salt", salt).join(again, ["payload_digest", "salt"], "left")
     other = (F.col("first_id") < F.col("page_id")) | (F.col("first_id").isNotNull() & F.col("page_id").isNull())
     other = F.coalesce(other, F.lit(False))
     return p.select(
@@ -153,13 +162,13 @@ def write_archives(
         .sortWithinPartitions("span", F.col("page_id").asc_nulls_first(), "url", "payload_digest")
     )
     manifest = ordered.mapInPandas(write, "file string, records long, bytes long, sha256 string, first_page long, last_page long")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
+    manifest.write.mode("overwrite").json(f"{out}/manifest")
     return spark.read.schema(manifest.schema).json(f"{out}/manifest")
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, payload) of each record of a whole archive."""
-    raw = gzip.decompress(data)
+    raw = gzip.GzipFile(fileobj=io.BytesIO(data)).read()  # gzip.decompress copies the rest for every member
     at = 0
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
