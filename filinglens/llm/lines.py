@@ -13,12 +13,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 10
 ROWS = 3
-#: Lines up to LONG characters are hashed at every position; lines from SHORT on only at word starts, from there to the NEXT-th
-#: character of the next word. Lines between are hashed both ways: two lines of similarity 0.8 differ in length by less than
-#: LONG / SHORT, so they always share a way.
-SHORT, LONG, NEXT = 72, 96, 6
-#: Long lines with less than one word in SPARSE_HIGH characters are hashed at every position, too (as above, both ways between).
-SPARSE_LOW, SPARSE_HIGH = 12, 18
 #: Buckets over this many lines are split by the next band; what no band splits is linked in sorted order.
 SMALL = 24
 NEIGHBOURS = 3
@@ -39,7 +33,7 @@ def shingles(norm: Column) -> Column:
     )
 
 
-def _bands(hashes: Column, way: int) -> tuple[Column, list[Column]]:
+def _bands(hashes: Column) -> tuple[Column, list[Column]]:
     """Hashes sorted with the limits (to be called _sorted), and from that the band keys of a set of 64-bit hashes: one permutation, cut into BANDS equal ranges of values, the ROWS least of each.
 
     The range limits are sorted in among the hashes, so that a band is the slice behind its limit. A band
@@ -54,7 +48,7 @@ def _bands(hashes: Column, way: int) -> tuple[Column, list[Column]]:
         rows = F.slice("_sorted", at, ROWS)
         after = F.try_element_at(F.col("_sorted"), at)
         full = after.isNotNull() if b == BANDS - 1 else after != F.lit(limits[b + 1])
-        keys.append(F.when(full, F.xxhash64(F.lit(way * BANDS + b), rows)))
+        keys.append(F.when(full, F.xxhash64(F.lit(b), rows)))
     return merged, keys
 
 
@@ -63,24 +57,14 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias("id"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("line_no", "line"))
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """(line_key, bands): the band keys of every distinct line (null: an empty band). Copies give equal signatures, so these are made
-    distinct and the texts themselves are never shuffled."""
-    n = F.length("norm")
-    words = F.split("norm", " ", -1)
+def _signatures(texts: DataFrame) -> DataFrame:
+    """(line_key, bands): the band keys of every distinct line (null: an empty band), from its shingles at every position."""
     every = F.transform(F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
-    every = F.when(n <= SHINGLE, F.array(F.xxhash64("norm"))).otherwise(every)
-    starts = F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.xxhash64(a, F.substring(b, 1, NEXT)))
-    dense = (n <= LONG) | (F.size(words) * SPARSE_LOW < n)
-    sparse = (n >= SHORT) & (F.size(words) * SPARSE_HIGH >= n)
-    parts = []
-    for way, (use, hashed) in enumerate(((dense, every), (sparse, starts))):
-        rows = lines.where(use).select("line_key", "norm", *([F.explode(F.array(words)).alias("words")] if way else []))
-        merged, keys = _bands(F.array_distinct(hashed), way)
-        # exploding one array keeps the optimiser from computing it anew for every use
-        rows = rows.select("line_key", F.explode(F.array(merged)).alias("_sorted"))
-        parts.append(rows.select("line_key", F.array(*keys).alias("bands")))
-    return parts[0].unionByName(parts[1]).distinct()
+    every = F.when(F.length("norm") <= SHINGLE, F.array(F.xxhash64("norm"))).otherwise(every)
+    merged, keys = _bands(F.array_distinct(every))
+    # exploding one array keeps the optimiser from computing it anew for every use
+    rows = texts.select("line_key", F.explode(F.array(merged)).alias("_sorted"))
+    return rows.select("line_key", F.array(*keys).alias("bands"))
 
 
 def _pairs(signatures: DataFrame) -> DataFrame:
@@ -125,12 +109,12 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
     """
     lines = line_table(docs, key, text).where(F.col("line").rlike(r"[^\s]"))
     lines = lines.select("id", "line_no", F.explode(F.array(normalised(F.col("line")))).alias("norm"))
-    lines = materialise(lines.select("id", "line_no", "norm", F.xxhash64("norm").alias("line_key")))
+    lines = lines.select("id", "line_no", "norm", F.xxhash64("norm").alias("line_key"))
     place = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("id"), "line_no")
-    firsts = materialise(lines.groupBy("line_key").agg(F.min(place).alias("first")))
-    pairs = materialise(_pairs(_signatures(lines.select("line_key", "norm"))))
-    asked = pairs.select(F.col("a").alias("line_key")).union(pairs.select("b")).distinct()
-    texts = materialise(lines.select("line_key", "norm").join(asked, "line_key").dropDuplicates(["line_key"]))
+    texts = materialise(lines.groupBy("line_key").agg(F.first("norm").alias("norm"), F.min(place).alias("first")))
+    lines = materialise(lines.select("id", "line_no", "line_key"))
+    firsts = texts.select("line_key", "first")
+    pairs = materialise(_pairs(_signatures(texts)))
     left = texts.select(F.col("line_key").alias("a"), F.col("norm").alias("x"))
     right = texts.select(F.col("line_key").alias("b"), F.col("norm").alias("y"))
     both = pairs.join(left, "a").where(F.col("x").isNotNull()).join(right, "b")

@@ -131,6 +131,25 @@ def test_lines_hot_bucket(spark):
     assert len(got) == 200 and len({(r.head_id, r.head_line) for r in got}) == 1
 
 
+@pytest.mark.parametrize("size", [100, 160, 320, 640])
+def test_lines_recall(spark, size):
+    """Lines with single-letter edits down to Jaccard 0.8 find their original, whatever their length."""
+    rng = random.Random(size)
+    texts = []
+    while len(texts) < 1200:
+        line = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(size // 9))
+        best = other = list(line)
+        for i in rng.sample(range(len(line)), len(line)):
+            other = [*best]
+            other[i] = "#"
+            if jaccard(shingle(line), shingle("".join(other))) < 0.8:
+                break
+            best = other
+        texts += [line, "".join(best)]
+    got = {r.doc_id: r.head_id for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert sum(got[i] == i - 1 for i in range(1, 1200, 2)) >= 0.99 * 600
+
+
 def test_lines_cases(spark):
     out = lines.dedup_lines(edge_docs(spark, random.Random(1)))
     rows = out.collect()
