@@ -58,40 +58,43 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
-    """(line_key, bands): the band keys of every distinct line (null: an empty band), from its shingles at every position."""
+    """(line_key, n, bands): the number of distinct shingles of every distinct line and its band keys (null: an empty band)."""
     every = F.transform(F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
     every = F.when(F.length("norm") <= SHINGLE, F.array(F.xxhash64("norm"))).otherwise(every)
     merged, keys = _bands(F.array_distinct(every))
     # exploding one array keeps the optimiser from computing it anew for every use
     rows = texts.select("line_key", F.explode(F.array(merged)).alias("_sorted"))
-    return rows.select("line_key", F.array(*keys).alias("bands"))
+    return rows.select("line_key", (F.size("_sorted") - BANDS).alias("n"), F.array(*keys).alias("bands"))
 
 
-def _pairs(signatures: DataFrame) -> DataFrame:
-    """(a, b), a < b: candidate pairs. Small buckets give all their pairs; larger ones are split by the line's next
+def _pairs(signatures: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: candidate pairs whose numbers of shingles allow ``threshold``. Small buckets give all their pairs; larger ones are split by the line's next
     band key, and what stays large is linked to the NEIGHBOURS lines before it in the order of the whole signature."""
-    rows = signatures.select("line_key", "bands", F.posexplode("bands").alias("b", "bucket")).where("bucket IS NOT NULL")
+    rows = signatures.select("line_key", "n", "bands", F.posexplode("bands").alias("b", "bucket")).where("bucket IS NOT NULL")
     rows = rows.select(
-        "line_key", "bucket", F.try_element_at("bands", F.col("b") + 2).alias("next"),
+        "line_key", "n", "bucket", F.try_element_at("bands", F.col("b") + 2).alias("next"),
         F.xxhash64("bands").alias("all"),
         F.coalesce(F.element_at("bands", 1), F.lit(0)).alias("lead"),
     )
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = materialise(rows.join(sizes, "bucket"))
-    few = rows.where(F.col("size") <= SMALL).select("bucket", "line_key")
+    few = rows.where(F.col("size") <= SMALL).select("bucket", "line_key", "n")
     many = rows.where(F.col("size") > SMALL)
-    split = many.select(F.xxhash64("bucket", "next").alias("bucket"), "line_key", "lead", "all")
+    split = many.select(F.xxhash64("bucket", "next").alias("bucket"), "line_key", "n", "lead", "all")
     again = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     split = split.join(again, "bucket")
-    few = few.unionByName(split.where(F.col("size") <= SMALL).select("bucket", "line_key"))
-    x, y = few.select("bucket", F.col("line_key").alias("a")), few.select("bucket", F.col("line_key").alias("b"))
-    pairs = x.join(y, "bucket").where("a < b").select("a", "b")
+    few = few.unionByName(split.where(F.col("size") <= SMALL).select("bucket", "line_key", "n"))
+    fit = lambda m, n: F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
+    x, y = few.select("bucket", F.col("line_key").alias("a"), F.col("n").alias("m")), few.select("bucket", F.col("line_key").alias("b"), "n")
+    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & fit(F.col("m"), F.col("n"))).select("a", "b")
     # large buckets, dealt by range of the order so that no window holds one whole
-    large = many.select("bucket", "line_key", "lead", "all", (F.col("size") / 4096).cast("int").alias("parts"))
+    large = many.select("bucket", "line_key", "n", "lead", "all", (F.col("size") / 4096).cast("int").alias("parts"))
     large = large.withColumn("part", F.floor(((F.col("lead") / F.lit(2.0**64)) + 0.5) * (F.col("parts") + 1)))
     w = W.partitionBy("bucket", "part").orderBy("lead", "all", "line_key")
-    near = large.select("line_key", F.array(*[F.lag("line_key", d).over(w) for d in range(1, NEIGHBOURS + 1)], F.first("line_key").over(w)).alias("other"))
-    near = near.select("line_key", F.explode(F.array_compact("other")).alias("o")).where("o <> line_key")
+    one = F.struct("line_key", "n")
+    near = large.select("line_key", "n", F.array(*[F.lag(one, d).over(w) for d in range(1, NEIGHBOURS + 1)], F.first(one).over(w)).alias("other"))
+    near = near.select("line_key", "n", F.explode(F.array_compact("other")).alias("other"))
+    near = near.where((F.col("other.line_key") != F.col("line_key")) & fit(F.col("n"), F.col("other.n"))).select("line_key", F.col("other.line_key").alias("o"))
     return pairs.unionByName(near.select(F.least("line_key", "o").alias("a"), F.greatest("line_key", "o").alias("b"))).distinct()
 
 
@@ -114,11 +117,10 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
     texts = materialise(lines.groupBy("line_key").agg(F.first("norm").alias("norm"), F.min(place).alias("first")))
     lines = materialise(lines.select("id", "line_no", "line_key"))
     firsts = texts.select("line_key", "first")
-    pairs = materialise(_pairs(_signatures(texts)))
+    pairs = materialise(_pairs(_signatures(texts), threshold))
     left = texts.select(F.col("line_key").alias("a"), F.col("norm").alias("x"))
     right = texts.select(F.col("line_key").alias("b"), F.col("norm").alias("y"))
     both = pairs.join(left, "a").where(F.col("x").isNotNull()).join(right, "b")
-    both = both.where(F.least(F.length("x"), F.length("y")) + SHINGLE >= threshold * 0.5 * F.greatest(F.length("x"), F.length("y")))
     # exploding one array keeps the optimiser from cutting both lines again for every use of their shingles
     both = both.select("a", "b", F.explode(F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))).alias("s"))
     both = both.select("a", "b", F.size("s.x").alias("nx"), F.size("s.y").alias("ny"), F.explode(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("common"))

@@ -150,6 +150,13 @@ def test_lines_recall(spark, size):
     assert sum(got[i] == i - 1 for i in range(1, 1200, 2)) >= 0.99 * 600
 
 
+def test_lines_repeated_characters(spark):
+    """Lines that repeat themselves have few distinct shingles: rules and phrases of any length are one."""
+    texts = ["-" * 20, "-" * 80, "ha " * 6, "ha " * 60, "=-" * 10, "=-" * 200, "no such line"]
+    got = {r.doc_id: r.head_id for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6}
+
+
 def test_lines_cases(spark):
     out = lines.dedup_lines(edge_docs(spark, random.Random(1)))
     rows = out.collect()
