@@ -13,9 +13,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 10
 ROWS = 3
-#: Buckets over this many lines are split by the next band; what no band splits is linked in sorted order.
+#: Buckets over this many lines are first split by the next band and linked in sorted order; their lines that are still apart after
+#: that are all compared, SLICE of them in a group.
 SMALL = 24
 NEIGHBOURS = 3
+SLICE = 1024
+#: Words of 64 bits in the sketch of a line.
+WORDS = 4
 
 
 def normalised(line: Column) -> Column:
@@ -57,19 +61,22 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias("id"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("line_no", "line"))
 
 
+def _hashes() -> Column:
+    """The hashes of the distinct shingles of norm."""
+    every = F.transform(F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    return F.array_distinct(F.when(F.length("norm") <= SHINGLE, F.array(F.xxhash64("norm"))).otherwise(every))
+
+
 def _signatures(texts: DataFrame) -> DataFrame:
     """(line_key, n, bands): the number of distinct shingles of every distinct line and its band keys (null: an empty band)."""
-    every = F.transform(F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
-    every = F.when(F.length("norm") <= SHINGLE, F.array(F.xxhash64("norm"))).otherwise(every)
-    merged, keys = _bands(F.array_distinct(every))
+    merged, keys = _bands(_hashes())
     # exploding one array keeps the optimiser from computing it anew for every use
     rows = texts.select("line_key", F.explode(F.array(merged)).alias("_sorted"))
     return rows.select("line_key", (F.size("_sorted") - BANDS).alias("n"), F.array(*keys).alias("bands"))
 
 
-def _pairs(signatures: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: candidate pairs whose numbers of shingles allow ``threshold``. Small buckets give all their pairs; larger ones are split by the line's next
-    band key, and what stays large is linked to the NEIGHBOURS lines before it in the order of the whole signature."""
+def _buckets(signatures: DataFrame) -> DataFrame:
+    """(bucket, line_key, n, next, all, lead, size): the lines of every band key that more than one line has."""
     rows = signatures.select("line_key", "n", "bands", F.posexplode("bands").alias("b", "bucket")).where("bucket IS NOT NULL")
     rows = rows.select(
         "line_key", "n", "bucket", F.try_element_at("bands", F.col("b") + 2).alias("next"),
@@ -77,14 +84,20 @@ def _pairs(signatures: DataFrame, threshold: float) -> DataFrame:
         F.coalesce(F.element_at("bands", 1), F.lit(0)).alias("lead"),
     )
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = materialise(rows.join(sizes, "bucket"))
+    return rows.join(sizes, "bucket")
+
+
+def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: candidate pairs whose numbers of shingles allow ``threshold``. Small buckets give all their pairs; larger ones are
+    split by the line's next band key, and linked to the NEIGHBOURS lines before it in the order of the whole signature (what these
+    leave apart is for _apart)."""
     few = rows.where(F.col("size") <= SMALL).select("bucket", "line_key", "n")
     many = rows.where(F.col("size") > SMALL)
     split = many.select(F.xxhash64("bucket", "next").alias("bucket"), "line_key", "n", "lead", "all")
     again = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     split = split.join(again, "bucket")
     few = few.unionByName(split.where(F.col("size") <= SMALL).select("bucket", "line_key", "n"))
-    fit = lambda m, n: F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
+    fit = lambda m, n: _fit(m, n, threshold)
     x, y = few.select("bucket", F.col("line_key").alias("a"), F.col("n").alias("m")), few.select("bucket", F.col("line_key").alias("b"), "n")
     pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & fit(F.col("m"), F.col("n"))).select("a", "b")
     # large buckets, dealt by range of the order so that no window holds one whole
@@ -98,13 +111,71 @@ def _pairs(signatures: DataFrame, threshold: float) -> DataFrame:
     return pairs.unionByName(near.select(F.least("line_key", "o").alias("a"), F.greatest("line_key", "o").alias("b"))).distinct()
 
 
+def _fit(m: Column, n: Column, threshold: float) -> Column:
+    """Whether lines of so many distinct shingles can be so similar."""
+    return F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
+
+
+def _sketch() -> list[Column]:
+    """A set of shingle hashes as WORDS * 64 bits, each the parity of the hashes that fall on it: two sketches differ in no more
+    bits than there are shingles that only one of the two sets has."""
+    word = lambda w: F.aggregate(
+        F.filter("hashes", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WORDS - 1)) == w), F.lit(0).cast("long"),
+        lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))),
+    )
+    return [word(w).alias(f"s{w}") for w in range(WORDS)]
+
+
+def _apart(rows: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, ca, cb): all pairs of lines of large buckets that ``labels`` (node, component) leave in two components, but those that
+    their sketches prove to be less similar than ``threshold``.
+
+    The lines outside the largest component of a bucket meet all lines of the bucket, dealt over slices so that
+    no group of the join holds all of a large bucket.
+    """
+    large = rows.where(F.col("size") > SMALL).select("bucket", "line_key", "n", "size")
+    large = large.join(labels.select(F.col("node").alias("line_key"), "component"), "line_key", "left")
+    large = large.withColumn("component", F.coalesce("component", "line_key"))
+    parts = large.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    parts = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("major"))
+    large = materialise(large.join(parts.where("parts > 1").select("bucket", "major"), "bucket"))
+    hashed = texts.join(large.select("line_key").distinct(), "line_key").select("line_key", F.explode(F.array(_hashes())).alias("hashes"))
+    large = large.join(materialise(hashed.select("line_key", *_sketch())), "line_key")
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    minor = large.where("component <> major").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    every = large.withColumn("slice", F.pmod(F.xxhash64("line_key"), slices).cast("int"))
+    x, y = minor.alias("x"), every.alias("y")
+    differ = F.lit(0)
+    for w in range(WORDS):
+        differ = differ + F.bit_count(F.col(f"x.s{w}").bitwiseXOR(F.col(f"y.s{w}")))
+    both = F.col("x.n") + F.col("y.n")
+    # of two sets of Jaccard similarity t at least (1 - t) / (1 + t) of both sizes are in one only
+    near = differ <= both * ((1 - threshold) / (1 + threshold)) + 1e-9
+    once = (F.col("y.component") == F.col("y.major")) | (F.col("x.line_key") < F.col("y.line_key"))
+    met = x.join(y, ["bucket", "slice"]).where((F.col("x.component") != F.col("y.component")) & once & _fit(F.col("x.n"), F.col("y.n"), threshold) & near)
+    return met.select(
+        F.col("x.line_key").alias("a"), F.col("y.line_key").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"),
+    ).dropDuplicates(["a", "b"])
+
+
+def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``pairs`` whose lines a and b have the similarity ``threshold``, on all their shingles."""
+    left = texts.select(F.col("line_key").alias("a"), F.col("norm").alias("x"))
+    right = texts.select(F.col("line_key").alias("b"), F.col("norm").alias("y"))
+    both = pairs.join(left, "a").where(F.col("x").isNotNull()).join(right, "b")
+    # exploding one array keeps the optimiser from cutting both lines again for every use of their shingles
+    both = both.select(*pairs.columns, F.explode(F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))).alias("s"))
+    both = both.select(*pairs.columns, F.size("s.x").alias("nx"), F.size("s.y").alias("ny"), F.explode(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("common"))
+    return both.where(F.col("common") >= threshold * (F.col("nx") + F.col("ny") - F.col("common")) - 1e-9).select(pairs.columns)
+
+
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, head_id, head_line, keep) for every line that isn't blank: the place of the line that stays for it, and whether it is
     that line.
 
     Lines are compared after lower-casing and white space folding. Equal lines are counted together first. Distinct lines get a
     signature of character shingles in one permutation, cut into bands; lines that share a band are candidates, checked by
-    exact Jaccard similarity of all their shingles. A distributed union-find makes components, and the line of
+    exact Jaccard similarity of all their shingles (in crowded bands until they are in one component). A distributed union-find makes components, and the line of
     the smallest (key, line_no) of each stays.
 
     Defined cases: null and blank lines have no row; null keys come first in order; equal lines of repeated rows count once each; a line of at
@@ -117,14 +188,12 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
     texts = materialise(lines.groupBy("line_key").agg(F.first("norm").alias("norm"), F.min(place).alias("first")))
     lines = materialise(lines.select("id", "line_no", "line_key"))
     firsts = texts.select("line_key", "first")
-    pairs = materialise(_pairs(_signatures(texts), threshold))
-    left = texts.select(F.col("line_key").alias("a"), F.col("norm").alias("x"))
-    right = texts.select(F.col("line_key").alias("b"), F.col("norm").alias("y"))
-    both = pairs.join(left, "a").where(F.col("x").isNotNull()).join(right, "b")
-    # exploding one array keeps the optimiser from cutting both lines again for every use of their shingles
-    both = both.select("a", "b", F.explode(F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))).alias("s"))
-    both = both.select("a", "b", F.size("s.x").alias("nx"), F.size("s.y").alias("ny"), F.explode(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("common"))
-    links = both.where(F.col("common") >= threshold * (F.col("nx") + F.col("ny") - F.col("common")) - 1e-9).select("a", "b")
+    rows = materialise(_buckets(_signatures(texts)))
+    links = materialise(_links(materialise(_pairs(rows, threshold)), texts, threshold))
+    apart = materialise(_apart(rows, texts, connected_components(links), threshold))
+    if not apart.isEmpty():
+        more = _links(apart, texts, threshold).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        links = materialise(links.unionByName(more))
     classes = materialise(connected_components(links).join(firsts.select(F.col("line_key").alias("node"), "first"), "node"))
     heads = classes.groupBy("component").agg(F.min("first").alias("head"))
     merged = classes.join(heads, "component").select(F.col("node").alias("line_key"), "component", "head")

@@ -150,6 +150,28 @@ def test_lines_recall(spark, size):
     assert sum(got[i] == i - 1 for i in range(1, 1200, 2)) >= 0.99 * 600
 
 
+def test_lines_template(spark):
+    """Pairs just above Jaccard 0.8 among many different lines that share a long passage."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    shared = " ".join(word() for _ in range(36))
+    texts = []
+    for _ in range(600):
+        line = f"{shared} {' '.join(word() for _ in range(6))}"
+        near = list(line)
+        for i in rng.sample(range(len(line)), len(line)):
+            edited = [*near]
+            edited[i] = "#"
+            if jaccard(shingle(line), shingle("".join(edited))) < 0.8:
+                break
+            near = edited
+        texts += [line, "".join(near)]
+    assert all(jaccard(shingle(texts[0]), shingle(x)) < 0.8 for x in texts[2:])
+    got = {r.doc_id: r.head_id for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert all(got[i] in (i, i - 1) for i in range(1200)) and all(got[i] == i for i in range(0, 1200, 2))
+    assert sum(got[i] == i - 1 for i in range(1, 1200, 2)) >= 0.99 * 600
+
+
 def test_lines_repeated_characters(spark):
     """Lines that repeat themselves have few distinct shingles: rules and phrases of any length are one."""
     texts = ["-" * 20, "-" * 80, "ha " * 6, "ha " * 60, "=-" * 10, "=-" * 200, "no such line"]
