@@ -464,6 +464,14 @@ def test_html(spark, main):
         assert got[i] == "\n".join(want)
 
 
+def test_html_mixed_host(spark):
+    """A host that marks only some of its articles: the wrapper still serves the pages without marks."""
+    page = '<html><body><div class="q1"><a href="/">Start</a> <a href="/x">Section list</a></div><{0}><p>Text {1} of the page, which goes on for a while.</p><p>More {1} of it.</p></{2}><div class="q9">All rights kept</div></body></html>'
+    rows = [(i, f"http://one.example.com/{i}", page.format("article", i, "article") if i % 10 else page.format('div class="q5"', i, "div")) for i in range(80)]
+    got = {r.page_id: r.text for r in html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i} of the page, which goes on for a while.\nMore {i} of it." for i in range(80)}
+
+
 def test_wrapper_expression():
     pages = [f"<body><ul>{'<li>x' + str(i) + '</li>' * 1}{'<li>y</li>' * i}</ul><p>a{i}</p>{'<hr>' if i else ''}</body>" for i in range(3)]
     w = html_wrapper.infer(pages)
