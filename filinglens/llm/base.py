@@ -32,6 +32,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clustered(df: DataFrame, *keys: str) -> DataFrame:
+    """As ``materialise``, but bucketed by ``keys`` into as many buckets as shuffles have partitions: joins and aggregates by those
+    keys don't shuffle the table again."""
+    spark = df.sparkSession
+    name = f"filinglens_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
+    writer.bucketBy(buckets, *keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or that with underscores until no column of ``df`` is called so (case-insensitively)."""
     taken = {c.lower() for c in df.columns}

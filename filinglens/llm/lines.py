@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import connected_components, materialise
+from .base import clustered, connected_components, materialise
 
 #: Characters of a shingle, and the similarity from which lines are one.
 SHINGLE = 5
 THRESHOLD = 0.8
+#: A signature has BANDS * ROWS bins; lines that agree in all bins of a band are candidates.
 BANDS = 10
-ROWS = 3
-#: Buckets over this many lines are first split by the next band and linked in sorted order; their lines that are still apart after
-#: that are all compared, SLICE of them in a group.
-SMALL = 24
-NEIGHBOURS = 3
+ROWS = 4
+#: Points of a line that its bins are filled from, about. Three a bin leave few bins empty.
+POINTS = 120
+#: A line whose shingles fill fewer bins repeats itself; it is signed again by the number of its distinct shingles.
+FILLED = 30
+#: Bins of two signatures that agree (in three bits each) at least, for a pair to be checked: over four deviations below the
+#: expectation of a pair at the threshold.
+AGREE = 23
+#: Rows of a bucket that meet in one group of the join; larger buckets are dealt over several.
 SLICE = 1024
-#: Words of 64 bits in the sketch of a line.
-WORDS = 4
+#: One bit in three: the least bit of every bin of a sketch.
+_LEAST = sum(1 << (3 * i) for i in range(BANDS * ROWS // 2))
 
 
 def normalised(line: Column) -> Column:
@@ -37,134 +43,139 @@ def shingles(norm: Column) -> Column:
     )
 
 
-def _bands(hashes: Column) -> tuple[Column, list[Column]]:
-    """Hashes sorted with the limits (to be called _sorted), and from that the band keys of a set of 64-bit hashes: one permutation, cut into BANDS equal ranges of values, the ROWS least of each.
+def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, line_no, norm, k1, k2) of every line that isn't blank: its normal form and the two halves of that one's 128-bit hash."""
+    lines = docs.select(F.col(key).cast("long").alias("id"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("line_no", "line"))
+    # exploding one array keeps the optimiser from computing the normal form anew for every use
+    lines = lines.select("id", "line_no", F.explode(F.array(normalised(F.col("line")))).alias("norm")).where("norm <> ''")
+    return lines.select("id", "line_no", "norm", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit("second"), "norm").alias("k2"))
 
-    The range limits are sorted in among the hashes, so that a band is the slice behind its limit. A band
-    without hashes in its range has no key.
-    """
-    step = 2**64 // BANDS
-    limits = [-(2**63) + b * step for b in range(BANDS)]
-    merged = F.sort_array(F.concat(hashes, F.lit(limits)))
-    keys = []
-    for b, limit in enumerate(limits):
-        at = F.array_position("_sorted", F.lit(limit)).cast("int") + 1
-        rows = F.slice("_sorted", at, ROWS)
-        after = F.try_element_at(F.col("_sorted"), at)
-        full = after.isNotNull() if b == BANDS - 1 else after != F.lit(limits[b + 1])
-        keys.append(F.when(full, F.xxhash64(F.lit(b), rows)))
-    return merged, keys
 
+def _positions(texts: DataFrame) -> DataFrame:
+    """(k1, k2, size, turn, shingle) for every position of every line and every turn that can throw a point below its limit.
 
-def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, line_no, line): the lines of every document, numbered from 0; null texts have none."""
-    return docs.select(F.col(key).cast("long").alias("id"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("line_no", "line"))
+    Lines are cut at four bytes a character, so that no position is searched for."""
+    size = F.greatest(F.length("norm") - (SHINGLE - 1), F.lit(1)).cast("double")
+    rows = texts.select("k1", "k2", size.alias("size"), F.explode(F.array(F.encode(F.make_valid_utf8("norm"), "UTF-32"))).alias("code"))
+    rows = rows.withColumn("turn", F.explode(_turns()))
+    last = F.greatest(F.octet_length("code") - (4 * SHINGLE - 1), F.lit(1))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), last, F.lit(4))))
+    return rows.select("k1", "k2", "size", "turn", F.substring("code", F.col("at"), F.lit(4 * SHINGLE)).alias("shingle"))
+
+
+def _distinct(texts: DataFrame) -> DataFrame:
+    """As ``_positions``, for every distinct shingle."""
+    rows = texts.select("k1", "k2", F.explode(F.array(shingles(F.make_valid_utf8("norm")))).alias("shingles"))
+    rows = rows.withColumn("size", F.size("shingles").cast("double")).withColumn("turn", F.explode(_turns()))
+    return rows.select("k1", "k2", "size", "turn", F.explode("shingles").alias("shingle")).withColumn("shingle", F.encode("shingle", "UTF-32"))
 
 
-def _hashes() -> Column:
-    """The hashes of the distinct shingles of norm."""
-    every = F.transform(F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
-    return F.array_distinct(F.when(F.length("norm") <= SHINGLE, F.array(F.xxhash64("norm"))).otherwise(every))
+def _turns() -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.ceil(POINTS / F.col("size")).cast("int") - 1, F.lit(0)))
 
 
-def _signatures(texts: DataFrame) -> DataFrame:
-    """(line_key, n, bands): the number of distinct shingles of every distinct line and its band keys (null: an empty band)."""
-    merged, keys = _bands(_hashes())
-    # exploding one array keeps the optimiser from computing it anew for every use
-    rows = texts.select("line_key", F.explode(F.array(merged)).alias("_sorted"))
-    return rows.select("line_key", (F.size("_sorted") - BANDS).alias("n"), F.array(*keys).alias("bands"))
+def _signatures(rows: DataFrame) -> DataFrame:
+    """(k1, k2, filled, s0, s1, b0, b1, ...): the bins that each line fills, three bits of every bin, and its band keys (null: an empty band).
 
+    Every shingle throws points: the first by its hash in [0, 1), the next in [1, 2) and so on, each into a bin. A line takes the
+    points below POINTS / ``size``, so that long and short ones fill their bins alike, and a bin keeps its least point: the part of
+    equal bins estimates the Jaccard similarity. The limit only cuts off what is great, which seldom is the least of a bin.
 
-def _buckets(signatures: DataFrame) -> DataFrame:
-    """(bucket, line_key, n, next, all, lead, size): the lines of every band key that more than one line has."""
-    rows = signatures.select("line_key", "n", "bands", F.posexplode("bands").alias("b", "bucket")).where("bucket IS NOT NULL")
-    rows = rows.select(
-        "line_key", "n", "bucket", F.try_element_at("bands", F.col("b") + 2).alias("next"),
-        F.xxhash64("bands").alias("all"),
-        F.coalesce(F.element_at("bands", 1), F.lit(0)).alias("lead"),
+    The rows come from generated loops over a table that is clustered by its key, so all of this is one stage.
+    """
+    rows = rows.select("k1", "k2", "size", "turn", F.xxhash64("turn", "shingle").alias("h"))
+    unit = float(1 << 44)
+    point = F.col("turn") * F.lit(1 << 44) + F.shiftrightunsigned("h", 20)
+    rows = rows.select("k1", "k2", "size", F.col("h").bitwiseAND(F.lit((1 << 20) - 1)).alias("bin"), point.alias("point"))
+    rows = rows.where(F.col("point").cast("double") * F.col("size") < F.lit(POINTS * unit))
+    rows = rows.select("k1", "k2", "point", (F.col("bin") % BANDS).alias("band"), (F.shiftright("bin", 10) % ROWS).alias("row"))
+    least = [f"m{i}" for i in range(ROWS)]
+    bands = rows.groupBy("k1", "k2", "band").agg(*[F.min(F.when(F.col("row") == i, F.col("point"))).alias(m) for i, m in enumerate(least)])
+    bits = [F.coalesce(F.shiftleft((F.col(m) % 7) + 1, 3 * i), F.lit(0)) for i, m in enumerate(least)]
+    half, width = BANDS // 2, 3 * ROWS
+    packed = F.call_function("shiftleft", reduce(Column.bitwiseOR, bits), (F.col("band") % half * width).cast("int"))
+    full = reduce(Column.__add__, [F.col(m).isNotNull().cast("int") for m in least])
+    bands = bands.select("k1", "k2", "band", full.alias("full"), packed.alias("packed"), F.xxhash64("band", *[F.coalesce(m, F.lit(-1)) for m in least]).alias("bucket"))
+    return bands.groupBy("k1", "k2").agg(
+        F.sum("full").alias("filled"),
+        *[F.coalesce(F.bit_or(F.when((F.col("band") >= half) == bool(s), F.col("packed"))), F.lit(0)).alias(f"s{s}") for s in range(2)],
+        *[F.max(F.when(F.col("band") == b, F.col("bucket"))).alias(f"b{b}") for b in range(BANDS)],
     )
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return rows.join(sizes, "bucket")
-
-
-def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: candidate pairs whose numbers of shingles allow ``threshold``. Small buckets give all their pairs; larger ones are
-    split by the line's next band key, and linked to the NEIGHBOURS lines before it in the order of the whole signature (what these
-    leave apart is for _apart)."""
-    few = rows.where(F.col("size") <= SMALL).select("bucket", "line_key", "n")
-    many = rows.where(F.col("size") > SMALL)
-    split = many.select(F.xxhash64("bucket", "next").alias("bucket"), "line_key", "n", "lead", "all")
-    again = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    split = split.join(again, "bucket")
-    few = few.unionByName(split.where(F.col("size") <= SMALL).select("bucket", "line_key", "n"))
-    fit = lambda m, n: _fit(m, n, threshold)
-    x, y = few.select("bucket", F.col("line_key").alias("a"), F.col("n").alias("m")), few.select("bucket", F.col("line_key").alias("b"), "n")
-    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & fit(F.col("m"), F.col("n"))).select("a", "b")
-    # large buckets, dealt by range of the order so that no window holds one whole
-    large = many.select("bucket", "line_key", "n", "lead", "all", (F.col("size") / 4096).cast("int").alias("parts"))
-    large = large.withColumn("part", F.floor(((F.col("lead") / F.lit(2.0**64)) + 0.5) * (F.col("parts") + 1)))
-    w = W.partitionBy("bucket", "part").orderBy("lead", "all", "line_key")
-    one = F.struct("line_key", "n")
-    near = large.select("line_key", "n", F.array(*[F.lag(one, d).over(w) for d in range(1, NEIGHBOURS + 1)], F.first(one).over(w)).alias("other"))
-    near = near.select("line_key", "n", F.explode(F.array_compact("other")).alias("other"))
-    near = near.where((F.col("other.line_key") != F.col("line_key")) & fit(F.col("n"), F.col("other.n"))).select("line_key", F.col("other.line_key").alias("o"))
-    return pairs.unionByName(near.select(F.least("line_key", "o").alias("a"), F.greatest("line_key", "o").alias("b"))).distinct()
-
-
-def _fit(m: Column, n: Column, threshold: float) -> Column:
-    """Whether lines of so many distinct shingles can be so similar."""
-    return F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
-
-
-def _sketch() -> list[Column]:
-    """A set of shingle hashes as WORDS * 64 bits, each the parity of the hashes that fall on it: two sketches differ in no more
-    bits than there are shingles that only one of the two sets has."""
-    word = lambda w: F.aggregate(
-        F.filter("hashes", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WORDS - 1)) == w), F.lit(0).cast("long"),
-        lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))),
+
+
+def _nodes(texts: DataFrame) -> DataFrame:
+    """(node, k1, k2, s0, s1, b0, b1, ...): a number for every distinct line, and its signature."""
+    strong = materialise(_signatures(_positions(texts)).select(F.monotonically_increasing_id().alias("node"), "*")).where(F.col("filled") >= FILLED)
+    weak = texts.join(strong.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    again = _signatures(_distinct(weak))
+    return strong.unionByName(materialise(again.select((-1 - F.monotonically_increasing_id()).alias("node"), "*"))).drop("filled")
+
+
+def shingles(norm: Column) -> Column:
+    """The distinct runs of SHINGLE characters (the whole line, if shorter)."""
+    return F.when(F.length(norm) <= SHINGLE, F.array(norm)).otherwise(
+        F.array_distinct(F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
     )
-    return [word(w).alias(f"s{w}") for w in range(WORDS)]
 
 
-def _apart(rows: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, ca, cb): all pairs of lines of large buckets that ``labels`` (node, component) leave in two components, but those that
-    their sketches prove to be less similar than ``threshold``.
+def _alike(x: str, y: str) -> Column:
+    """Whether so many bins of the two rows' sketches agree."""
+    differ = F.lit(0)
+    for s in ("s0", "s1"):
+        d = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(_LEAST))
+        differ = differ + F.bit_count(d)
+    return differ <= BANDS * ROWS - AGREE
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, head, size, node, s0, s1): the lines of every band key that more than one line has, and the least of them."""
+    rows = nodes.select("node", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket")).where("bucket IS NOT NULL")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1")
+    return materialise(rows.join(sizes, "bucket").join(nodes.select("node", "s0", "s1"), "node"))
 
-    The lines outside the largest component of a bucket meet all lines of the bucket, dealt over slices so that
-    no group of the join holds all of a large bucket.
+
+def _stars(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): every line of a bucket with the bucket's least one, if their sketches are alike. So few pairs join most of a large
+    group of copies."""
+    edges = rows.where("node <> head").select("node", "head", "s0", "s1").dropDuplicates(["node", "head"]).alias("x")
+    heads = nodes.select(F.col("node").alias("head"), "s0", "s1").alias("y")
+    met = edges.join(heads, F.col("x.head") == F.col("y.head")).where(_alike("x", "y"))
+    return met.select(F.col("x.head").alias("a"), F.col("x.node").alias("b"))
+
+
+def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): the pairs of lines of a bucket that are alike by their sketches, but that ``labels`` (node, component) leave in
+    two components.
+
+    The lines outside the largest component of a bucket meet all of its lines, dealt over slices so that no group of the join
+    holds all of a large bucket. Nothing is capped.
     """
-    large = rows.where(F.col("size") > SMALL).select("bucket", "line_key", "n", "size")
-    large = large.join(labels.select(F.col("node").alias("line_key"), "component"), "line_key", "left")
-    large = large.withColumn("component", F.coalesce("component", "line_key"))
-    parts = large.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     parts = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("major"))
-    large = materialise(large.join(parts.where("parts > 1").select("bucket", "major"), "bucket"))
-    hashed = texts.join(large.select("line_key").distinct(), "line_key").select("line_key", F.explode(F.array(_hashes())).alias("hashes"))
-    large = large.join(materialise(hashed.select("line_key", *_sketch())), "line_key")
-    slices = F.ceil(F.col("size") / SLICE).cast("int")
-    minor = large.where("component <> major").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-    every = large.withColumn("slice", F.pmod(F.xxhash64("line_key"), slices).cast("int"))
+    rows = rows.join(parts.where("parts > 1").select("bucket", "major"), "bucket").select(
+        "bucket", "node", "s0", "s1", "component", "major", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")
+    )
+    rows = materialise(rows)
+    minor = rows.where("component <> major").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    every = rows.withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int"))
     x, y = minor.alias("x"), every.alias("y")
-    differ = F.lit(0)
-    for w in range(WORDS):
-        differ = differ + F.bit_count(F.col(f"x.s{w}").bitwiseXOR(F.col(f"y.s{w}")))
-    both = F.col("x.n") + F.col("y.n")
-    # of two sets of Jaccard similarity t at least (1 - t) / (1 + t) of both sizes are in one only
-    near = differ <= both * ((1 - threshold) / (1 + threshold)) + 1e-9
-    once = (F.col("y.component") == F.col("y.major")) | (F.col("x.line_key") < F.col("y.line_key"))
-    met = x.join(y, ["bucket", "slice"]).where((F.col("x.component") != F.col("y.component")) & once & _fit(F.col("x.n"), F.col("y.n"), threshold) & near)
-    return met.select(
-        F.col("x.line_key").alias("a"), F.col("y.line_key").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"),
+    once = (F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.component") != F.col("y.component")) & once & _alike("x", "y")
+    return x.join(y, on).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"),
     ).dropDuplicates(["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The rows of ``pairs`` whose lines a and b have the similarity ``threshold``, on all their shingles."""
-    left = texts.select(F.col("line_key").alias("a"), F.col("norm").alias("x"))
-    right = texts.select(F.col("line_key").alias("b"), F.col("norm").alias("y"))
-    both = pairs.join(left, "a").where(F.col("x").isNotNull()).join(right, "b")
+    name = lambda side: nodes.select(F.col("node").alias(side), F.col("k1").alias(f"{side}1"), F.col("k2").alias(f"{side}2"))
+    text = lambda side: texts.select(F.col("k1").alias(f"{side}1"), F.col("k2").alias(f"{side}2"), F.col("norm").alias(f"{side}_text"))
+    both = pairs.join(name("a"), "a").join(name("b"), "b").join(text("a"), ["a1", "a2"]).join(text("b"), ["b1", "b2"])
     # exploding one array keeps the optimiser from cutting both lines again for every use of their shingles
-    both = both.select(*pairs.columns, F.explode(F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))).alias("s"))
+    sets = F.struct(shingles(F.col("a_text")).alias("x"), shingles(F.col("b_text")).alias("y"))
+    both = both.select(*pairs.columns, F.explode(F.array(sets)).alias("s"))
     both = both.select(*pairs.columns, F.size("s.x").alias("nx"), F.size("s.y").alias("ny"), F.explode(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("common"))
     return both.where(F.col("common") >= threshold * (F.col("nx") + F.col("ny") - F.col("common")) - 1e-9).select(pairs.columns)
 
@@ -173,35 +184,33 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
     """(key, line_no, head_id, head_line, keep) for every line that isn't blank: the place of the line that stays for it, and whether it is
     that line.
 
-    Lines are compared after lower-casing and white space folding. Equal lines are counted together first. Distinct lines get a
-    signature of character shingles in one permutation, cut into bands; lines that share a band are candidates, checked by
-    exact Jaccard similarity of all their shingles (in crowded bands until they are in one component). A distributed union-find makes components, and the line of
-    the smallest (key, line_no) of each stays.
+    Lines are compared after lower-casing and white space folding. Equal lines are one distinct line, by 128 bits of hash. Distinct
+    lines get a signature of the character shingles at all their positions, in one permutation, cut into bands; lines that share a
+    band and are alike by their sketches are candidates, checked by exact Jaccard similarity of all their shingles: first each with
+    the least of its bucket, then all that are still in different components. A distributed union-find makes components, and the
+    line of the smallest (key, line_no) of each stays.
 
     Defined cases: null and blank lines have no row; null keys come first in order; equal lines of repeated rows count once each; a line of at
     most five characters has itself as shingle; very long lines are lines like any other; no rows give none.
     """
-    lines = line_table(docs, key, text).where(F.col("line").rlike(r"[^\s]"))
-    lines = lines.select("id", "line_no", F.explode(F.array(normalised(F.col("line")))).alias("norm"))
-    lines = lines.select("id", "line_no", "norm", F.xxhash64("norm").alias("line_key"))
-    place = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("id"), "line_no")
-    texts = materialise(lines.groupBy("line_key").agg(F.first("norm").alias("norm"), F.min(place).alias("first")))
-    lines = materialise(lines.select("id", "line_no", "line_key"))
-    firsts = texts.select("line_key", "first")
-    rows = materialise(_buckets(_signatures(texts)))
-    links = materialise(_links(materialise(_pairs(rows, threshold)), texts, threshold))
-    apart = materialise(_apart(rows, texts, connected_components(links), threshold))
-    if not apart.isEmpty():
-        more = _links(apart, texts, threshold).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    place = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "line_no")
+    lines = line_table(docs, key, text)
+    texts = clustered(lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("first")), "k1", "k2")
+    nodes = _nodes(texts)
+    rows = _buckets(nodes)
+    links = materialise(_links(materialise(_stars(rows, nodes)), nodes, texts, threshold))
+    more = materialise(_apart(rows, connected_components(links)))
+    if not more.isEmpty():
+        more = _links(more, nodes, texts, threshold).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
         links = materialise(links.unionByName(more))
-    classes = materialise(connected_components(links).join(firsts.select(F.col("line_key").alias("node"), "first"), "node"))
+    classes = connected_components(links).join(nodes.select("node", "k1", "k2"), "node")
+    classes = materialise(classes.join(texts.select("k1", "k2", "first"), ["k1", "k2"]).select("k1", "k2", "component", "first"))
     heads = classes.groupBy("component").agg(F.min("first").alias("head"))
-    merged = classes.join(heads, "component").select(F.col("node").alias("line_key"), "component", "head")
-    alone = firsts.join(merged.select("line_key"), "line_key", "left_anti").select("line_key", F.col("line_key").alias("component"), F.col("first").alias("head"))
-    told = merged.unionByName(alone)
-    out = lines.select("id", "line_no", "line_key").join(told, "line_key")
-    keep = (F.coalesce("id", F.lit(-(2**63))) == F.col("head.id")) & (F.col("line_no") == F.col("head.line_no"))
-    head = F.when(F.col("head.id") > -(2**63), F.col("head.id"))
+    merged = classes.join(heads, "component").select("k1", "k2", "head")
+    told = texts.select("k1", "k2", "first").join(merged, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("head", "first").alias("head"))
+    out = lines.select("id", "line_no", "k1", "k2").join(told, ["k1", "k2"])
+    head = F.when(F.col("head.known"), F.col("head.id"))
+    keep = head.eqNullSafe(F.col("id")) & (F.col("line_no") == F.col("head.line_no"))
     return out.select(F.col("id").alias(key), "line_no", head.alias("head_id"), F.col("head.line_no").alias("head_line"), keep.alias("keep"))
 
 
