@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,15 +18,16 @@ BANDS = 10
 ROWS = 4
 #: Points of a line that its bins are filled from, about. Three a bin leave few bins empty.
 POINTS = 120
-#: A line whose shingles fill fewer bins repeats itself; it is signed again by the number of its distinct shingles.
-FILLED = 30
-#: Bins of two signatures that agree (in three bits each) at least, for a pair to be checked: over four deviations below the
-#: expectation of a pair at the threshold.
-AGREE = 23
+#: A line whose shingles fill fewer bins repeats itself; it is signed again by the number of its distinct shingles. Others have at
+#: least DISTINCT of their shingles once only.
+FILLED = 34
+DISTINCT = 0.5
+#: Words of 64 bits in the sketch of a line; the bits on which its points fall are set.
+WORDS = 5
+#: What travels with a row of a bucket.
+SKETCH = ["copies", "n", *(f"x{w}" for w in range(WORDS))]
 #: Rows of a bucket that meet in one group of the join; larger buckets are dealt over several.
 SLICE = 1024
-#: One bit in three: the least bit of every bin of a sketch.
-_LEAST = sum(1 << (3 * i) for i in range(BANDS * ROWS // 2))
 
 
 def normalised(line: Column) -> Column:
@@ -52,99 +54,102 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def _positions(texts: DataFrame) -> DataFrame:
-    """(k1, k2, size, turn, shingle) for every position of every line and every turn that can throw a point below its limit.
+    """(k1, k2, copies, n, turn, shingle) for every position of every line and every turn that can throw a point below its limit.
 
     Lines are cut at four bytes a character, so that no position is searched for."""
-    size = F.greatest(F.length("norm") - (SHINGLE - 1), F.lit(1)).cast("double")
-    rows = texts.select("k1", "k2", size.alias("size"), F.explode(F.array(F.encode(F.make_valid_utf8("norm"), "UTF-32"))).alias("code"))
+    n = F.greatest(F.length("norm") - (SHINGLE - 1), F.lit(1))
+    rows = texts.select("k1", "k2", "copies", n.alias("n"), F.explode(F.array(F.encode(F.make_valid_utf8("norm"), "UTF-32"))).alias("code"))
     rows = rows.withColumn("turn", F.explode(_turns()))
     last = F.greatest(F.octet_length("code") - (4 * SHINGLE - 1), F.lit(1))
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), last, F.lit(4))))
-    return rows.select("k1", "k2", "size", "turn", F.substring("code", F.col("at"), F.lit(4 * SHINGLE)).alias("shingle"))
+    return rows.select("k1", "k2", "copies", "n", "turn", F.substring("code", F.col("at"), F.lit(4 * SHINGLE)).alias("shingle"))
 
 
 def _distinct(texts: DataFrame) -> DataFrame:
     """As ``_positions``, for every distinct shingle."""
-    rows = texts.select("k1", "k2", F.explode(F.array(shingles(F.make_valid_utf8("norm")))).alias("shingles"))
-    rows = rows.withColumn("size", F.size("shingles").cast("double")).withColumn("turn", F.explode(_turns()))
-    return rows.select("k1", "k2", "size", "turn", F.explode("shingles").alias("shingle")).withColumn("shingle", F.encode("shingle", "UTF-32"))
+    rows = texts.select("k1", "k2", "copies", F.explode(F.array(shingles(F.make_valid_utf8("norm")))).alias("shingles"))
+    rows = rows.withColumn("n", F.size("shingles")).withColumn("turn", F.explode(_turns()))
+    rows = rows.select("k1", "k2", "copies", "n", "turn", F.explode("shingles").alias("shingle"))
+    return rows.withColumn("shingle", F.encode("shingle", "UTF-32"))
 
 
 def _turns() -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.ceil(POINTS / F.col("size")).cast("int") - 1, F.lit(0)))
+    return F.sequence(F.lit(0), F.greatest(F.ceil(POINTS / F.col("n")).cast("int") - 1, F.lit(0)))
 
 
 def _signatures(rows: DataFrame) -> DataFrame:
-    """(k1, k2, filled, s0, s1, b0, b1, ...): the bins that each line fills, three bits of every bin, and its band keys (null: an empty band).
+    """(k1, k2, copies, n, filled, x0, x1, ..., b0, b1, ...): the bins that each line fills, its sketch and its band keys (null: an empty band).
 
     Every shingle throws points: the first by its hash in [0, 1), the next in [1, 2) and so on, each into a bin. A line takes the
-    points below POINTS / ``size``, so that long and short ones fill their bins alike, and a bin keeps its least point: the part of
+    points below POINTS / ``n``, so that long and short ones fill their bins alike, and a bin keeps its least point: the part of
     equal bins estimates the Jaccard similarity. The limit only cuts off what is great, which seldom is the least of a bin.
 
     The rows come from generated loops over a table that is clustered by its key, so all of this is one stage.
     """
-    rows = rows.select("k1", "k2", "size", "turn", F.xxhash64("turn", "shingle").alias("h"))
-    unit = float(1 << 44)
+    rows = rows.select("k1", "k2", "copies", "n", "turn", F.xxhash64("turn", "shingle").alias("h"))
     point = F.col("turn") * F.lit(1 << 44) + F.shiftrightunsigned("h", 20)
-    rows = rows.select("k1", "k2", "size", F.col("h").bitwiseAND(F.lit((1 << 20) - 1)).alias("bin"), point.alias("point"))
-    rows = rows.where(F.col("point").cast("double") * F.col("size") < F.lit(POINTS * unit))
-    rows = rows.select("k1", "k2", "point", (F.col("bin") % BANDS).alias("band"), (F.shiftright("bin", 10) % ROWS).alias("row"))
+    rows = rows.select("k1", "k2", "copies", "n", F.col("h").bitwiseAND(F.lit((1 << 20) - 1)).alias("bin"), point.alias("point"))
+    rows = rows.where(F.col("point").cast("double") * F.col("n") < F.lit(POINTS * float(1 << 44)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("point").bitwiseAND(F.lit(63)).cast("int"))
+    rows = rows.select("k1", "k2", "copies", "n", "point", bit.alias("bit"), (F.col("bin") % BANDS).alias("band"), (F.shiftright("bin", 10) % ROWS).alias("row"))
     least = [f"m{i}" for i in range(ROWS)]
-    bands = rows.groupBy("k1", "k2", "band").agg(*[F.min(F.when(F.col("row") == i, F.col("point"))).alias(m) for i, m in enumerate(least)])
-    bits = [F.coalesce(F.shiftleft((F.col(m) % 7) + 1, 3 * i), F.lit(0)) for i, m in enumerate(least)]
-    half, width = BANDS // 2, 3 * ROWS
-    packed = F.call_function("shiftleft", reduce(Column.bitwiseOR, bits), (F.col("band") % half * width).cast("int"))
+    bands = rows.groupBy("k1", "k2", "copies", "n", "band").agg(
+        *[F.min(F.when(F.col("row") == i, F.col("point"))).alias(m) for i, m in enumerate(least)], F.bit_or("bit").alias("word")
+    )
     full = reduce(Column.__add__, [F.col(m).isNotNull().cast("int") for m in least])
-    bands = bands.select("k1", "k2", "band", full.alias("full"), packed.alias("packed"), F.xxhash64("band", *[F.coalesce(m, F.lit(-1)) for m in least]).alias("bucket"))
-    return bands.groupBy("k1", "k2").agg(
+    bucket = F.xxhash64("band", *[F.coalesce(m, F.lit(-1)) for m in least])
+    bands = bands.select("k1", "k2", "copies", "n", "band", "word", full.alias("full"), bucket.alias("bucket"))
+    return bands.groupBy("k1", "k2", "copies", "n").agg(
         F.sum("full").alias("filled"),
-        *[F.coalesce(F.bit_or(F.when((F.col("band") >= half) == bool(s), F.col("packed"))), F.lit(0)).alias(f"s{s}") for s in range(2)],
+        *[F.coalesce(F.bit_or(F.when(F.col("band") % WORDS == w, F.col("word"))), F.lit(0)).alias(f"x{w}") for w in range(WORDS)],
         *[F.max(F.when(F.col("band") == b, F.col("bucket"))).alias(f"b{b}") for b in range(BANDS)],
     )
 
 
 def _nodes(texts: DataFrame) -> DataFrame:
-    """(node, k1, k2, s0, s1, b0, b1, ...): a number for every distinct line, and its signature."""
+    """(node, k1, k2, copies, n, x0, ..., b0, ...): a number for every distinct line, and its signature."""
     strong = materialise(_signatures(_positions(texts)).select(F.monotonically_increasing_id().alias("node"), "*")).where(F.col("filled") >= FILLED)
     weak = texts.join(strong.select("k1", "k2"), ["k1", "k2"], "left_anti")
     again = _signatures(_distinct(weak))
     return strong.unionByName(materialise(again.select((-1 - F.monotonically_increasing_id()).alias("node"), "*"))).drop("filled")
 
 
-def shingles(norm: Column) -> Column:
-    """The distinct runs of SHINGLE characters (the whole line, if shorter)."""
-    return F.when(F.length(norm) <= SHINGLE, F.array(norm)).otherwise(
-        F.array_distinct(F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    )
-
+def _alike(x: str, y: str, threshold: float) -> Column:
+    """Whether the sketches of two rows allow the similarity ``threshold``.
 
-def _alike(x: str, y: str) -> Column:
-    """Whether so many bins of the two rows' sketches agree."""
-    differ = F.lit(0)
-    for s in ("s0", "s1"):
-        d = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(_LEAST))
-        differ = differ + F.bit_count(d)
-    return differ <= BANDS * ROWS - AGREE
+    Of two lines of that similarity, (1 - t) / (1 + t) of the points of both are in one only, and the shorter one's limit lets in
+    more points by the ratio of the lengths. Four deviations of the sampling are added (whole turns aren't sampled). Some of those
+    points share a bit with each other or with a common point, as is to be expected of at least t * DISTINCT of them.
+    """
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.x{w}").bitwiseXOR(F.col(f"{y}.x{w}"))) for w in range(WORDS)])
+    least, most = F.least(F.col(f"{x}.n"), F.col(f"{y}.n")), F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))
+    extra = POINTS * (1 - least / most)
+    single = POINTS * ((1 - threshold) / (1 + threshold) * (1 + least / most))
+    turns = POINTS / most
+    part = turns - F.floor(turns)
+    single = single + extra + 4 * F.sqrt(single * part * (1 - part) / turns + extra)
+    bits = 64 * WORDS
+    limit = bits * math.exp(-threshold * DISTINCT * POINTS / bits) * (1 - F.exp(-single / bits))
+    return (least >= threshold * DISTINCT * most) & (differ <= limit)
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, head, size, node, s0, s1): the lines of every band key that more than one line has, and the least of them."""
+    """(bucket, node, copies, n, x0, ...): the lines of every band key that more than one line has, clustered by it."""
     rows = nodes.select("node", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket")).where("bucket IS NOT NULL")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1")
-    return materialise(rows.join(sizes, "bucket").join(nodes.select("node", "s0", "s1"), "node"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    return clustered(rows.join(sizes, "bucket").join(nodes.select("node", *SKETCH), "node"), "bucket")
 
 
-def _stars(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): every line of a bucket with the bucket's least one, if their sketches are alike. So few pairs join most of a large
-    group of copies."""
-    edges = rows.where("node <> head").select("node", "head", "s0", "s1").dropDuplicates(["node", "head"]).alias("x")
-    heads = nodes.select(F.col("node").alias("head"), "s0", "s1").alias("y")
-    met = edges.join(heads, F.col("x.head") == F.col("y.head")).where(_alike("x", "y"))
-    return met.select(F.col("x.head").alias("a"), F.col("x.node").alias("b"))
+def _stars(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every line of a bucket with the bucket's most frequent one (then the one of the least number), if their sketches allow it.
+    So few pairs join most of a large group of copies: what is copied most is in the middle of its variants."""
+    heads = rows.groupBy("bucket").agg(F.max(F.struct("copies", (-F.col("node")).alias("last"), *SKETCH[1:])).alias("y"))
+    met = rows.alias("x").join(heads, "bucket").where((F.col("x.node") != -F.col("y.last")) & _alike("x", "y", threshold))
+    a, b = F.col("x.node"), -F.col("y.last")
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(rows: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """(a, b, ca, cb): the pairs of lines of a bucket that are alike by their sketches, but that ``labels`` (node, component) leave in
     two components.
 
@@ -153,17 +158,17 @@ def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    parts = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("major"))
-    rows = rows.join(parts.where("parts > 1").select("bucket", "major"), "bucket").select(
-        "bucket", "node", "s0", "s1", "component", "major", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")
+    parts = parts.groupBy("bucket").agg(
+        F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("major")
     )
-    rows = materialise(rows)
+    rows = rows.join(parts.where("parts > 1").drop("parts"), "bucket")
+    rows = rows.withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int"))
     minor = rows.where("component <> major").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     every = rows.withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int"))
     x, y = minor.alias("x"), every.alias("y")
     once = (F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
-    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.component") != F.col("y.component")) & once & _alike("x", "y")
-    return x.join(y, on).select(
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.component") != F.col("y.component"))
+    return x.join(y, on & once & _alike("x", "y", threshold)).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"),
     ).dropDuplicates(["a", "b"])
 
@@ -187,7 +192,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
     Lines are compared after lower-casing and white space folding. Equal lines are one distinct line, by 128 bits of hash. Distinct
     lines get a signature of the character shingles at all their positions, in one permutation, cut into bands; lines that share a
     band and are alike by their sketches are candidates, checked by exact Jaccard similarity of all their shingles: first each with
-    the least of its bucket, then all that are still in different components. A distributed union-find makes components, and the
+    the most frequent of its bucket, then all that are still in different components. A distributed union-find makes components, and the
     line of the smallest (key, line_no) of each stays.
 
     Defined cases: null and blank lines have no row; null keys come first in order; equal lines of repeated rows count once each; a line of at
@@ -195,11 +200,11 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
     """
     place = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "line_no")
     lines = line_table(docs, key, text)
-    texts = clustered(lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("first")), "k1", "k2")
+    texts = clustered(lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "k1", "k2")
     nodes = _nodes(texts)
     rows = _buckets(nodes)
-    links = materialise(_links(materialise(_stars(rows, nodes)), nodes, texts, threshold))
-    more = materialise(_apart(rows, connected_components(links)))
+    links = materialise(_links(materialise(_stars(rows, threshold)), nodes, texts, threshold))
+    more = materialise(_apart(rows, connected_components(links), threshold))
     if not more.isEmpty():
         more = _links(more, nodes, texts, threshold).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
         links = materialise(links.unionByName(more))
