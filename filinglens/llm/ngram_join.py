@@ -104,6 +104,8 @@ def _index(runs: int, depth: int, k: int):
                 paths = mixed(sig[:, : runs * depth]).view(np.int64)
                 sketch = (sig[:, :SKETCH] >> np.uint64(40)).astype(np.uint16)
                 some = [i for i, s in enumerate(sets) if len(s)]
+                if not some:  # a frame of empty lists has no list columns
+                    continue
                 yield pd.DataFrame({
                     "id": part["id"].to_numpy()[some],
                     "set_key": [xxhash.xxh3_128_digest(sets[i].tobytes()) for i in some],
@@ -347,7 +349,9 @@ def _exact(ids: DataFrame, sets: DataFrame, families: DataFrame, words: int, thr
 
 
 def keep_first(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row of each class: that of its smallest key; rows with a null key are all kept."""
+    """The rows of each class's smallest key, but each different row once; rows with a null key are all kept.
+
+    Rows that share a key but differ stay all: no text is lost, and nothing depends on the order of reading."""
     lost = classes.where(F.col("class_id") != F.col(key)).select(F.col(key)).distinct()
-    kept = docs.where(F.col(key).isNotNull()).join(lost, key, "left_anti").dropDuplicates([key])
-    return kept.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    kept = docs.where(F.col(key).isNotNull()).join(lost, key, "left_anti").select(docs.columns).distinct()
+    return kept.unionByName(docs.where(F.col(key).isNull()))

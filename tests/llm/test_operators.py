@@ -244,6 +244,25 @@ def test_ngram_cases(spark):
     assert ngram_join.link_classes(docs(spark, [])).count() == 0
 
 
+def test_ngram_wordless_files(spark, tmp_path):
+    """Files and batches of nothing but null, empty or wordless texts."""
+    texts = [None, "", "  ", "?!", "a few words of a text here", "a few words of a text here"]
+    df = docs(spark, texts).repartition(6, "doc_id")
+    for i in range(len(texts)):
+        df.where(F.col("doc_id") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    got = ngram_join.link_classes(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {0: (0, 0), 1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 1), 5: (4, 1)}
+    assert ngram_join.link_classes(docs(spark, texts[:4])).count() == 4
+
+
+def test_keep_first_rows_of_one_key(spark):
+    """Rows that share a key but differ all stay; full copies of a row don't."""
+    rows = [(1, "one", "en", "s", 3), (1, "two", "en", "s", 3), (1, "one", "en", "s", 3), (2, "one", "en", "s", 3)]
+    df = spark.createDataFrame(rows, DOC)
+    kept = ngram_join.keep_first(df, spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "doc_id long, class_id long, n_links long"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "one"), (1, "two")]
+
+
 # 3 nearest neighbours
 
 
