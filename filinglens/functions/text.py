@@ -148,8 +148,9 @@ def mask_entities(text: Column) -> Column:
     return t
 
 
-def lexicon_hits(toks: Column, category: Words) -> Column:
-    return F.array_sort(F.array_intersect(lemmas(toks), words(category)))
+def lexicon_hits(toks: Column, category: Words, lemma: Column | None = None) -> Column:
+    """Lemmas of the tokens in the list, sorted; ``lemma`` are their ``lemmas``, where these are known."""
+    return F.array_sort(F.array_intersect(lemmas(toks) if lemma is None else lemma, words(category)))
 
 
 def phrase_hits(text: Column, phrases: Words) -> Column:
@@ -181,6 +182,15 @@ def section_weight(section: Column, weights: dict[str, float] | None = None, pre
     return out
 
 
+def exact_mean(c: str | Column, places: int = 4) -> Column:
+    """The mean of an aggregate's group to so many digits, half away from zero, out of whole millionths: no order of adding decides
+    a tie. Null without a value."""
+    c = F.col(c) if isinstance(c, str) else c
+    total, n, unit = F.sum(F.round(c * 1_000_000).cast("long")), F.count(c), 10 ** (6 - places)
+    half_up = F.floor((2 * F.abs(total) + unit * n) / F.greatest(2 * unit * n, F.lit(1)))
+    return F.signum(total.cast("double")) * half_up / float(10**places)
+
+
 def net_label(net: Column, threshold: float | Column = 0.1) -> Column:
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
     return F.when(net > t, "positive").when(net < -t, "negative").otherwise("neutral")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import exact_mean
+
 CORPUS = "_corpus_all"
 RELIABLE = 4
 FLAT = 1e-9
@@ -49,8 +51,8 @@ def baseline_stats(df: DataFrame, engine: str = "v1", ticker: str = "ticker", se
     g = df.select(F.col(sector).alias("s"), F.col(ticker).alias("ticker"), "growth", "risk").groupingSets([["s"], []], "s")
     out = g.agg(
         F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("ticker")).alias("tickers"),
-        F.round(F.coalesce(F.avg("growth"), F.lit(0.0)), 4).alias("growth_mean"), _spread("growth").alias("growth_stdev"),
-        F.round(F.coalesce(F.avg("risk"), F.lit(0.0)), 4).alias("risk_mean"), _spread("risk").alias("risk_stdev"),
+        F.coalesce(exact_mean("growth"), F.lit(0.0)).alias("growth_mean"), _spread("growth").alias("growth_stdev"),
+        F.coalesce(exact_mean("risk"), F.lit(0.0)).alias("risk_mean"), _spread("risk").alias("risk_stdev"),
     )
     return out.select(
         F.lit(engine).alias("engine_version"), F.when(F.col("gid") == 1, F.lit(CORPUS)).otherwise(F.col("s")).alias("reference"), "n", "tickers",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import exact_mean
 from .scoring import has_hit
 
 SCORES = ["growth", "risk", "cost_pressure"]
@@ -18,10 +19,10 @@ BIN_NAMES = ["<= -4", "-4 to -2", "-2 to 0", "0 to 2", "2 to 4", ">= 4"]
 
 def document_scores(scored: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Means over all scored sentences, rounded to 3; net from the unrounded ones; 0 without scored sentence. One shuffle with map-side sums."""
-    means = scored.groupBy(key).agg(*[F.avg(c).alias(c) for c in SCORES])
-    both = documents.join(means, key, "left")
-    cols = [F.round(F.coalesce(F.col(c), F.lit(0.0)), 3).alias(c) for c in SCORES]
-    return both.select(*documents.columns, *cols, F.round(F.coalesce(F.col("growth") - F.col("risk"), F.lit(0.0)), 3).alias("net_operating_signal"))
+    net = exact_mean(F.col("growth") - F.col("risk"), 3).alias("net_operating_signal")
+    means = scored.groupBy(key).agg(*[exact_mean(c, 3).alias(c) for c in SCORES], net)
+    cols = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in (*SCORES, "net_operating_signal")]
+    return documents.join(means, key, "left").select(*documents.columns, *cols)
 
 
 def coverage(scored: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +48,15 @@ def hits_by_join(sentences: DataFrame, lexicon: DataFrame, keys: list[str]) -> D
 
 
 def hit_columns(df: DataFrame, s: Scorer) -> DataFrame:
-    tok, text = F.col("tokens"), F.col("text")
-    return df.withColumns({
-        "growth_lm": t.lexicon_hits(tok, s.growth), "risk_lm": t.lexicon_hits(tok, s.risk), "uncertainty_lm": t.lexicon_hits(tok, s.uncertainty),
+    tok, text, lem = F.col("tokens"), F.col("text"), F.col("_lemmas")
+    df = df.select("*", F.explode(F.array(t.lemmas(tok))).alias("_lemmas"))
+    df = df.withColumns({
+        "growth_lm": t.lexicon_hits(tok, s.growth, lem), "risk_lm": t.lexicon_hits(tok, s.risk, lem),
+        "uncertainty_lm": t.lexicon_hits(tok, s.uncertainty, lem),
         "growth_phrases": t.phrase_hits(text, s.growth_phrases), "risk_phrases": t.phrase_hits(text, s.risk_phrases),
         "cost_phrases": t.phrase_hits(text, s.cost_phrases),
     })
+    return df.drop("_lemmas")
 
 
 def raw_scores(df: DataFrame) -> DataFrame:
@@ -114,17 +118,42 @@ def score_sentences(df: DataFrame, scorer: Scorer, version: str = "v1", engine:
     """Scores of sentences by engine version; the output columns are the same for all. ``engine`` replaces the three built-in ones."""
     if engine is not None:
         return engine(df)
+    scorer, least = _of_version(scorer, version)
+    return _finished(raw_scores(hit_columns(df.where(F.size("tokens") >= least), scorer)), scorer, version)
+
+
+def _of_version(scorer: Scorer, version: str) -> tuple[Scorer, int]:
     if version not in d.MIN_TOKENS:
         raise ValueError(f"unknown engine version {version!r}")
-    least = d.MIN_TOKENS[version] if scorer.min_tokens is None else scorer.min_tokens
     if version != "v1" and scorer.growth_phrases == d.GROWTH_PHRASES:
         scorer = replace(scorer, growth_phrases=d.GROWTH_PHRASES_V2)
-    out = raw_scores(hit_columns(df.where(F.size("tokens") >= least), scorer))
-    out = {"v1": negate_flip, "v2": negate_zero, "v3": lambda x: negate_scope(x, scorer)}[version](out)
+    return scorer, d.MIN_TOKENS[version] if scorer.min_tokens is None else scorer.min_tokens
+
+
+def _finished(raw: DataFrame, scorer: Scorer, version: str) -> DataFrame:
+    out = {"v1": negate_flip, "v2": negate_zero, "v3": lambda x: negate_scope(x, scorer)}[version](raw)
     out = weigh_sections(hedge_damp(out), scorer)
     return out.withColumn("net_score", F.col("growth") - F.col("risk")).withColumn("engine_version", F.lit(version))
 
 
+def score_versions(df: DataFrame, scorer: Scorer, versions: list[str]) -> DataFrame:
+    """The rows of ``score_sentences`` for several versions, out of one pass: sentences are tokenised and their hits found once, the
+    versions' scores are columns of one row, and those are unfolded last."""
+    settings = {v: _of_version(scorer, v) for v in versions}
+    if len({tuple(s.growth_phrases) for s, _ in settings.values()}) > 1:  # other phrases make other hits
+        return reduce(DataFrame.unionByName, [score_sentences(df, scorer, v) for v in versions])
+    shared = next(iter(settings.values()))[0]
+    out = raw_scores(hit_columns(df.where(F.size("tokens") >= min(k for _, k in settings.values())), shared))
+    names = ["growth", "risk", "cost_pressure", "net_score", "engine_version"]
+    out = out.withColumn("_raw", F.struct(*names[:3]))
+    for v, (s, least) in settings.items():
+        out = _finished(out, s, v).withColumn(f"_{v}", F.when(F.size("tokens") >= least, F.struct(*names)))
+        out = out.drop(*names[3:]).withColumns({c: F.col(f"_raw.{c}") for c in names[:3]})
+    each = F.explode(F.array_compact(F.array(*[f"_{v}" for v in versions]))).alias("_s")
+    rest = [c for c in out.columns if c not in (*names, "_raw", *(f"_{v}" for v in versions))]
+    return out.select(*rest, each).select(*rest, "_s.*")
+
+
 def simple_score(df: DataFrame, scorer: Scorer, key: str = "doc_id", least: int = 6) -> DataFrame:
     """(key, growth, risk): sums of sign times weight times hits; a negated sentence counts negative, a hedged one half."""
     hit = hit_columns(df.where(F.size("tokens") >= least), scorer)

@@ -10,14 +10,28 @@ from .. import dictionaries as d
 from ..functions import text as t
 
 
-def split_sentences(sections: DataFrame, key: str = "doc_id", body: str = "body", least: int = 3) -> DataFrame:
+def split_sentences(sections: DataFrame, key: str = "doc_id", body: str = "body", least: int = 3, one_section: bool = False) -> DataFrame:
     """Rows of ``sections`` (key, section_ord, ..., body) as sentences of at least ``least`` characters; ``sent_id`` runs from 0
-    through all sections of a document."""
+    through all sections of a document.
+
+    With ``one_section`` (each key has one row) sentences are numbered where they are cut, without a shuffle. Else a window
+    over the sections' counts tells where each one begins, and only those counts are sorted.
+    """
     rest = [c for c in sections.columns if c != body]
-    rows = sections.select(*rest, F.posexplode(t.sentences(F.col(body))).alias("pos", "text"))
-    rows = rows.withColumn("text", F.trim("text")).where(F.length("text") >= least)
-    w = W.partitionBy(key).orderBy("section_ord", "pos")
-    return rows.withColumn("sent_id", (F.row_number().over(w) - 1).cast("int")).drop("pos")
+    pieces = F.filter(F.transform(t.sentences(F.col(body)), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+    if one_section:
+        return sections.select(*rest, F.posexplode(pieces).alias("sent_id", "text")).select(*rest, "text", "sent_id")
+    cut = sections.select(*rest, F.explode(F.array(pieces)).alias("_pieces"))
+    before = W.partitionBy(key).orderBy("section_ord").rowsBetween(W.unboundedPreceding, -1)
+    cut = cut.withColumn("_before", F.coalesce(F.sum(F.size("_pieces")).over(before), F.lit(0)))
+    rows = cut.select(*rest, "_before", F.posexplode("_pieces").alias("_pos", "text"))
+    return rows.withColumn("sent_id", (F.col("_before") + F.col("_pos")).cast("int")).drop("_before", "_pos")
+
+
+def first_sentences(sections: DataFrame, keys: DataFrame, key: str = "doc_id", one_section: bool = False) -> DataFrame:
+    """The first kept sentence of each document of ``keys``, so that nothing is computed for the others."""
+    some = sections.join(keys.select(key).distinct(), key, "left_semi")
+    return split_sentences(some, key, one_section=one_section).where("sent_id = 0")
 
 
 def add_features(
@@ -27,7 +41,8 @@ def add_features(
     """tokens, has_negation, has_hedge, text_masked and noun_phrases (empty unless ``nouns``, a Column -> Column, gives them;
     ``entities`` may mask names before the rules do)."""
     masked = t.mask_entities(entities(F.col("text")) if entities else F.col("text"))
-    df = sentences.withColumn("tokens", t.tokens(F.col("text"), stop, negation, pattern))
+    # exploding one array keeps the optimiser from cutting the tokens anew for every use
+    df = sentences.select("*", F.explode(F.array(t.tokens(F.col("text"), stop, negation, pattern))).alias("tokens"))
     return df.withColumns({
         "has_negation": t.has_negation(F.col("tokens")), "has_hedge": t.has_hedge(F.col("tokens"), hedges), "text_masked": masked,
         "noun_phrases": F.filter(nouns(F.col("text")), lambda p: F.length(p).between(2, 49)) if nouns else F.array().cast("array<string>"),

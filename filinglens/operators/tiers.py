@@ -164,7 +164,7 @@ def hybrid_rescore(rows: DataFrame, cap: int | None = None, key: str = "doc_id",
     hit, answered = F.col("method") == "lexicon", (F.col("method") == "llm") & (F.col("label") != "neutral")
     n = F.count(F.lit(1))
     return rows.groupBy(key).agg(
-        n.alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("growth", "risk", "cost_pressure")],
+        n.alias("n"), *[t.exact_mean(c).alias(c) for c in ("growth", "risk", "cost_pressure")],
         *[F.count_if(F.col("label") == x).alias(x) for x in d.LABELS],
         F.round(F.count_if(hit) / n, 4).alias("lexicon_coverage"), F.round((F.count_if(hit) + F.count_if(answered)) / n, 4).alias("hybrid_coverage"),
     )

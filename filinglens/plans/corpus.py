@@ -30,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one (spark.checkpoint.dir; only where that is unset, as in tests, a temporary one)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='filinglens-')}"
+    """A new folder below the shared one: spark.checkpoint.dir, else the session's checkpoint folder; on one machine without
+    either a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='filinglens-')}"
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
@@ -77,7 +81,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.split_sentences(sections(spark, sf_dir))
+    return sentences.split_sentences(sections(spark, sf_dir), one_section=True)
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +96,19 @@ def scored(spark: SparkSession, sf_dir: str, version: str = "v1") -> DataFrame:
     return scoring.score_sentences(featured(spark, sf_dir), SCORER, version)
 
 
+def scored_first(spark: SparkSession, sf_dir: str, keys: DataFrame, versions: list[str]) -> DataFrame:
+    """The scored first sentences of the documents of ``keys`` (doc_id)."""
+    first = sentences.first_sentences(sections(spark, sf_dir), keys, one_section=True)
+    return scoring.score_versions(sentences.add_features(first, STOP, NEGATION, HEDGES, PATTERN), SCORER, versions)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` written and read again, where several steps use it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def quoted(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -142,6 +159,12 @@ def scores_sql(version: str = "v1") -> str:
 sc AS (SELECT *, growth - risk AS net_score FROM (SELECT *, ({g}) {w} AS growth, ({r}) {w} AS risk, ({c}) {w} AS cost_pressure FROM raw WHERE len(tk) >= {LEAST[version]}))"""
 
 
+def mean_s(expr: str, places: int = 4) -> str:
+    """The mean to so many digits out of whole millionths."""
+    total, unit = f"sum(CAST(round(({expr}) * 1000000) AS BIGINT))", 10 ** (6 - places)
+    return f"sign({total}) * ((2 * abs({total}) + {unit} * count({expr})) // greatest({2 * unit} * count({expr}), 1)) / {10**places}::DOUBLE"
+
+
 def j(c: str) -> str:
     return f"array_to_string({c}, ',') AS {c}"
 

@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators import baseline, documents, scoring, sentences
 from ..sources import records as src
 from . import corpus as c
-from .corpus import FEAT, HIT, RAW, SCORER, SENTS, Query, featured, hits, j, joined, r4, r4s, scored, scores_sql, split, table
+from .corpus import FEAT, HIT, RAW, SCORER, SENTS, Query, featured, hits, j, joined, mean_s, r4, r4s, scored, scores_sql, split, table
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -60,9 +60,14 @@ def d5_mask_entities(spark: SparkSession, sf: str) -> DataFrame:
     return split(spark, sf).select("doc_id", "sent_id", t.mask_entities(F.col("text")).alias("text_masked"))
 
 
-@query(f"WITH {SENTS} SELECT doc_id, sent_id, CAST(0 AS BIGINT) AS n_noun_phrases FROM sents")
+#: A stand-in for a parser's noun phrases: runs of capitalised words.
+PHRASE = "[A-Z][a-z]*( [A-Z][a-z]*)*"
+
+
+@query(f"WITH {SENTS} SELECT doc_id, sent_id, CAST(len(p) AS BIGINT) AS n_noun_phrases, array_to_string(p, '|') AS noun_phrases FROM (SELECT doc_id, sent_id, [x for x in regexp_extract_all(text, '{PHRASE}') if length(x) BETWEEN 2 AND 49] AS p FROM sents)")
 def d6_noun_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    return featured(spark, sf).select("doc_id", "sent_id", long(F.size("noun_phrases"), "n_noun_phrases"))
+    found = sentences.add_features(split(spark, sf), c.STOP, c.NEGATION, c.HEDGES, c.PATTERN, nouns=lambda x: F.regexp_extract_all(x, F.lit(PHRASE), F.lit(0)))
+    return found.select("doc_id", "sent_id", long(F.size("noun_phrases"), "n_noun_phrases"), F.array_join("noun_phrases", "|").alias("noun_phrases"))
 
 
 @query(f"WITH {FEAT} SELECT doc_id, count(*) AS n_sentences, CAST(sum(len(tk)) AS BIGINT) AS n_tokens, count(*) FILTER (has_negation) AS n_negated, count(*) FILTER (has_hedge) AS n_hedged, any_value(section) || '=' || count(*) AS by_section FROM feat GROUP BY doc_id")
@@ -174,14 +179,12 @@ def _versions_sql() -> str:
 
 @query(_versions_sql())
 def e14_engine_version(spark: SparkSession, sf: str) -> DataFrame:
-    f = featured(spark, sf)
-    all_ = [scoring.score_sentences(f, SCORER, v) for v in c.NEGATED]
-    return all_[0].unionByName(all_[1]).unionByName(all_[2]).select("engine_version", "doc_id", "sent_id", r4("growth"), r4("risk"), r4("cost_pressure"), r4("net_score"))
+    return scoring.score_versions(featured(spark, sf), SCORER, list(c.NEGATED)).select("engine_version", "doc_id", "sent_id", r4("growth"), r4("risk"), r4("cost_pressure"), r4("net_score"))
 
 
-DOCS = scores_sql() + """,
-ds AS (SELECT d.doc_id, d.source, round(coalesce(g, 0), 3) + 0.0 AS growth, round(coalesce(r, 0), 3) + 0.0 AS risk, round(coalesce(k, 0), 3) + 0.0 AS cost_pressure, round(coalesce(g - r, 0), 3) + 0.0 AS net_operating_signal
- FROM documents d LEFT JOIN (SELECT doc_id, avg(growth) AS g, avg(risk) AS r, avg(cost_pressure) AS k FROM sc GROUP BY doc_id) USING (doc_id))"""
+DOCS = scores_sql() + f""",
+ds AS (SELECT d.doc_id, d.source, coalesce(g, 0) + 0.0 AS growth, coalesce(r, 0) + 0.0 AS risk, coalesce(k, 0) + 0.0 AS cost_pressure, coalesce(net, 0) + 0.0 AS net_operating_signal
+ FROM documents d LEFT JOIN (SELECT doc_id, {mean_s('growth', 3)} AS g, {mean_s('risk', 3)} AS r, {mean_s('cost_pressure', 3)} AS k, {mean_s('growth - risk', 3)} AS net FROM sc GROUP BY doc_id) USING (doc_id))"""
 
 
 def doc_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,12 +261,12 @@ def f9_strongest_dimension(spark: SparkSession, sf: str) -> DataFrame:
 SECTOR_CASE = "CASE WHEN n <= 4 THEN 'S1' WHEN n <= 9 THEN 'S2' WHEN n <= 14 THEN 'S3' WHEN n <= 16 THEN 'S4' ELSE 'Unknown' END"
 SECTORED = DOCS + f""",
 dz AS (SELECT *, {SECTOR_CASE} AS sector FROM (SELECT *, CAST(substr(source, 4) AS INTEGER) AS n FROM ds))"""
-BASE = SECTORED + """,
+BASE = SECTORED + f""",
 latest AS (SELECT * FROM dz QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1),
-bl AS (SELECT 'v1' AS engine_version, coalesce(sector, '_corpus_all') AS reference, count(*) AS n, list_sort(list(DISTINCT source)) AS tickers, count(*) >= 4 AS reliable, round(avg(growth), 4) AS growth_mean,
- CASE WHEN count(*) = 1 OR stddev_samp(growth) <= 1e-9 THEN 1.0 ELSE round(stddev_samp(growth), 4) END AS growth_stdev, round(avg(risk), 4) AS risk_mean,
+bl AS (SELECT 'v1' AS engine_version, coalesce(sector, '_corpus_all') AS reference, count(*) AS n, list_sort(list(DISTINCT source)) AS tickers, count(*) >= 4 AS reliable, {mean_s("growth")} AS growth_mean,
+ CASE WHEN count(*) = 1 OR stddev_samp(growth) <= 1e-9 THEN 1.0 ELSE round(stddev_samp(growth), 4) END AS growth_stdev, {mean_s("risk")} AS risk_mean,
  CASE WHEN count(*) = 1 OR stddev_samp(risk) <= 1e-9 THEN 1.0 ELSE round(stddev_samp(risk), 4) END AS risk_stdev
- FROM {} GROUP BY GROUPING SETS ((sector), ()))"""
+ FROM {{}} GROUP BY GROUPING SETS ((sector), ()))"""
 LATEST, WHOLE = BASE.replace("{}", "latest"), BASE.replace("{}", "dz")
 
 
@@ -300,8 +303,9 @@ def g4_latest_per_ticker(spark: SparkSession, sf: str) -> DataFrame:
     return baseline.latest_per_ticker(d, "source", "date", "doc_id").select("source", "doc_id")
 
 
-def latest_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    d = sectored(spark, sf).withColumn("pos", -F.col("doc_id"))
+def latest_baseline(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """The baseline of the latest document of every source, out of ``rows`` (sectored document scores) where they are known."""
+    d = (sectored(spark, sf) if rows is None else rows).withColumn("pos", -F.col("doc_id"))
     last = baseline.latest_per_ticker(d.withColumn("date", F.lit("")), "source", "date", "pos")
     return baseline.baseline_stats(last, ticker="source")
 
@@ -330,7 +334,8 @@ zs AS (SELECT dz.*, o.reference IS NOT NULL AS is_sector_specific, coalesce(o.re
 
 
 def zscored(spark: SparkSession, sf: str) -> DataFrame:
-    return baseline.apply_zscores(sectored(spark, sf).withColumn("engine_version", F.lit("v1")), latest_baseline(spark, sf))
+    rows = c.once(sectored(spark, sf))
+    return baseline.apply_zscores(rows.withColumn("engine_version", F.lit("v1")), latest_baseline(spark, sf, rows))
 
 
 @query(f"WITH {Z} SELECT doc_id, sector, reference, reference_n, is_sector_specific, round(zg, 3) + 0.0 AS z_growth, round(zr, 3) + 0.0 AS z_risk, round(zg - zr, 3) + 0.0 AS z_net FROM zs")
@@ -351,8 +356,11 @@ def g9_baseline_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {Z} SELECT doc_id, source, growth, risk, cost_pressure, net_operating_signal, CASE WHEN is_sector_specific THEN round(zg, 3) + 0.0 END AS z_growth, CASE WHEN is_sector_specific THEN round(zg - zr, 3) + 0.0 END AS z_net FROM zs")
 def f10_comparison_rows(spark: SparkSession, sf: str) -> DataFrame:
-    z = zscored(spark, sf).where("is_sector_specific").select("doc_id", *[(F.col(n) + 0.0).alias(n) for n in ("z_growth", "z_risk", "z_net")])
-    return documents.comparison_rows(doc_scores(spark, sf), z).drop("z_risk")
+    scores = c.once(doc_scores(spark, sf))
+    rows = baseline.sector_for(scores, sector_map(spark, sf), "source")
+    z = baseline.apply_zscores(rows.withColumn("engine_version", F.lit("v1")), latest_baseline(spark, sf, rows)).where("is_sector_specific")
+    z = z.select("doc_id", *[(F.col(n) + 0.0).alias(n) for n in ("z_growth", "z_risk", "z_net")])
+    return documents.comparison_rows(scores, z).drop("z_risk")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, unnest(['growth', 'risk', 'cost_pressure', 'net_operating_signal']) AS metric, unnest([growth, risk, cost_pressure, net_operating_signal]) AS value FROM ds")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import scoring, tiers
-from .corpus import Query, r4, r4s, scored, scores_sql, table
+from .corpus import Query, mean_s, once, r4, r4s, scored, scored_first, scores_sql, table
 from .records_queries import labelled_items
 from .scoring_queries import ANY_HIT
 
@@ -33,7 +33,9 @@ rt AS (SELECT doc_id, sent_id, text, CASE WHEN {ANY_HIT} THEN 'lexicon' ELSE 'pe
 
 
 def routed(spark: SparkSession, sf: str) -> DataFrame:
-    return tiers.route_tiers(scored(spark, sf)).select("doc_id", "sent_id", "text", "method", "label", "growth", "risk", "cost_pressure", "net_score")
+    """Scored and routed sentences, computed once for all the steps that follow."""
+    cols = ["doc_id", "sent_id", "text", "method", "label", "growth", "risk", "cost_pressure", "net_score"]
+    return once(tiers.route_tiers(scored(spark, sf)).select(cols))
 
 
 @query(f"WITH {ROUTED} SELECT doc_id, sent_id, method, label, {r4s('net_score')} FROM rt")
@@ -72,8 +74,8 @@ def h4_train_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def h5_classify(spark: SparkSession, sf: str) -> DataFrame:
     data = class_vectors(spark, sf)
-    out = tiers.classify(data.where("vec_id % 4 = 0"), tiers.train_classifier(data.where("vec_id % 4 <> 0"), 0.1, max_iter=50))
-    return out.select("vec_id", "label", "confidence", "net_score")
+    out = tiers.classify(data, tiers.train_classifier(data.where("vec_id % 4 <> 0"), 0.1, max_iter=50))
+    return out.select("vec_id", (F.col("vec_id") % 4 == 0).alias("held_out"), "label", "confidence", "net_score")
 
 
 @query("SELECT vec_id, CASE WHEN (vec_id % 100) / 100.0::DOUBLE < 0.6::DOUBLE THEN 'llm_pending' ELSE 'embedding' END AS method FROM embeddings")
@@ -87,14 +89,14 @@ mem AS (SELECT doc_id, sent_id, text, CAST((rn - 1) // 10 AS INTEGER) AS batch,
  (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS rn FROM rt WHERE method = 'pending'))"""
 
 
-def batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    _, pending = tiers.split_tiers(routed(spark, sf))
+def batches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    _, pending = tiers.split_tiers(rows)
     return tiers.make_batches(pending)
 
 
 @query(f"WITH {BATCHED} SELECT doc_id, batch, string_agg(n || '. ' || text, chr(10) ORDER BY n) AS prompt FROM mem GROUP BY doc_id, batch")
 def h7_make_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return batches(spark, sf)[1]
+    return batches(routed(spark, sf))[1]
 
 
 #: What a model might answer: a label by number, one in seven lines broken, one number answered twice.
@@ -103,8 +105,8 @@ ANSWERED = BATCHED + f""",
 ans AS (SELECT *, CASE WHEN (doc_id + sent_id) % 7 = 0 THEN NULL WHEN {ANSWER} = 'unsure' THEN NULL ELSE lower({ANSWER}) END AS lab FROM mem)"""
 
 
-def answers(spark: SparkSession, sf: str, score: bool = False) -> tuple[DataFrame, DataFrame]:
-    m, _ = batches(spark, sf)
+def answers(rows: DataFrame, score: bool = False) -> tuple[DataFrame, DataFrame]:
+    m, _ = batches(rows)
     k = (F.col("doc_id") + F.col("n")) % 4
     label = F.when(k == 0, "Positive").when(k == 1, "negative").when(k == 2, "neutral").otherwise("unsure")
     number = F.col("n").cast("string")
@@ -119,7 +121,7 @@ KEYS = ["doc_id", "batch"]
 
 @query(f"WITH {ANSWERED} SELECT doc_id, sent_id, coalesce(lab, CASE WHEN n = 1 THEN 'neutral' END, 'neutral') AS label, CASE WHEN lab IS NOT NULL THEN 'because' WHEN n = 1 THEN '0' ELSE 'parse_error' END AS reason FROM ans")
 def h8_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
-    m, r = answers(spark, sf)
+    m, r = answers(routed(spark, sf))
     return tiers.parse_responses(m, r, KEYS).select("doc_id", "sent_id", "label", "reason")
 
 
@@ -127,14 +129,14 @@ def h8_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, sent_id, CASE WHEN ok THEN CASE WHEN {ANSWER} = 'unsure' THEN 'neutral' ELSE lower({ANSWER}) END ELSE 'neutral' END AS label, CAST(CASE WHEN ok THEN s ELSE 0 END AS DOUBLE) + 0.0 AS net_score,
  CAST(CASE WHEN ok THEN greatest(s, 0) ELSE 0 END AS DOUBLE) + 0.0 AS growth, CAST(CASE WHEN ok THEN greatest(-s, 0) ELSE 0 END AS DOUBLE) + 0.0 AS risk FROM sc2""")
 def h9_parse_scored_responses(spark: SparkSession, sf: str) -> DataFrame:
-    m, r = answers(spark, sf, score=True)
+    m, r = answers(routed(spark, sf), score=True)
     out = tiers.parse_scored_responses(m, r, KEYS)
     return out.select("doc_id", "sent_id", "label", *[(F.col(x) + 0.0).alias(x) for x in ("net_score", "growth", "risk")])
 
 
 @query(f"WITH {ANSWERED} SELECT doc_id, sent_id, CASE WHEN doc_id % 3 = 0 THEN 'neutral' ELSE coalesce(lab, 'neutral') END AS label, CASE WHEN doc_id % 3 = 0 THEN 'api_error' WHEN lab IS NOT NULL THEN 'because' WHEN n = 1 THEN '0' ELSE 'parse_error' END AS reason FROM ans")
 def h10_api_error_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    m, r = answers(spark, sf)
+    m, r = answers(routed(spark, sf))
     parsed = tiers.parse_responses(m, r, KEYS)
     return tiers.api_error_fallback(m, parsed, r.where("doc_id % 3 = 0"), KEYS).select("doc_id", "sent_id", "label", "reason")
 
@@ -146,8 +148,9 @@ mg AS (SELECT rt.doc_id, rt.sent_id, rt.text, coalesce(a.label, rt.label) AS lab
 
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
-    m, r = answers(spark, sf)
-    return tiers.merge_tiers(routed(spark, sf), tiers.parse_responses(m, r, KEYS), ["doc_id", "sent_id"])
+    rows = routed(spark, sf)
+    m, r = answers(rows)
+    return tiers.merge_tiers(rows, tiers.parse_responses(m, r, KEYS), ["doc_id", "sent_id"])
 
 
 @query(f"WITH {MERGED} SELECT doc_id, sent_id, label, method, {r4s('net_score')} FROM mg")
@@ -165,8 +168,8 @@ def h13_normalize_row(spark: SparkSession, sf: str) -> DataFrame:
     return tiers.normalize_row(merged(spark, sf)).select("doc_id", "sent_id", "method", r4("growth"), r4("risk"))
 
 
-RESCORED = MERGED + """,
-hr AS (SELECT doc_id, count(*) AS n, avg(growth) AS growth, avg(risk) AS risk, avg(cost_pressure) AS cost_pressure, count(*) FILTER (label = 'negative') AS negative, count(*) FILTER (label = 'neutral') AS neutral,
+RESCORED = MERGED + f""",
+hr AS (SELECT doc_id, count(*) AS n, {mean_s('growth')} AS growth, {mean_s('risk')} AS risk, {mean_s('cost_pressure')} AS cost_pressure, count(*) FILTER (label = 'negative') AS negative, count(*) FILTER (label = 'neutral') AS neutral,
  count(*) FILTER (label = 'positive') AS positive, round(count(*) FILTER (method = 'lexicon') / count(*)::DOUBLE, 4) AS lexicon_coverage,
  round((count(*) FILTER (method = 'lexicon') + count(*) FILTER (method = 'llm' AND label <> 'neutral')) / count(*)::DOUBLE, 4) AS hybrid_coverage
  FROM (SELECT * FROM mg QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) <= 20) GROUP BY doc_id)"""
@@ -185,7 +188,7 @@ def h15_response_only_rescore(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {RESCORED} SELECT hr.doc_id, coalesce(a, 0) AS n_answered, round(greatest(hybrid_coverage - lexicon_coverage, 0), 4) AS coverage_boost FROM hr LEFT JOIN (SELECT doc_id, count(*) AS a FROM mg WHERE method = 'llm' GROUP BY doc_id) USING (doc_id)")
 def h16_rescore_view(spark: SparkSession, sf: str) -> DataFrame:
-    m = merged(spark, sf)
+    m = once(merged(spark, sf))
     return tiers.rescore_view(m, tiers.hybrid_rescore(m, 20))
 
 
@@ -200,8 +203,12 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return labelled_items(spark, sf).select("id", label.alias("true_label"))
 
 
+def first_scored(spark: SparkSession, sf: str, versions: list[str]) -> DataFrame:
+    return scored_first(spark, sf, items(spark, sf).select(F.col("id").alias("doc_id")), versions)
+
+
 def predicted(spark: SparkSession, sf: str, version: str = "v1") -> DataFrame:
-    return ev.predict_items(items(spark, sf), scored(spark, sf, version))
+    return ev.predict_items(items(spark, sf), first_scored(spark, sf, [version]))
 
 
 @query(f"WITH {PRED} SELECT id, true_label, pred_label, {r4s('net_score')} FROM pr")
@@ -249,10 +256,11 @@ def i5_signal_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return ev.signal_coverage(predicted(spark, sf))
 
 
-def methods(spark: SparkSession, sf: str, version: str = "v1") -> DataFrame:
-    parsed = F.col("parsed")
-    p = predicted(spark, sf, version)
-    seen = scored(spark, sf, version).where("sent_id = 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("parsed"), scoring.has_hit().alias("hit"))
+def methods(wanted: DataFrame, first: DataFrame, version: str) -> DataFrame:
+    """Predictions of one engine version and how each came about; ``first`` are the scored first sentences of all versions."""
+    parsed, first = F.col("parsed"), first.where(F.col("engine_version") == version)
+    p = ev.predict_items(wanted, first)
+    seen = first.select(F.col("doc_id").alias("id"), F.lit(True).alias("parsed"), scoring.has_hit().alias("hit"))
     p = p.join(seen, "id", "left").withColumns({"parsed": F.coalesce("parsed", F.lit(False)), "hit": F.coalesce("hit", F.lit(False))})
     return p.withColumn("method", ev.miss_method(version, parsed, F.col("hit"))).withColumn("engine", F.lit(version))
 
@@ -269,7 +277,8 @@ ENGINES = f"en AS (SELECT * FROM {_engine_sql('v1')} UNION ALL SELECT * FROM {_e
 
 def engines(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["id", "true_label", "pred_label", "method", "engine"]
-    return methods(spark, sf, "v1").select(cols).unionByName(methods(spark, sf, "v2").select(cols))
+    wanted, first = items(spark, sf), once(first_scored(spark, sf, ["v1", "v2"]))
+    return methods(wanted, first, "v1").select(cols).unionByName(methods(wanted, first, "v2").select(cols))
 
 
 @query(f"WITH {ENGINES}, m AS (SELECT engine, method, count(*) AS n FROM en GROUP BY ALL) SELECT engine, CAST(sum(n) AS BIGINT) AS n_rows, round(sum(CASE WHEN method = 'lexicon' THEN n ELSE 0 END) / sum(n)::DOUBLE, 4) AS coverage, string_agg(method || '=' || n, ',' ORDER BY method) AS breakdown FROM m GROUP BY engine")

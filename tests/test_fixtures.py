@@ -13,6 +13,9 @@ from filinglens.operators import baseline, cleaning, documents, evaluation, prep
 from filinglens.sources import records
 from filinglens.streaming import incremental
 
+#: The companies of the baseline fixture.
+SECTORS = {"Technology": ["AAPL", "MSFT", "GOOGL", "META"], "Financials": ["JPM", "BAC", "WFC", "GS"]}
+
 
 def one(spark, value, expr):
     return spark.createDataFrame([(value,)], "x string").select(expr(F.col("x")).alias("y")).first().y
@@ -163,7 +166,7 @@ MOCK = {
 
 def mock(spark):
     rows = [(t_, g, r) for ts in MOCK.values() for t_, (g, r) in ts.items()]
-    return baseline.sector_for(spark.createDataFrame(rows, "ticker string, growth double, risk double"), d.sector_table(spark))
+    return baseline.sector_for(spark.createDataFrame(rows, "ticker string, growth double, risk double"), d.sector_table(spark, SECTORS))
 
 
 def test_baseline(spark):
@@ -189,8 +192,8 @@ def test_zscores(spark):
     none = baseline.apply_zscores(docs, b.limit(0)).first()
     assert none.reference == "no_baseline" and none.z_growth == 0.0
     with pytest.raises(ValueError):
-        baseline.baseline_universe(docs, d.sector_table(spark), ["Nowhere"])
-    assert min(r.n for r in baseline.sector_coverage(d.sector_table(spark)).collect()) >= 4
+        baseline.baseline_universe(docs, d.sector_table(spark, SECTORS), ["Nowhere"])
+    assert min(r.n for r in baseline.sector_coverage(d.sector_table(spark, SECTORS)).collect()) >= 4
 
 
 def test_responses(spark):
