@@ -101,7 +101,7 @@ def best(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame | None:
                 least = np.partition(x, -k)[-k]
                 near = x >= least - 1e-6  # what rounding may have put behind the last
                 x, i = x[near], i[near]
-            order = np.lexsort((i, -x))[: k + 8]
+            order = np.lexsort((i, -x))
             qids += [qid] * len(order)
             ids += i[order].tolist()
             scores += x[order].tolist()
@@ -110,11 +110,18 @@ def best(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame | None:
 
 def exact_score(a: Column, b: Column) -> Column:
     """The cosine of two original vectors in double precision, summed from the left."""
+    a, b = _scaled(a), _scaled(b)
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     return dot / (norm(a) * norm(b))
 
 
+def _scaled(v: Column) -> Column:
+    """The vector, divided by its greatest component where squares would overflow or vanish; the cosine is the same."""
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    return F.when(top.between(1e-140, 1e140), v).otherwise(F.transform(v, lambda x: x / top))
+
+
 def _prefixed(hashed: DataFrame, n: int, leaf: int, bits: int) -> DataFrame:
     """(tree, prefix, deep, block, id, v, is_query): the subtree of every vector in every tree.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +14,10 @@ from pyspark.sql import Window as W
 
 #: Fixed value: the pre-tokenisation pattern that the byte-level vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space, as that pattern means it, from this length on are cut out before it is applied: it keeps a way back for every
+#: character of a run, which exhausts its stack. A run is one piece but for its last character, so the count stays exact.
+LONG_RUN = 4096
+_LONG = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -26,13 +31,25 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_count(enc, text: str | None) -> int:
+    """The number of tokens of a text; none for null and empty ones."""
+    if not text:
+        return 0
+    n, at = 0, 0
+    for run in _LONG.finditer(text):
+        end = run.end() - (run.end() < len(text))  # the last character goes to what follows
+        n += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """``docs`` with the number of tokens of each whole text (null: 0). ``vocabulary`` is a path that every worker has."""
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoding(vocabulary)
         for texts in batches:
-            yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([token_count(enc, t) for t in texts], dtype="int64")
 
     return docs.withColumn(out, F.pandas_udf(count, "long")(F.col(text)))
 

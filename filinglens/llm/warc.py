@@ -11,17 +11,19 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialise
+from .base import buckets_for, materialise, ranked
 
 MIN_DEDUP_BYTES = 100
 #: Repeated digests (under 100 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 50_000
 ROLL_BYTES = 16 << 20
-#: Raw payload bytes that one writing task takes, so the layout follows the data and not the cluster.
+#: Raw payload bytes that one writing task takes, so the layout follows the data and not the cluster; more, once there would be more
+#: than MAX_SPANS of them (a task streams its records, so its memory doesn't follow). The cuts are at most MAX_SPANS numbers.
 SPAN_BYTES = 32 << 20
+MAX_SPANS = 100_000
 #: Fixed value: archives of the same rows are the same bytes, so the date is a parameter and never the clock.
 DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -39,7 +41,7 @@ def decide(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES, salts: int = 16)
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
     p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn(
-        "payload_digest", F.sha2(F.encode("html", "UTF-8"), 256)
+        "payload_digest", F.sha2(F.col("html").cast("binary"), 256)
     )
     again = (
         p.where(F.col("payload_bytes") >= min_bytes)
@@ -102,8 +104,8 @@ def write_archives(
     """Write the records below ``out`` (a URI of any store that pyarrow opens) and return the manifest.
     ``sizes`` (page_id, payload_bytes) may give the same rows more cheaply, to cut the spans from.
 
-    Records are range-sorted by page_id: spans of about ``SPAN_BYTES`` of payload are cut at page_ids taken from
-    approximate quantiles (a bounded list of cuts) and each span is one task, sorted, whose files roll once their
+    Records are range-sorted by page_id: spans of about ``SPAN_BYTES`` of payload are cut where the running sum of the bytes,
+    in order of page_id, passes a multiple of that (exact, so the same rows give the same spans), and each span is one task, sorted, whose files roll once their
     compressed size reaches ``roll_bytes``. Every record is its own gzip member without a time stamp. A task writes
     ``.tmp-<uuid>`` names and renames each file when it is whole, so a lost executor leaves no half file under a final
     name and its retry writes the same bytes again. The manifest is written last; readers take only what it lists.
@@ -111,11 +113,9 @@ def write_archives(
     spark = decided.sparkSession
     sizes = sizes if sizes is not None else decided.select("page_id", "payload_bytes")
     total = sizes.agg(F.sum("payload_bytes").alias("b")).first().b or 0
-    spans = int(max(1, min(4096, -(-total // SPAN_BYTES))))
-    cuts = sizes.approxQuantile("page_id", [i / spans for i in range(1, spans)], 1 / (20 * spans)) if spans > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    key = F.coalesce(F.col("page_id"), F.lit(-(2**63)))
-    span = F.size(F.filter(F.lit(cuts), lambda c: c <= key)) if cuts else F.lit(0)
+    span_bytes = max(SPAN_BYTES, -(-total // MAX_SPANS))
+    cuts = _cuts(sizes, span_bytes) if total > span_bytes else []
+    span = _span(F.col("page_id"), cuts)
 
     def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -158,7 +158,7 @@ def write_archives(
     store.create_dir(base, recursive=True)
     ordered = (
         decided.withColumn("span", span.cast("int"))
-        .repartitionByRange(max(spans, 2), "span")
+        .repartitionById(len(cuts) + 1, F.col("span"))
         .sortWithinPartitions("span", F.col("page_id").asc_nulls_first(), "url", "payload_digest")
     )
     manifest = ordered.mapInPandas(write, "file string, records long, bytes long, sha256 string, first_page long, last_page long")
@@ -166,6 +166,29 @@ def write_archives(
     return spark.read.schema(manifest.schema).json(f"{out}/manifest")
 
 
+def _cuts(sizes: DataFrame, span_bytes: int) -> list[int]:
+    """The page_ids at which spans after the first begin, in order. Null page_ids are in the first."""
+    pages = sizes.where("page_id IS NOT NULL").groupBy("page_id").agg(F.sum("payload_bytes").alias("bytes"))
+    pages = materialise(pages)
+    ends = pages.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
+    if ends.low is None:
+        return []
+    spread = (F.col("page_id").cast("double") - float(ends.low)) / (float(ends.high) - float(ends.low) + 1.0)
+    order = ranked(pages, [], spread, [F.col("page_id")], "at", size=F.col("bytes"), running="before", buckets=buckets_for(pages))
+    starts = order.groupBy(F.floor(F.col("before") / span_bytes).alias("span")).agg(F.min("page_id").alias("start"))
+    return sorted(r.start for r in starts.where("span > 0").collect())
+
+
+def _span(page: Column, cuts: list[int], step: int = 256) -> Column:
+    """How many cuts are not over a page_id, by a look at every ``step``-th cut and at those between two of them."""
+    if not cuts:
+        return F.lit(0)
+    below = lambda values: F.size(F.filter(values, lambda c: c <= page))
+    coarse = below(F.lit(cuts[::step]))
+    fine = F.when(coarse > 0, (coarse - 1) * step + below(F.slice(F.lit(cuts), (coarse - 1) * step + 1, step))).otherwise(0)
+    return F.coalesce(F.when(page.isNotNull(), fine), F.lit(0))
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, payload) of each record of a whole archive."""
     raw = gzip.GzipFile(fileobj=io.BytesIO(data)).read()  # gzip.decompress copies the rest for every member

@@ -302,6 +302,19 @@ def test_neighbours_cases(spark):
     assert ann.neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_extremes(spark):
+    """Components whose squares overflow or vanish, more ties than asked for, and clashing columns."""
+    x = [[1e200, 1e200], [1e-200, 1e-200], [2e200, 2e200 * (1 + 1e-9)], [1.0, 0.0]] + [[1.0, 1.0 + 1e-12 * i] for i in range(1, 30)]
+    df = spark.createDataFrame([(i, v, 1, 0.5, 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, rank int, score double, id int")
+    got = collections.defaultdict(list)
+    for r in ann.neighbours(df, df).orderBy("query_id", "rank").collect():
+        assert r.score <= 1 + 1e-12 and r.score == r.score
+        got[r.query_id].append((r.vec_id, r.score))
+    assert len(got) == len(x) and all(len(v) == 5 for v in got.values())
+    for found in got.values():
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+
+
 # 4 mixing
 
 
@@ -582,9 +595,39 @@ def test_warc_cases(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/b").count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 700])
+def test_warc_spans(spark, n):
+    """Cuts follow the bytes: no span holds more than one step and one page, and the search for it finds every page's span."""
+    rng = random.Random(n)
+    sizes = [(i * 7, rng.choice([1, 10, 500])) for i in range(2000)]
+    total = sum(b for _, b in sizes)
+    cuts = warc._cuts(spark.createDataFrame(sizes, "page_id long, payload_bytes long"), max(1, total // n))
+    assert cuts == sorted(set(cuts)) and len(cuts) <= n
+    df = spark.createDataFrame(sizes + [(None, 5)], "page_id long, payload_bytes long").withColumn("span", warc._span(F.col("page_id"), cuts, 16))
+    held = collections.Counter()
+    for r in df.collect():
+        assert r.span == (0 if r.page_id is None else sum(c <= r.page_id for c in cuts))
+        held[r.span] += r.payload_bytes
+    assert max(held.values()) <= max(1, total // n) + 505
+
+
 # 10 token counts
 
 
+def test_token_counts_white_space():
+    """Long runs of white space count as the whole text would."""
+    enc = token_counts.encoding(token_counts.VOCABULARY)
+    old = token_counts._LONG
+    texts = ["a" + " " * k + e for k in (1, 5, 40, 300) for e in ("", "b", "\n", " .", "\n\nc", "\x1cd")] + ["\t" * 50 + "x", " " * 90, "x \u3000" * 30]
+    try:
+        token_counts._LONG = re.compile(old.pattern.replace(str(token_counts.LONG_RUN), "4"))
+        assert [token_counts.token_count(enc, t) for t in texts] == [len(enc.encode_ordinary(t)) for t in texts]
+    finally:
+        token_counts._LONG = old
+    assert token_counts.token_count(enc, " " * 2_000_000 + "word") > 1000 and token_counts.token_count(enc, "e" * 200_000) > 1000
+
+
+
 def test_token_counts(spark):
     rng = random.Random(13)
     texts = [*edge_texts(rng), *[prose(rng, rng.randint(1, 400)) for _ in range(60)], "same text", "same text"]
