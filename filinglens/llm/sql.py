@@ -8,13 +8,12 @@ LINE_DEDUP = """
 WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
 n AS (SELECT doc_id, line_no, trim(lower(regexp_replace(line, '\\s+', ' ', 'g'))) AS norm FROM l),
 d AS (SELECT norm, min(doc_id * 1000000 + line_no) AS f FROM n WHERE norm <> '' GROUP BY norm),
-s AS (SELECT f, unnest(CASE WHEN length(norm) <= 5 THEN [norm] ELSE list_distinct([substr(norm, i, 5) for i in range(1, length(norm) - 3)]) END) AS g FROM d),
-c AS (SELECT f, count(*) AS k FROM s GROUP BY f),
-w AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
-r AS (SELECT s.f, s.g, c.k, row_number() OVER (PARTITION BY s.f ORDER BY q.m, s.g) AS o FROM s JOIN c USING (f) JOIN (SELECT g, count(*) AS m FROM s GROUP BY g) q USING (g)),
-h AS (SELECT * FROM r WHERE o <= k - ceil(0.8 * k) + 1),
+s AS (SELECT f, list_sort(list_distinct(CASE WHEN length(norm) <= 5 THEN [hash(norm)] ELSE [hash(substr(norm, i, 5)) for i in range(1, length(norm) - 3)] END)) AS gs FROM d),
+q AS (SELECT g, count(*) AS m FROM (SELECT unnest(gs) AS g FROM s) GROUP BY g HAVING count(*) > 1),
+r AS (SELECT f, g, k, row_number() OVER (PARTITION BY f ORDER BY coalesce(m, 1), g) AS o, m FROM (SELECT f, unnest(gs) AS g, len(gs) AS k FROM s) LEFT JOIN q USING (g)),
+h AS (SELECT f, g, k FROM r WHERE o <= k - ceil(0.8 * k) + 1 AND m > 1),
 p AS (SELECT DISTINCT a.f AS a, b.f AS b FROM h a JOIN h b ON a.g = b.g AND a.f < b.f AND a.k >= 0.8 * b.k AND b.k >= 0.8 * a.k),
-e AS (SELECT p.a, p.b FROM p JOIN s x ON x.f = p.a JOIN s y ON y.f = p.b AND y.g = x.g JOIN c u ON u.f = p.a JOIN c v ON v.f = p.b GROUP BY p.a, p.b, u.k, v.k HAVING count(*) >= 0.8 * (u.k + v.k - count(*)) - 1e-9),
+e AS (SELECT a, b FROM (SELECT a, b, len(x.gs) + len(y.gs) AS total, len(list_intersect(x.gs, y.gs)) AS n FROM p JOIN s x ON x.f = a JOIN s y ON y.f = b) WHERE n >= 0.8 * (total - n) - 1e-9),
 g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 t AS (SELECT a AS node, a AS root FROM g UNION SELECT g.b, t.root FROM t JOIN g ON g.a = t.node WHERE t.root < g.b),
 z AS (SELECT node, min(root) AS root FROM t GROUP BY node)
