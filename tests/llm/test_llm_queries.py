@@ -48,3 +48,71 @@ def test_pipeline(spark, tmp_path):
     for r in docs.collect():
         w = tuple(re.findall(r"[^\W_]+", r.text.lower()))
         assert not any(w[i : i + 10] in windows for i in range(len(w) - 9))
+
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, epoch int, drop string, n_words long, shard string, _rest int, id int"
+
+
+def tables(spark, tmp_path, rows, items=(), labels=()):
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def stages(spark, tmp_path, sf):
+    """The rows after every stage, written and read again between them."""
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        assert k == 4 or out.columns == docs.columns
+        out.write.parquet(str(tmp_path / f"stage{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        seen.append(docs.collect())
+    return seen
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows and columns that have operators' names."""
+    more = (0.5, 7, "d", 9, "s", 1, 2)
+    words = " ".join(f"w{i}" for i in range(40))
+    passage = " ".join(f"b{i}" for i in range(12))
+    texts = [None, "", "  ", "one", words, words, f"{words} more", f"x {passage} " + " ".join(f"y{i}" for i in range(30)), passage, " ".join(f"l{i}" for i in range(30_000)), "q" * 100_000]
+    rows = [(i, t, "en", None if i == 3 else "s", None if t is None else len(t), *more) for i, t in enumerate(texts)]
+    rows += [rows[9], (None, "text without id", None, None, None, *[None] * 7), (None, "text without id", None, None, None, *[None] * 7)]
+    quality, near, clean, mixed, sharded = stages(spark, tmp_path, tables(spark, tmp_path, rows, [(1, passage), (2, None)]))
+    key = lambda rs: sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in rs))
+    assert key(quality) == sorted((i is None, i or 0, t or "") for i, t, *_ in rows)  # no labels: nothing is rejected
+    assert sorted(r.doc_id for r in near if r.doc_id is not None) == [0, 1, 2, 3, 4, 7, 8, 9, 10] and sum(r.doc_id is None for r in near) == 2
+    left = {r.doc_id: r for r in clean}
+    assert set(left) == {None, 0, 1, 2, 3, 4, 7, 9, 10} and "b3" not in left[7].text and left[7].n_chars == len(left[7].text) and left[9].text == texts[9]
+    assert all((r.score, r.epoch, r["drop"], r.n_words, r.shard, r["_rest"], r["id"]) == more for r in clean if r.doc_id is not None)
+    assert {r.doc_id for r in mixed} == set(left) and len(mixed) >= len(clean)
+    assert len(sharded) == len(mixed) and len({(r.shard, r.slot) for r in sharded}) == len(mixed)
+
+
+def test_pipeline_empty(spark, tmp_path):
+    assert [len(x) for x in stages(spark, tmp_path, tables(spark, tmp_path, []))] == [0] * 5
+
+
+def test_near_duplicate_stage(spark, tmp_path):
+    """The stage keeps the smallest doc_id of every brute-force class of the documents of the smallest table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    sets = {}
+    for i, r in rows.items():
+        w = re.findall(r"\w+", r.text.lower())
+        k = min(5, len(w))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if k else set()
+    label = {i: i for i in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert {r.doc_id for r in kept} == set(label.values()) and all(r == rows[r.doc_id] for r in kept)
