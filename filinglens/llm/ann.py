@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,13 +16,14 @@ from .base import groups_of, materialise
 TREES = 48
 #: Bits of a hash string; prefixes of it are what trees branch on.
 BITS = 62
-#: The shortest common prefix is chosen so that a subtree has about this many vectors; it grows until recall is met.
+#: A query descends to the longest common prefix that so many vectors hold at least; this grows until recall is met.
 LEAF = 800
 TARGET_RECALL = 0.92
 SAMPLE_QUERIES = 64
-#: Subtrees over this many times LEAF are descended further by so many bits, then (at all bits) split into blocks.
+#: From a subtree over this many times LEAF a query goes one bit further; blocks of a subtree in the search have so many vectors at most.
 CROWDED = 4
-STEP = 8
+#: Prefixes are counted so many bits beyond the length at which subtrees have about LEAF vectors.
+STEP = 4
 
 
 def clean_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -62,7 +64,7 @@ def _search(k: int):
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[pd.DataFrame] = []
         held = 0
-        for g in groups_of(batches, ["tree", "prefix", "deep", "block"]):
+        for g in groups_of(batches, ["tree", "depth", "prefix", "block"]):
             q, c = g[g["is_query"]], g[~g["is_query"]]
             if not len(q) or not len(c):
                 continue
@@ -122,46 +124,85 @@ def _scaled(v: Column) -> Column:
     return F.when(top.between(1e-140, 1e140), v).otherwise(F.transform(v, lambda x: x / top))
 
 
-def _prefixed(hashed: DataFrame, n: int, leaf: int, bits: int) -> DataFrame:
-    """(tree, prefix, deep, block, id, v, is_query): the subtree of every vector in every tree.
+def _prefix(hash_: str, depth: Column, bits: int) -> Column:
+    return F.call_function("shiftrightunsigned", F.col(hash_), F.lit(bits) - depth)
 
-    A subtree starts as the rows that share the first ``base`` bits. Where it is crowded its rows descend to longer common
-    prefixes; a query goes the way of its own hash string, so its neighbours there share that longer prefix.
+
+def _subtrees(rows: DataFrame, n: int, leaf: int, bits: int) -> DataFrame:
+    """(tree, depth, prefix, n): every common prefix of the sorted hash strings that at least ``leaf`` vectors hold, and the roots.
+
+    Strings are counted by prefixes of one length, which sum up to those of all shorter lengths; what still holds ``leaf``
+    vectors there is counted again by longer ones. So few jobs give every length, and no task sorts a whole tree.
     """
-    base = max(0, int(np.floor(np.log2(max(n, 1) / leaf)))) if n > leaf else 0
-    rows = hashed.select("id", F.posexplode("hashes").alias("tree", "hash"))
-    at = lambda depth: F.shiftrightunsigned("hash", bits - min(depth, bits))
-    depths = [min(base, bits), min(base + STEP, bits), bits]
-    rows = rows.withColumn("prefix", at(depths[0])).withColumn("deep", F.lit(0))
-    for level, depth in enumerate(depths[1:], 1):
-        crowded = (
-            rows.where(F.col("deep") == level - 1).groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") > CROWDED * leaf).select("tree", "prefix", F.lit(level - 1).alias("deep"), F.lit(1).alias("go"))
-        )
-        rows = rows.join(crowded, ["tree", "prefix", "deep"], "left")
-        rows = rows.withColumn("prefix", F.when(F.col("go") == 1, at(depth)).otherwise(F.col("prefix"))).withColumn(
-            "deep", F.when(F.col("go") == 1, level).otherwise(F.col("deep"))
-        ).drop("go")
-    sizes = rows.groupBy("tree", "prefix", "deep").agg(F.ceil(F.count(F.lit(1)) / (CROWDED * leaf)).cast("int").alias("blocks"))
-    return rows.drop("hash").join(sizes, ["tree", "prefix", "deep"])
-
-
-def _forest_search(vectors: DataFrame, hashed: DataFrame, queries: DataFrame, n: int, k: int, leaf: int, bits: int) -> DataFrame:
-    placed = materialise(_prefixed(hashed, n, leaf, bits))
-    cells = ["tree", "prefix", "deep"]
-    of_query = placed.join(queries.select("id"), "id")
-    wanted = of_query.select(*cells).distinct()
-    data = placed.join(wanted, cells, "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    data = data.withColumn("is_query", F.lit(False))
-    asks = of_query.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_query", F.lit(True))
-    cols = [*cells, "block", "is_query", "id"]
-    # only directions travel, as floats; final scores are computed from the original vectors
-    top = F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
-    rays = vectors.withColumn("top", top).select("id", F.transform("v", lambda x: (x / F.col("top")).cast("float")).alias("v"))
-    both = data.select(cols).unionByName(asks.select(cols)).join(rays, "id")
-    both = both.repartition(*cells, "block").sortWithinPartitions(*cells, "block")
-    found = both.select(*cols, "v").mapInPandas(_search(k), "query_id long, id long, score double")
-    return found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    depth = min(bits, max(0, int(np.log2(max(n, 1) / leaf))) + STEP)
+    low, parts = 0, []
+    while True:
+        cells = rows.groupBy("tree", _prefix("hash", F.lit(depth), bits).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        ups = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(depth))))
+        ups = ups.withColumn("prefix", F.call_function("shiftrightunsigned", F.col("cell"), F.lit(depth) - F.col("depth")))
+        counted = ups.groupBy("tree", "depth", "prefix").agg(F.sum("n").alias("n"))
+        parts.append(materialise(counted.where((F.col("n") >= leaf) | (F.col("depth") == 0))))
+        full = parts[-1].where(F.col("depth") == depth)
+        if depth == bits or full.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        rows = rows.withColumn("prefix", _prefix("hash", F.lit(depth), bits)).join(full.select("tree", "prefix"), ["tree", "prefix"], "left_semi").drop("prefix")
+        low, depth = depth + 1, min(bits, depth + 2 * STEP)
+
+
+def _lengths(df: DataFrame) -> list[int]:
+    """The different prefix lengths of a table, BITS + 1 of them at most."""
+    return sorted(r.depth for r in df.select("depth").distinct().collect())
+
+
+def _descend(rows: DataFrame, subtrees: DataFrame, leaf: int, bits: int) -> DataFrame:
+    """(id, tree, hash, depth, crowded): how long a prefix each query follows in each tree: the longest that ``leaf`` vectors hold, or one bit
+    more where over CROWDED times as many do (at all bits there is none: those subtrees are searched in blocks)."""
+    at = rows.withColumn("depth", F.explode(F.array(*[F.lit(x) for x in _lengths(subtrees)])))
+    at = at.withColumn("prefix", _prefix("hash", F.col("depth"), bits)).join(subtrees, ["tree", "depth", "prefix"])
+    last = at.groupBy("id", "tree", "hash").agg(F.max(F.struct("depth", "n")).alias("x"))
+    crowded = F.col("x.n") > CROWDED * leaf
+    return last.select("id", "tree", "hash", F.least(F.col("x.depth") + crowded.cast("int"), F.lit(bits)).alias("depth"), crowded.alias("crowded"))
+
+
+def _search_at(rays: DataFrame, rows: DataFrame, asks: DataFrame, k: int, leaf: int, bits: int) -> DataFrame:
+    """(query_id, id, score): the ``k`` nearest of each query in each of its subtrees; ``asks`` says how long its prefixes are."""
+    cells = ["tree", "depth", "prefix"]
+    asks = asks.withColumn("prefix", _prefix("hash", F.col("depth"), bits)).select("id", *cells)
+    at = rows.withColumn("depth", F.explode(F.array(*[F.lit(x) for x in _lengths(asks)])))
+    at = at.withColumn("prefix", _prefix("hash", F.col("depth"), bits)).drop("hash")
+    data = materialise(at.join(asks.select(cells).distinct(), cells, "left_semi"))
+    sizes = data.groupBy(cells).agg(F.ceil(F.count(F.lit(1)) / (CROWDED * leaf)).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    data = data.join(sizes, cells, "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("is_query", F.lit(False))
+    asks = asks.join(sizes, cells, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("is_query", F.lit(True))
+    both = data.unionByName(asks).drop("blocks").join(rays, "id").repartition(*cells, "block").sortWithinPartitions(*cells, "block")
+    return both.mapInPandas(_search(k), "query_id long, id long, score double")
+
+
+def _forest_search(
+    rays: DataFrame, hashed: DataFrame, queries: DataFrame, sizes: dict[int, int], k: int, leaf: int, bits: int, trees: int
+) -> tuple[DataFrame, DataFrame]:
+    """(query_id, id, score) found, and the (id) of queries that met a crowded subtree."""
+    tree = (F.col("dim") * trees + F.col("pos")).alias("tree")  # vectors of each dimension have trees of their own
+    rows = hashed.select("id", "dim", F.posexplode("hashes").alias("pos", "hash")).select("id", tree, "hash")
+    subtrees = _subtrees(rows, max(sizes.values(), default=0), leaf, bits)
+    asks = materialise(_descend(rows.join(queries, "id", "left_semi"), subtrees, leaf, bits))
+    crowded = asks.where("crowded").select("id").distinct()
+    found = materialise(_search_at(rays, rows, asks, k, leaf, bits).groupBy("query_id", "id").agg(F.max("score").alias("score")))
+    enough = queries.join(hashed.select("id", "dim"), "id").select("id", F.least(F.lit(k), sizes_of(sizes) - 1).alias("enough"))
+    while True:
+        have = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("have"))
+        lacking = enough.join(have, "id", "left").where(F.coalesce("have", F.lit(0)) < F.col("enough")).select("id")
+        asks = materialise(asks.join(lacking, "id", "left_semi").withColumn("depth", F.greatest(F.col("depth") - 1, F.lit(0))))
+        if asks.isEmpty():
+            return found, crowded
+        more = _search_at(rays, rows, asks, k, leaf, bits)
+        found = materialise(found.unionByName(more).groupBy("query_id", "id").agg(F.max("score").alias("score")))
+
+
+def sizes_of(sizes: dict[int, int]) -> Column:
+    """The number of vectors of a row's dimension."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("dim"))
 
 
 def neighbours(
@@ -171,12 +212,13 @@ def neighbours(
     """(query_id, rank, vec_id, score): the ``k`` nearest by cosine found for each query (rows of ``vectors`` by id).
 
     Index: in each tree a vector's hash string is the signs of ``bits`` random projections; a sorted array of them
-    is dealt over the cluster by its prefixes. Query: in every tree the query descends to the subtree of its longest prefix
-    that still holds enough vectors, and all vectors there are candidates, compared exactly on the original vectors.
-    Recall is measured on a bounded sample of queries by brute force; while it is under ``target_recall`` all trees
-    ascend by one bit (subtrees double) and the search runs again, at last over everything.
+    is dealt over the cluster by its prefixes. Query: in every tree the query descends bit by bit to the longest prefix of its own
+    string that ``leaf`` vectors hold (see _descend), and all vectors there are candidates, compared exactly on the original vectors.
+    Queries with fewer than ``k`` different candidates ascend by one bit in all trees at once until they have them.
+    Recall is measured by brute force on a bounded sample of all queries and on one of those that met a crowded subtree; while
+    either is under ``target_recall`` subtrees double and the search runs again, at last over everything.
 
-    Vectors of equal direction cells are never dropped: crowded subtrees descend further and are split into blocks. Equal
+    Vectors of equal hash strings are never dropped: their subtrees are split into blocks. Equal
     vectors are searched once: a class stands for all of its rows, of which the k + 1 of smallest id can be among
     results. Unfit vectors (see clean_vectors) take no part; a query without candidates has no rows; ranks run from 1;
     ties go to the smaller vec_id; only vectors of the same dimension are compared.
@@ -193,13 +235,16 @@ def neighbours(
     query_classes = query_rows.join(classes.select("v", "id"), "v").select("query_id", "id")
     query_classes = materialise(query_classes)
     reps = classes.select("id", "v")
-    n = reps.count()
+    sizes = {r.dim: r.n for r in reps.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     hashes = F.pandas_udf(_hasher(trees, bits, seed), "array<long>")
-    hashed = materialise(reps.select("id", hashes("v").alias("hashes")))
+    hashed = materialise(reps.select("id", F.size("v").alias("dim"), hashes("v").alias("hashes")))
     wanted = query_classes.select("id").distinct()
+    # only directions travel, as floats; final scores are computed from the original vectors
+    top = F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    rays = materialise(reps.withColumn("top", top).select("id", F.transform("v", lambda x: (x / F.col("top")).cast("float")).alias("v")))
     while True:
-        found = materialise(_forest_search(reps, hashed, wanted, n, k, leaf, bits))
-        if leaf >= n or _recall(reps, wanted, found, k) >= target_recall:
+        found, crowded = _forest_search(rays, hashed, wanted, sizes, k, leaf, bits, trees)
+        if leaf >= max(sizes.values(), default=0) or min(_recall(reps, some, found, k) for some in (wanted, crowded)) >= target_recall:
             break
         leaf *= 2
     # back from classes to rows: a class's own members are its nearest neighbours, then those of the classes found

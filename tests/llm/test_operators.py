@@ -294,6 +294,25 @@ def test_neighbours(spark, leaf):
     assert got[200] == [201, 202, 203, 204, 205] and all(len(v) == 5 for v in got.values())
 
 
+def test_neighbours_dense_cluster(spark):
+    """A third of all vectors lie close together, yet differ: their queries find their own neighbours, too."""
+    rng = np.random.default_rng(9)
+    middle = rng.standard_normal(32)
+    vs = np.vstack([rng.standard_normal((2000, 32)), middle + 0.25 * rng.standard_normal((1000, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    u = vs / np.linalg.norm(vs, axis=1, keepdims=True)
+    hits = {False: [], True: []}
+    got = collections.defaultdict(set)
+    for r in ann.neighbours(df, df.where("vec_id % 50 = 0"), leaf=60).collect():
+        got[r.query_id].add(r.vec_id)
+    for q in range(0, 3000, 50):
+        sim = u @ u[q]
+        sim[q] = -2
+        hits[q >= 2000].append(len(got[q] & set(np.argsort(-sim)[:5].tolist())) / 5)
+    print("recall", np.mean(hits[False]), np.mean(hits[True]))
+    assert all(len(x) == 5 for x in got.values()) and np.mean(hits[False]) >= 0.9 and np.mean(hits[True]) >= 0.9
+
+
 def test_neighbours_cases(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, None, 1), (3, [], 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [None, 1.0], 1), (7, [1.0, 1.0], 1), (None, [1.0, 1.0], 1), (8, [1.0, 0.0, 0.0], 1), (0, [1.0, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
