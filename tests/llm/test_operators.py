@@ -309,7 +309,6 @@ def test_neighbours_dense_cluster(spark):
         sim = u @ u[q]
         sim[q] = -2
         hits[q >= 2000].append(len(got[q] & set(np.argsort(-sim)[:5].tolist())) / 5)
-    print("recall", np.mean(hits[False]), np.mean(hits[True]))
     assert all(len(x) == 5 for x in got.values()) and np.mean(hits[False]) >= 0.9 and np.mean(hits[True]) >= 0.9
 
 
@@ -524,6 +523,22 @@ def test_html_mixed_host(spark):
     assert got == {i: f"Text {i} of the page, which goes on for a while.\nMore {i} of it." for i in range(80)}
 
 
+def test_html_rare_template(spark):
+    """A host of which few pages have another template, with a menu that no label tells: each template has a wrapper of its own."""
+    say = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    menu = "<div class=top><p>Home and all that stays the same on every page of this place</p></div>"
+    rows, wants = [], {}
+    for i in range(60):
+        if i % 20 == 7:
+            body = f"{menu}<table class=post><tr><td><div class=entry><p>{say(i, 20)}</p><p>{say(i + 100, 9)}</p></div></td></tr></table>"
+        else:
+            body = f"{menu}<div class=story><p>{say(i, 20)}</p><p>{say(i + 100, 9)}</p></div>"
+        rows.append((i, f"http://one.example.org/{i}", f"<html><body>{body}</body></html>"))
+        wants[i] = f"{say(i, 20)}\n{say(i + 100, 9)}"
+    got = {r.page_id: r.text for r in html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == wants
+
+
 def test_wrapper_expression():
     pages = [f"<body><ul>{'<li>x' + str(i) + '</li>' * 1}{'<li>y</li>' * i}</ul><p>a{i}</p>{'<hr>' if i else ''}</body>" for i in range(3)]
     w = html_wrapper.infer(pages)
