@@ -118,7 +118,7 @@ def transcript_sections(df: DataFrame, key: str = "doc_id", text: str = "text")
     return first.unionByName(turns).where("body <> ''")
 
 
-def route_by_form(df: DataFrame, key: str = "doc_id", form: str = "form_type", text: str = "text") -> DataFrame:
+def route_by_form(df: DataFrame, key: str = "doc_id", form: str = "form_type", text: str = "text", cues: list[str] = d.FORWARD_CUES) -> DataFrame:
     """Sections of every document: reports by their items, all other forms as transcripts."""
     is_report = F.coalesce(F.col(form).isin(SEC_FORMS), F.lit(False))
-    return report_sections(df.where(is_report), key, form, text).unionByName(transcript_sections(df.where(~is_report), key, text))
+    return report_sections(df.where(is_report), key, form, text, cues).unionByName(transcript_sections(df.where(~is_report), key, text))

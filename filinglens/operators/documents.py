@@ -57,6 +57,27 @@ def tally_terms(scored: DataFrame, n: int = 25, key: str = "doc_id") -> DataFram
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def analyses(scored: DataFrame, documents: DataFrame, sentences: int = 20, terms: int = 25, key: str = "doc_id") -> DataFrame:
+    """One nested row for each of ``documents``: its columns, scores, coverage, tallies and top_sentences, what ``write_signals`` stores.
+
+    Tallies are the ``terms`` most frequent of each dimension, in order of dimension and rank; a document without scored sentence
+    has zero scores and coverage and empty lists. ``scored`` is read once for each part, so hand over a written table.
+    """
+    scores = document_scores(scored, documents.select(key), key).select(key, F.struct(*SCORES, "net_operating_signal").alias("scores"))
+    cover = coverage(scored, key).select(key, F.struct("scored", "scored_with_hits").alias("coverage"))
+    tally = F.sort_array(F.collect_list(F.struct("dimension", "rank", "term", "source", "count")))
+    tallies = tally_terms(scored, terms, key).groupBy(key).agg(tally.alias("tallies"))
+    top = F.sort_array(F.collect_list(F.struct("rank", "sent_id", "section", "text", *SCORES, "net_score")))
+    tops = top_sentences(scored, sentences, key).groupBy(key).agg(top.alias("top_sentences"))
+    out = documents.join(scores, key)
+    for part in (cover, tallies, tops):
+        out = out.join(part, key, "left")
+    none = F.struct(F.lit(0).cast("long").alias("scored"), F.lit(0).cast("long").alias("scored_with_hits"))
+    out = out.withColumn("coverage", F.coalesce("coverage", none))
+    empty = {x: F.coalesce(x, F.filter(x, lambda y: F.lit(False)), F.array().cast(out.schema[x].dataType)) for x in ("tallies", "top_sentences")}
+    return out.withColumns(empty)
+
+
 def phrase_table(tally: DataFrame, n: int = 4) -> DataFrame:
     return tally.where(F.col("rank") <= n)
 

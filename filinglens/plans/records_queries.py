@@ -217,7 +217,7 @@ def c1_clean_text(spark: SparkSession, sf: str) -> DataFrame:
 
 #: A report out of each document: its lines under four headers and one mention of an item.
 REPORT = """report AS (SELECT doc_id, CASE lang WHEN 'en' THEN '10-K' WHEN 'de' THEN '10-Q' ELSE '8-K' END AS form_type,
- 'Front' || chr(10) || 'Item 1A. Risk Factors' || chr(10) || substr(text, 1, 400) || chr(10) || 'as in Item 7: of the report may grow.' || chr(10) ||
+ 'Front' || chr(10) || 'Item 1A. Risk Factors' || chr(10) || text || chr(10) || 'as in Item 7: of the report may grow.' || chr(10) ||
  'Item 7. Management''s Discussion and Analysis' || chr(10) || text || chr(10) || 'Item 7A - Management''s discussion and analysis' || chr(10) || 'short' || chr(10) || 'Item 8. Statements' || chr(10) || 'numbers' AS text FROM documents)"""
 ITEM_SQL = cleaning.ITEM.replace("(?=[a-z])([^\\n]{0,120})", "([a-z][^\\n]{0,119})")
 HEADERS = REPORT + f""",
@@ -234,7 +234,7 @@ picked AS (SELECT doc_id, section, body FROM kinds QUALIFY row_number() OVER (PA
 def reports(spark: SparkSession, sf: str) -> DataFrame:
     form = F.when(F.col("lang") == "en", "10-K").when(F.col("lang") == "de", "10-Q").otherwise("8-K")
     text = F.concat(
-        F.lit("Front\nItem 1A. Risk Factors\n"), F.substring("text", 1, 400), F.lit("\nas in Item 7: of the report may grow.\nItem 7. Management's Discussion and Analysis\n"),
+        F.lit("Front\nItem 1A. Risk Factors\n"), F.col("text"), F.lit("\nas in Item 7: of the report may grow.\nItem 7. Management's Discussion and Analysis\n"),
         F.col("text"), F.lit("\nItem 7A - Management's discussion and analysis\nshort\nItem 8. Statements\nnumbers"),
     )
     return table(spark, sf, "documents").select("doc_id", form.alias("form_type"), text.alias("text"))
@@ -307,9 +307,7 @@ def c8_speaker_role(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SECTIONS}, {TURNS} SELECT doc_id, section_ord, section, CAST(length(body) AS BIGINT) AS n_chars FROM secs WHERE body <> '' UNION ALL SELECT doc_id + 1000000000, 0, 'prepared_remarks', 14 FROM calls UNION ALL SELECT doc_id + 1000000000, turn_idx + 1, 'qa_' || role || '_' || turn_idx, CAST(length(text) AS BIGINT) FROM turns")
 def c9_route_by_form(spark: SparkSession, sf: str) -> DataFrame:
     calls_ = calls(spark, sf).select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.lit("EARNINGS_CALL").alias("form_type"), "text")
-    both = reports(spark, sf).unionByName(calls_)
-    report, rest = both.where("form_type <> 'EARNINGS_CALL'"), both.where("form_type = 'EARNINGS_CALL'")
-    out = cleaning.report_sections(report, cues=CUES).unionByName(cleaning.transcript_sections(rest))
+    out = cleaning.route_by_form(reports(spark, sf).unionByName(calls_), cues=CUES)
     return out.select("doc_id", "section_ord", "section", F.length("body").cast("long").alias("n_chars"))
 
 

@@ -389,3 +389,26 @@ def s9_baseline_store(spark: SparkSession, sf: str) -> DataFrame:
     path = c.scratch(spark)
     src.save_baseline(latest_baseline(spark, sf), path)
     return _flat(src.load_baseline(spark, path))
+
+
+ANALYSES = (
+    DOCS + TOP.removeprefix(scores_sql()) + TALLY.removeprefix(scores_sql()) + f""", {c.RECORDS},
+cover AS (SELECT doc_id, count(*) AS scored, count(*) FILTER ({ANY_HIT}) AS scored_with_hits FROM sc GROUP BY doc_id),
+terms AS (SELECT doc_id, string_agg(dimension || ':' || term || '=' || count, ',' ORDER BY dimension, rank) AS terms FROM tally GROUP BY doc_id),
+tops AS (SELECT doc_id, string_agg(CAST(sent_id AS VARCHAR), ',' ORDER BY rank) AS top_sentences FROM top GROUP BY doc_id)"""
+)
+
+
+@query(f"WITH {ANALYSES} SELECT doc_id, r.form_type, ds.growth, ds.risk, ds.cost_pressure, ds.net_operating_signal, coalesce(scored, 0) AS scored, coalesce(scored_with_hits, 0) AS scored_with_hits, coalesce(terms, '') AS terms, "
+       "coalesce(top_sentences, '') AS top_sentences FROM records r JOIN ds USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN terms USING (doc_id) LEFT JOIN tops USING (doc_id)")
+def s6_nested_analyses(spark: SparkSession, sf: str) -> DataFrame:
+    path = c.scratch(spark)
+    rows = c.records(spark, sf).select("doc_id", "ticker", "form_type", "filing_date")
+    src.write_signals(documents.analyses(c.once(scored(spark, sf)), rows), path)
+    back = spark.read.parquet(path)
+    scores = [(F.col(f"scores.{x}") + 0.0).alias(x) for x in ("growth", "risk", "cost_pressure", "net_operating_signal")]
+    terms = F.transform("tallies", lambda x: F.concat(x["dimension"], F.lit(":"), x["term"], F.lit("="), x["count"].cast("string")))
+    return back.select(
+        "doc_id", "form_type", *scores, "coverage.scored", "coverage.scored_with_hits", F.array_join(terms, ",").alias("terms"),
+        F.array_join("top_sentences.sent_id", ",").alias("top_sentences"),
+    )
