@@ -180,11 +180,18 @@ def r11_collection_summary(spark: SparkSession, sf: str) -> DataFrame:
     return prep.collection_summary(records(spark, sf), failed="filing_date = 'n/a'")
 
 
-@query(f"WITH {RECORDS} SELECT doc_id, ticker || ' | ' || form_type || ' | ' || filing_date AS label FROM records WHERE ticker IN ('SRC3', 'SRC4')")
+LABEL_SQL = "ticker || ' | ' || form_type || ' | ' || filing_date"
+
+
+@query(f"WITH {RECORDS} SELECT doc_id, {LABEL_SQL} AS label, false AS missing FROM records WHERE ticker IN ('SRC3', 'SRC4') UNION ALL SELECT DISTINCT CAST(NULL AS BIGINT), {LABEL_SQL} || ' (amended)', true FROM records WHERE ticker = 'SRC4'")
 def r12_document_label(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by their labels, and the labels asked for that no document has."""
     r = records(spark, sf).select("doc_id", "ticker", prep.document_label().alias("label"))
-    found, _ = prep.lookup_labels(r, r.where("ticker IN ('SRC3', 'SRC4')"))
-    return found.select("doc_id", "label")
+    wanted = r.where("ticker IN ('SRC3', 'SRC4')").select("label")
+    amended = r.where("ticker = 'SRC4'").select(F.concat("label", F.lit(" (amended)")).alias("label"))
+    found, missing = prep.lookup_labels(r, wanted.unionByName(amended))
+    none = missing.select(F.lit(None).cast("long").alias("doc_id"), "label", F.lit(True).alias("missing"))
+    return found.select("doc_id", "label", F.lit(False).alias("missing")).unionByName(none)
 
 
 @query(f"WITH {RECORDS} SELECT {BASIC} FROM records WHERE ticker IN ('SRC5', 'SRC6') AND form_type IN ('10-K', '8-K') AND (filing_date = 'n/a' OR substr(filing_date, 1, 4) = '2021')")
