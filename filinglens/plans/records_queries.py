@@ -222,6 +222,15 @@ def c1_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean(dirty(spark, sf)).select("doc_id", "text")
 
 
+@query(f"WITH {FILING} SELECT doc_id, {_clean_sql("text || ' fin'")} AS text FROM filing")
+def c1_decoded_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The same texts as filings have them: with character references and a ligature, which decoding takes away again."""
+    raw = F.concat(F.replace("raw_text", F.lit("&"), F.lit("&amp;")), F.lit(" &#64257;n"))
+    for character, reference in (("“", "&#8220;"), ("”", "&rdquo;")):
+        raw = F.replace(raw, F.lit(character), F.lit(reference))
+    return cleaning.clean(dirty(spark, sf).withColumn("raw_text", raw), decode=True).select("doc_id", "text")
+
+
 #: A report out of each document: its lines under four headers and one mention of an item.
 REPORT = """report AS (SELECT doc_id, CASE lang WHEN 'en' THEN '10-K' WHEN 'de' THEN '10-Q' ELSE '8-K' END AS form_type,
  'Front' || chr(10) || 'Item 1A. Risk Factors' || chr(10) || text || chr(10) || 'as in Item 7: of the report may grow.' || chr(10) ||
