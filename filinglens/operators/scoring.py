@@ -115,13 +115,19 @@ def has_hit() -> Column:
 
 
 def score_sentences(df: DataFrame, scorer: Scorer, version: str = "v1", engine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Scores of sentences by engine version; the output columns are the same for all. ``engine`` replaces the three built-in ones."""
+    """Scores of sentences by engine version; the output columns are the same for all. ``engine`` replaces the three built-in ones.
+    Version 3 without words that open a negation's scope can't be built: version 2 scores then, and engine_version says so."""
     if engine is not None:
         return engine(df)
+    version = built_version(scorer, version)
     scorer, least = _of_version(scorer, version)
     return _finished(raw_scores(hit_columns(df.where(F.size("tokens") >= least), scorer)), scorer, version)
 
 
+def built_version(scorer: Scorer, version: str) -> str:
+    return "v2" if version == "v3" and not scorer.scope_negations else version
+
+
 def _of_version(scorer: Scorer, version: str) -> tuple[Scorer, int]:
     if version not in d.MIN_TOKENS:
         raise ValueError(f"unknown engine version {version!r}")
@@ -139,6 +145,7 @@ def _finished(raw: DataFrame, scorer: Scorer, version: str) -> DataFrame:
 def score_versions(df: DataFrame, scorer: Scorer, versions: list[str]) -> DataFrame:
     """The rows of ``score_sentences`` for several versions, out of one pass: sentences are tokenised and their hits found once, the
     versions' scores are columns of one row, and those are unfolded last."""
+    versions = list(dict.fromkeys(built_version(scorer, v) for v in versions))
     settings = {v: _of_version(scorer, v) for v in versions}
     if len({tuple(s.growth_phrases) for s, _ in settings.values()}) > 1:  # other phrases make other hits
         return reduce(DataFrame.unionByName, [score_sentences(df, scorer, v) for v in versions])

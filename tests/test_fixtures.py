@@ -246,3 +246,12 @@ def test_stream_is_incremental(spark, tmp_path):
     once()
     once()
     assert sorted(r.twice for r in spark.read.parquet(sink).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_version_fallback(spark):
+    """Version 3 without scope words is version 2, once."""
+    df = feats(spark, [("mdna", "we are not seeing any strong demand at all today")])
+    s = scoring.Scorer(growth=["strong"], scope_negations=[])
+    v2 = scoring.score_sentences(df, s, "v2").collect()
+    assert scoring.score_sentences(df, s, "v3").collect() == v2 and v2[0].engine_version == "v2"
+    assert [r.engine_version for r in scoring.score_versions(df, s, ["v1", "v2", "v3"]).collect()] == ["v1", "v2"]
