@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_wrapper, lines, mixing, ngram_join, quality, sharding, token_counts, warc
+from . import ann, bpe, decontamination, divergence, fim, html_wrapper, lines, mixing, ngram_join, quality, sharding, token_counts, warc
 from .base import materialise, shared_dir
 from .sql import SQL
 
@@ -80,6 +80,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_totals(histogram)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+        sha(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = bpe.decode(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).drop("text"), vocabulary)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        sha(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_mixing, op5_quality_classifier, op6_decontamination,
-        op7_sharding, op8_html_extraction, op9_warc, op10_token_counts, pipeline,
+        op7_sharding, op8_html_extraction, op9_warc, op10_token_counts, op11_fill_in_middle, op12_source_divergence, op13_byte_bpe,
+        pipeline,
     )
 }

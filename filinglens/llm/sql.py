@@ -82,6 +82,37 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
+FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS p, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, list_concat([x || chr(10) for x in p[1:len(p) - 1]], [x for x in p[len(p):len(p)] if x <> '']) AS u,
+ [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) for k in range(0, 4)] AS h FROM d),
+c AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+ sha256(t) AS restored_sha256 FROM x
+"""
+
+DIVERGENCE = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+o AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+t AS (SELECT lang, term, sum(n) AS n FROM o GROUP BY lang, term HAVING sum(docs) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM t GROUP BY lang),
+c AS (SELECT o.lang, o.source, term, o.n FROM o JOIN t USING (lang, term)),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) USING (lang, source)
+ LEFT JOIN (SELECT lang, v FROM l) USING (lang)),
+p AS (SELECT g.lang, g.source, t.term, c.n, CAST(1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.n + g.v) AS BIGINT) AS p, CAST(1 + 1000000000 * (t.n + 1) // (l.n + l.v) AS BIGINT) AS q
+ FROM g JOIN t USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+a AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+b AS (SELECT lang, x.source, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g x JOIN g y USING (lang) LEFT JOIN a USING (lang) WHERE x.source <> y.source AND (a.source IS NULL OR (a.source = x.source AND a.item = y.source))),
+e AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+f AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM e)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM b
+UNION ALL SELECT lang, source, 'term' AS part, item, value, rank FROM f WHERE rank <= 200
+"""
+
 SQL = {
     "op1_line_dedup": LINE_DEDUP,
     "op2_ngram_jaccard_join": NGRAM_JOIN,
@@ -89,4 +120,6 @@ SQL = {
     "op6_decontamination": DECONTAMINATION,
     "op7_sharding": SHARDING,
     "op9_warc": WARC,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op12_source_divergence": DIVERGENCE,
 }
