@@ -31,6 +31,11 @@ MASKS = [
 ]
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row, also inside of lambdas, where the optimiser shares nothing."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words(values: Words) -> Column:
     return values if isinstance(values, Column) else F.array(*[F.lit(v) for v in values]).cast("array<string>")
 

@@ -231,17 +231,18 @@ def c1_decoded_text(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean(dirty(spark, sf).withColumn("raw_text", raw), decode=True).select("doc_id", "text")
 
 
-#: A report out of each document: its lines under four headers and one mention of an item.
-REPORT = """report AS (SELECT doc_id, CASE lang WHEN 'en' THEN '10-K' WHEN 'de' THEN '10-Q' ELSE '8-K' END AS form_type,
+#: A report out of each document: its lines under four headers and one mention of an item; every third is one line, some have mentions only.
+REPORT = """report AS (SELECT doc_id, form_type, CASE WHEN doc_id % 3 = 1 THEN replace(text, chr(10), ' ') ELSE text END AS text FROM (SELECT doc_id, CASE lang WHEN 'en' THEN '10-K' WHEN 'de' THEN '10-Q' ELSE '8-K' END AS form_type,
+ CASE WHEN doc_id % 20 = 7 THEN 'As said above, see Item 7: of the report. ' || text ELSE
  'Front' || chr(10) || 'Item 1A. Risk Factors' || chr(10) || text || chr(10) || 'as in Item 7: of the report may grow.' || chr(10) ||
- 'Item 7. Management''s Discussion and Analysis' || chr(10) || text || chr(10) || 'Item 7A - Management''s discussion and analysis' || chr(10) || 'short' || chr(10) || 'Item 8. Statements' || chr(10) || 'numbers' AS text FROM documents)"""
+ 'Item 7. Management''s Discussion and Analysis' || chr(10) || text || chr(10) || 'Item 7A - Management''s discussion and analysis' || chr(10) || 'short' || chr(10) || 'Item 8. Statements' || chr(10) || 'numbers' END AS text FROM documents))"""
 ITEM_SQL = cleaning.ITEM.replace("(?=[a-z])([^\\n]{0,120})", "([a-z][^\\n]{0,119})")
 HEADERS = REPORT + f""",
-hp AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, string_split(regexp_replace(text, '{ITEM_SQL}', chr(1) || '\\0', 'g'), chr(1)) AS p FROM report WHERE form_type <> '8-K')),
-hq AS (SELECT *, sum(CASE WHEN regexp_matches(regexp_extract(piece, '{ITEM_SQL}', 2), '{cleaning.CROSS_REFERENCE}') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS head FROM hp WHERE pos > 0),
-hj AS (SELECT doc_id, CAST(min(pos) AS INTEGER) AS pos, string_agg(piece, '' ORDER BY pos) AS everything FROM hq WHERE head > 0 GROUP BY doc_id, head),
-headers AS (SELECT doc_id, pos, upper(regexp_extract(everything, '{ITEM_SQL}', 1)) AS number, regexp_replace(regexp_extract(everything, '{ITEM_SQL}', 2), '^\\s+|\\s+$', '', 'g') AS title,
- regexp_replace(regexp_replace(everything, '^(?:{ITEM_SQL})', ''), '^\\s+|\\s+$', '', 'g') AS body FROM hj)"""
+hp AS (SELECT doc_id, text, string_split(regexp_replace(text, '{ITEM_SQL}', chr(1) || '\\0', 'g'), chr(1)) AS p FROM report WHERE form_type <> '8-K'),
+hc AS (SELECT doc_id, text, p[i] AS piece, CAST(1 + list_sum([length(x) for x in p[1:i - 1]]) AS BIGINT) AS start FROM (SELECT doc_id, text, p, unnest(range(2, len(p) + 1)) AS i FROM hp)),
+hr AS (SELECT *, regexp_extract(piece, '{ITEM_SQL}', 2) AS title FROM hc WHERE NOT regexp_matches(regexp_extract(piece, '{ITEM_SQL}', 2), '{cleaning.CROSS_REFERENCE}')),
+headers AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) AS INTEGER) AS pos, upper(regexp_extract(piece, '{ITEM_SQL}', 1)) AS number, regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title,
+ regexp_replace(substr(text, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), length(text) + 1) - start), '^\\s+|\\s+$', '', 'g') AS body FROM hr)"""
 PICK = HEADERS + """,
 kinds AS (SELECT *, 'mdna' AS section FROM headers WHERE regexp_matches(title, '(?i)management''?s\\s+discussion\\s+and\\s+analysis') UNION ALL SELECT *, 'risk_factors' FROM headers WHERE regexp_matches(title, '(?i)risk\\s+factors')),
 picked AS (SELECT doc_id, section, body FROM kinds QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY length(body) DESC, pos) = 1)"""
@@ -253,6 +254,8 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("Front\nItem 1A. Risk Factors\n"), F.col("text"), F.lit("\nas in Item 7: of the report may grow.\nItem 7. Management's Discussion and Analysis\n"),
         F.col("text"), F.lit("\nItem 7A - Management's discussion and analysis\nshort\nItem 8. Statements\nnumbers"),
     )
+    text = F.when(F.col("doc_id") % 20 == 7, F.concat(F.lit("As said above, see Item 7: of the report. "), F.col("text"))).otherwise(text)
+    text = F.when(F.col("doc_id") % 3 == 1, F.replace(text, F.lit("\n"), F.lit(" "))).otherwise(text)
     return table(spark, sf, "documents").select("doc_id", form.alias("form_type"), text.alias("text"))
 
 
@@ -263,13 +266,13 @@ def c2_item_headers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PICK} SELECT * FROM picked")
 def c3_pick_section(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.pick_sections(cleaning.item_headers(reports(spark, sf).where("form_type <> '8-K'")))
+    return cleaning.pick_sections(reports(spark, sf).where("form_type <> '8-K'"))
 
 
 CUES = ["will", "may", "the"]
 FORWARD = "array_to_string([s for s in string_split(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) if contains(lower(s), 'will') OR contains(lower(s), 'may') OR contains(lower(s), 'the')], ' ')"
 SECTIONS = PICK + f""",
-wide AS (SELECT r.doc_id, CASE WHEN r.form_type = '8-K' THEN r.text ELSE coalesce(m.body, '') END AS mdna, coalesce(k.body, '') AS risk, r.text FROM report r
+wide AS (SELECT r.doc_id, CASE WHEN r.form_type = '8-K' OR NOT regexp_matches(r.text, '{ITEM_SQL}') THEN r.text ELSE coalesce(m.body, '') END AS mdna, coalesce(k.body, '') AS risk, r.text FROM report r
  LEFT JOIN picked m ON m.doc_id = r.doc_id AND m.section = 'mdna' LEFT JOIN picked k ON k.doc_id = r.doc_id AND k.section = 'risk_factors'),
 secs AS (SELECT doc_id, 0 AS section_ord, 'mdna' AS section, mdna AS body FROM wide UNION ALL SELECT doc_id, 1, 'risk_factors', risk FROM wide
  UNION ALL SELECT doc_id, 2, 'forward_guidance', {FORWARD.format("CASE WHEN mdna <> '' THEN mdna ELSE text END")} FROM wide)"""

@@ -76,6 +76,28 @@ def test_report_sections(spark):
     assert [n for n, _ in heads] == ["1", "1A", "7", "7A", "8"]
 
 
+ONE_LINE = (
+    "Front Item 1A. Risk Factors Supply may fail" + " and fail again" * 9 + ". See Item 7: of this report" + " for more" * 16 + ". Item 7. Management's Discussion and Analysis Our revenue rose strongly in "
+    "the year because demand for devices will expand in many regions and costs fell. Margins grew. " + "Item 8. Statements " + "x" * 130 + " none."
+)
+
+
+def test_report_on_one_line(spark):
+    """Nothing between the first header and the end of a text is lost, wherever its lines end."""
+    rows = [(1, "10-K", ONE_LINE), (2, " 10-k ", ONE_LINE), (3, "10-K", "As described above, see Item 7: of the report. We expect more."), (4, "10-Q", None), (5, "10-K", "Item 7. Management's Discussion and Analysis\u0001 kept")]
+    df = spark.createDataFrame(rows, "doc_id long, form_type string, text string")
+    got = {(r.doc_id, r.section): r.body for r in cleaning.report_sections(df).collect()}
+    mdna = got[1, "mdna"]
+    assert mdna.startswith("Item 7. Management's Discussion and Analysis Our revenue rose") and mdna.endswith("Margins grew.")
+    assert got[1, "risk_factors"] == ONE_LINE[ONE_LINE.index("Item 1A") : ONE_LINE.index(" Item 7. Man")]
+    assert "demand for devices will expand" in got[1, "forward_guidance"] and got[2, "mdna"] == mdna
+    assert {k: v for k, v in got.items() if k[0] == 3} == {(3, "forward_guidance"): "We expect more."}
+    assert not [k for k in got if k[0] == 4] and got[5, "mdna"].endswith("kept")
+    heads = cleaning.item_headers(df.where("doc_id = 1")).orderBy("pos").collect()
+    assert " ".join(r.body for r in heads) == ONE_LINE.removeprefix("Front ") and [r.number for r in heads] == ["1A", "7", "8"]
+    assert "Exchange" not in cleaning.route_by_form(df)._jdf.queryExecution().executedPlan().toString()
+
+
 CALL = """Tim Cook -- Chief Executive Officer
 Welcome all.
 Questions and Answers
