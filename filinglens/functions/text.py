@@ -121,28 +121,61 @@ def forward_sentences(text: Column, cues: Words = d.FORWARD_CUES) -> Column:
     return F.array_join(F.filter(sentences(text), lambda s: contains_any(F.lower(s), cues)), " ")
 
 
-def tokens(text: Column, stop: Words = d.STOP_WORDS, negation: Words = d.NEGATIONS, pattern: str = r"\w+|[^\w\s]") -> Column:
-    """array<struct<text, lemma, pos, is_stop, is_neg>>; without a lemmatiser the lemma is the lower-cased form."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda t: F.struct(
-        t.alias("text"), F.lower(t).alias("lemma"), F.lit("").alias("pos"),
-        F.array_contains(words(stop), F.lower(t)).alias("is_stop"), F.array_contains(words(negation), F.lower(t)).alias("is_neg"),
-    ))
+#: Words of any script, and each other character that isn't white space.
+TOKEN = r"(?U)\w+|[^\w\s]"
+#: Longer lists are looked up as a set, word by word; shorter ones by array functions.
+SHORT = 12
+
+
+def forms(text: Column, pattern: str = TOKEN) -> Column:
+    """The lower-cased tokens of a text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+
+
+def member(word: Column, values: Words) -> Column:
+    if isinstance(values, Column):
+        return F.array_contains(values, word)
+    return word.isin(list(values)) if values else F.lit(False)
+
+
+def some_of(found: Column, values: Words) -> Column:
+    """Whether one of the words is in the list."""
+    if isinstance(values, Column) or len(values) <= SHORT:
+        return F.coalesce(F.arrays_overlap(found, words(values)), F.lit(False))
+    return F.coalesce(F.exists(found, lambda w: member(w, values)), F.lit(False))
+
+
+def only(found: Column, values: Words, inside: bool = True) -> Column:
+    """The different words that are (or aren't) in the list. The cost of a word doesn't grow with the list."""
+    if isinstance(values, Column) or len(values) <= SHORT:
+        return (F.array_intersect if inside else F.array_except)(found, words(values))
+    return F.array_distinct(F.filter(found, lambda w: member(w, values) if inside else ~member(w, values)))
+
+
+def terms(found: Column, lemma: Column | None = None, stop: Words = d.STOP_WORDS) -> Column:
+    """The different lemmas (else forms) of the tokens whose form is no stop word."""
+    if lemma is None:
+        return only(found, stop, inside=False)
+    return F.array_distinct(F.filter(lemma, lambda _, i: ~member(F.get(found, i), stop)))
 
 
-def lemmas(toks: Column) -> Column:
-    """Distinct lemmas of tokens that aren't stop words."""
-    return F.array_distinct(F.transform(F.filter(toks, lambda t: ~t["is_stop"]), lambda t: t["lemma"]))
+def tokens(text: Column, stop: Words = d.STOP_WORDS, negation: Words = d.NEGATIONS, pattern: str = TOKEN, lemma: Column | None = None) -> Column:
+    """array<struct<text, lemma, pos, is_stop, is_neg>>, the form in which sentences are exchanged; without ``lemma`` (an array as long as the
+    tokens) a token's lemma is its lower-cased form."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda w, i: let(F.lower(w), lambda low: F.struct(
+        w.alias("text"), (low if lemma is None else F.coalesce(F.get(lemma, i), low)).alias("lemma"), F.lit("").alias("pos"),
+        member(low, stop).alias("is_stop"), member(low, negation).alias("is_neg"),
+    )))
 
 
-def has_negation(toks: Column) -> Column:
-    return F.coalesce(F.exists(toks, lambda t: t["is_neg"]), F.lit(False))
+def has_negation(found: Column, negation: Words = d.NEGATIONS) -> Column:
+    return some_of(found, negation)
 
 
-def has_hedge(toks: Column, hedges: Words = d.HEDGES) -> Column:
-    """A lemma or lower-cased form in the list."""
-    either = lambda t: F.array_contains(words(hedges), t["lemma"]) | F.array_contains(words(hedges), F.lower(t["text"]))
-    return F.coalesce(F.exists(toks, either), F.lit(False))
+def has_hedge(found: Column, lemma: Column | None = None, hedges: Words = d.HEDGES) -> Column:
+    """A form or lemma in the list."""
+    return some_of(found, hedges) if lemma is None else some_of(found, hedges) | some_of(lemma, hedges)
 
 
 def mask_entities(text: Column) -> Column:
@@ -153,27 +186,23 @@ def mask_entities(text: Column) -> Column:
     return t
 
 
-def lexicon_hits(toks: Column, category: Words, lemma: Column | None = None) -> Column:
-    """Lemmas of the tokens in the list, sorted; ``lemma`` are their ``lemmas``, where these are known."""
-    return F.array_sort(F.array_intersect(lemmas(toks) if lemma is None else lemma, words(category)))
+def lexicon_hits(term: Column, category: Words) -> Column:
+    """Those of a sentence's ``terms`` that are in the list, sorted."""
+    return F.sort_array(only(term, category))
 
 
-def phrase_hits(text: Column, phrases: Words) -> Column:
+def phrase_hits(low: Column, phrases: Words) -> Column:
     """Phrases that the lower-cased text contains, each once, sorted."""
-    return F.array_sort(F.filter(words(phrases), lambda p: F.contains(F.lower(text), p)))
+    return F.sort_array(F.filter(words(phrases), lambda p: F.contains(low, p)))
 
 
-def near_negation(toks: Column, hits: Column, window: int = 5, negation: Words = d.SCOPE_NEGATIONS) -> Column:
+def near_negation(found: Column, lemma: Column, hits: Column, window: int = 5, negation: Words = d.SCOPE_NEGATIONS) -> Column:
     """Whether a negation stands within ``window`` tokens of a token whose lemma is among ``hits``."""
-    at = lambda test: F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: test(toks[i]))
-    neg = at(lambda t: t["is_neg"] | F.array_contains(words(negation), F.lower(t["text"])) | F.array_contains(words(negation), t["lemma"]))
-    sig = at(lambda t: F.array_contains(hits, t["lemma"]))
-    return F.when(F.size(toks) > 0, F.exists(neg, lambda i: F.exists(sig, lambda j: F.abs(i - j) <= window))).otherwise(False)
-
-
-def any_negation(toks: Column, negation: Words = d.SCOPE_NEGATIONS) -> Column:
-    test = lambda t: t["is_neg"] | F.array_contains(words(negation), F.lower(t["text"])) | F.array_contains(words(negation), t["lemma"])
-    return F.coalesce(F.exists(toks, test), F.lit(False))
+    negates = lambda w, i: member(w, negation) | member(F.get(lemma, i), negation)
+    start = lambda i: F.greatest(i - window, F.lit(0))
+    around = lambda i: F.slice(lemma, start(i) + 1, i + window + 1 - start(i))
+    at = F.filter(F.transform(found, lambda w, i: F.when(negates(w, i), i)), lambda i: i.isNotNull())
+    return F.coalesce(F.exists(at, lambda i: F.arrays_overlap(around(i), hits)), F.lit(False))
 
 
 def section_weight(section: Column, weights: dict[str, float] | None = None, prefixes: dict[str, float] | None = None) -> Column:
@@ -187,13 +216,22 @@ def section_weight(section: Column, weights: dict[str, float] | None = None, pre
     return out
 
 
+def millionths(c: Column) -> Column:
+    return F.round(c * 1_000_000).cast("long")
+
+
+def ratio_of_millionths(total: Column, n: Column, places: int) -> Column:
+    """total / n to so many digits, half away from zero; 0 if n is."""
+    unit = 10 ** (6 - places)
+    half_up = F.floor((2 * F.abs(total) + unit * n) / F.greatest(2 * unit * n, F.lit(1)))
+    return F.signum(total.cast("double")) * half_up / float(10**places)
+
+
 def exact_mean(c: str | Column, places: int = 4) -> Column:
     """The mean of an aggregate's group to so many digits, half away from zero, out of whole millionths: no order of adding decides
     a tie. Null without a value."""
     c = F.col(c) if isinstance(c, str) else c
-    total, n, unit = F.sum(F.round(c * 1_000_000).cast("long")), F.count(c), 10 ** (6 - places)
-    half_up = F.floor((2 * F.abs(total) + unit * n) / F.greatest(2 * unit * n, F.lit(1)))
-    return F.signum(total.cast("double")) * half_up / float(10**places)
+    return ratio_of_millionths(F.sum(millionths(c)), F.count(c), places)
 
 
 def net_label(net: Column, threshold: float | Column = 0.1) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import exact_mean
-from .scoring import has_hit
+from ..functions.text import exact_mean, let, millionths, ratio_of_millionths
+from .scoring import HIT_LISTS, SCORES, has_hit
 
-SCORES = ["growth", "risk", "cost_pressure"]
+#: Where a tallied term comes from: dimension, source, hit list.
+TALLIED = [("growth", "phrase", "growth_phrases"), ("growth", "LM", "growth_lm"), ("risk", "phrase", "risk_phrases"), ("risk", "LM", "risk_lm"), ("cost_pressure", "phrase", "cost_phrases")]
 #: Right-closed bins of the net histogram.
 BINS = [-10.0, -4.0, -2.0, 0.0, 2.0, 4.0, 10.0]
 BIN_NAMES = ["<= -4", "-4 to -2", "-2 to 0", "0 to 2", "2 to 4", ">= 4"]
@@ -43,12 +44,11 @@ def top_sentences(scored: DataFrame, n: int = 20, key: str = "doc_id") -> DataFr
 
 def tally_terms(scored: DataFrame, n: int = 25, key: str = "doc_id") -> DataFrame:
     """(key, dimension, term, source, count, rank): once a sentence and source; the source is that of the last hit."""
-    lists = [("growth", "phrase", "growth_phrases"), ("growth", "LM", "growth_lm"), ("risk", "phrase", "risk_phrases"), ("risk", "LM", "risk_lm"), ("cost_pressure", "phrase", "cost_phrases")]
     def as_hits(dim: str, src: str, c: str) -> Column:
         late = F.lit(1 if src == "LM" else 0).alias("late")
         return F.transform(c, lambda x: F.struct(F.lit(dim).alias("dimension"), F.lit(src).alias("source"), late, x.alias("term")))
 
-    hits = F.flatten(F.array(*[as_hits(*x) for x in lists]))
+    hits = F.flatten(F.array(*[as_hits(*x) for x in TALLIED]))
     rows = scored.select(key, "sent_id", F.inline(hits))
     counts = rows.groupBy(key, "dimension", "term").agg(
         F.max_by("source", F.struct("sent_id", "late")).alias("source"), F.count(F.lit(1)).alias("count")
@@ -57,25 +57,68 @@ def tally_terms(scored: DataFrame, n: int = 25, key: str = "doc_id") -> DataFram
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def analyses(scored: DataFrame, documents: DataFrame, sentences: int = 20, terms: int = 25, key: str = "doc_id") -> DataFrame:
-    """One nested row for each of ``documents``: its columns, scores, coverage, tallies and top_sentences, what ``write_signals`` stores.
-
-    Tallies are the ``terms`` most frequent of each dimension, in order of dimension and rank; a document without scored sentence
-    has zero scores and coverage and empty lists. ``scored`` is read once for each part, so hand over a written table.
-    """
-    scores = document_scores(scored, documents.select(key), key).select(key, F.struct(*SCORES, "net_operating_signal").alias("scores"))
-    cover = coverage(scored, key).select(key, F.struct("scored", "scored_with_hits").alias("coverage"))
-    tally = F.sort_array(F.collect_list(F.struct("dimension", "rank", "term", "source", "count")))
-    tallies = tally_terms(scored, terms, key).groupBy(key).agg(tally.alias("tallies"))
-    top = F.sort_array(F.collect_list(F.struct("rank", "sent_id", "section", "text", *SCORES, "net_score")))
-    tops = top_sentences(scored, sentences, key).groupBy(key).agg(top.alias("top_sentences"))
-    out = documents.join(scores, key)
-    for part in (cover, tallies, tops):
-        out = out.join(part, key, "left")
-    none = F.struct(F.lit(0).cast("long").alias("scored"), F.lit(0).cast("long").alias("scored_with_hits"))
-    out = out.withColumn("coverage", F.coalesce("coverage", none))
-    empty = {x: F.coalesce(x, F.filter(x, lambda y: F.lit(False)), F.array().cast(out.schema[x].dataType)) for x in ("tallies", "top_sentences")}
-    return out.withColumns(empty)
+def scores_of(scored: Column) -> Column:
+    """struct<growth, risk, cost_pressure, net_operating_signal> of a document out of its scored sentences (``scoring.scored_array``): what
+    ``document_scores`` gives, inside the row."""
+    names = [*SCORES, "net_score"]
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in names])
+    totals = F.aggregate(scored, zero, lambda a, x: F.struct(*[(a[c] + millionths(x[c])).alias(c) for c in names]))
+    n = F.size(scored).cast("long")
+    return let(totals, lambda a: F.struct(*[ratio_of_millionths(a[c], n, 3).alias("net_operating_signal" if c == "net_score" else c) for c in names]))
+
+
+def coverage_of(scored: Column) -> Column:
+    """struct<scored, scored_with_hits>."""
+    hits = F.aggregate(scored, F.lit(0).cast("long"), lambda a, x: a + has_hit(lambda c: x[c]).cast("long"))
+    return F.struct(F.size(scored).cast("long").alias("scored"), hits.alias("scored_with_hits"))
+
+
+def top_of(scored: Column, n: int = 20) -> Column:
+    """array<struct<rank, sent_id, section, text, hit lists, scores, net_score>>: the rows of ``top_sentences``, inside the row. Only the
+    sentences' keys are sorted."""
+    keys = F.transform(scored, lambda x, i: F.struct((-(F.abs(x["net_score"]) + F.abs(x["cost_pressure"]))).alias("k"), x["sent_id"].alias("sent_id"), i.alias("i")))
+    cols = ["sent_id", "section", "text", *HIT_LISTS, *SCORES, "net_score"]
+    first = F.slice(F.sort_array(keys), 1, n)
+    return F.transform(first, lambda k, r: let(F.get(scored, k["i"]), lambda x: F.struct((r + 1).cast("int").alias("rank"), *[x[c].alias(c) for c in cols])))
+
+
+def tally_of(scored: Column, n: int = 25) -> Column:
+    """array<struct<dimension, term, source, count, rank>>: the rows of ``tally_terms``, inside the row. All hits are sorted once, and
+    a term's are then neighbours."""
+    def hits(x: Column) -> Column:
+        one = lambda dim, src, c: F.transform(x[c], lambda term: F.struct(
+            F.lit(dim).alias("dimension"), term.alias("term"), x["sent_id"].alias("sent_id"), F.lit(int(src == "LM")).alias("late"), F.lit(src).alias("source")
+        ))
+        return F.concat(*[one(*t) for t in TALLIED])
+
+    def counted(h: Column) -> Column:
+        before = lambda i: F.get(h, i - 1)
+        starts = F.filter(F.transform(h, lambda x, i: F.when(
+            (i == 0) | (before(i)["dimension"] != x["dimension"]) | (before(i)["term"] != x["term"]), i
+        )), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, j: let(F.coalesce(F.get(at, j + 1), F.size(h)), lambda end: F.struct(
+            F.get(h, i)["dimension"].alias("dimension"), (i - end).cast("long").alias("minus"), F.get(h, i)["term"].alias("term"), before(end)["source"].alias("source"),
+        ))))
+
+    def ranked(all_: Column, dim: str) -> Column:
+        mine = F.slice(F.sort_array(F.filter(all_, lambda x: x["dimension"] == dim)), 1, n)
+        return F.transform(mine, lambda x, r: F.struct(
+            x["dimension"].alias("dimension"), x["term"].alias("term"), x["source"].alias("source"), (-x["minus"]).alias("count"), (r + 1).cast("int").alias("rank")
+        ))
+
+    sorted_hits = F.sort_array(F.flatten(F.transform(scored, hits)))
+    return let(let(sorted_hits, counted), lambda all_: F.concat(*[ranked(all_, dim) for dim in SCORES]))
+
+
+def analyses(documents: DataFrame, scored: str = "scored", sentences: int = 20, terms: int = 25) -> DataFrame:
+    """``documents`` with scores, coverage, tallies and top_sentences in place of their array of scored sentences: the nested rows that
+    ``write_signals`` stores. Tallies are the ``terms`` most frequent of each dimension, in order of dimension and rank; a document without
+    scored sentence has zero scores and coverage and empty lists. Nothing leaves its row, so nothing is shuffled."""
+    x = F.col(scored)
+    tallies = F.sort_array(F.transform(tally_of(x, terms), lambda t: F.struct(*[t[c].alias(c) for c in ("dimension", "rank", "term", "source", "count")])))
+    tops = F.transform(top_of(x, sentences), lambda s: F.struct(*[s[c].alias(c) for c in ("rank", "sent_id", "section", "text", *SCORES, "net_score")]))
+    rest = [c for c in documents.columns if c != scored]
+    return documents.select(*rest, scores_of(x).alias("scores"), coverage_of(x).alias("coverage"), tallies.alias("tallies"), tops.alias("top_sentences"))
 
 
 def phrase_table(tally: DataFrame, n: int = 4) -> DataFrame:
@@ -119,6 +162,11 @@ def dominant_term(tally: DataFrame, key: str = "doc_id") -> DataFrame:
     return tally.groupBy(key).agg(F.min_by("term", F.struct(at, F.col("rank"))).alias("dominant_term"))
 
 
+def dominant_of(tally: Column) -> Column:
+    """The same inside the row: ``tally_of`` lists growth, risk and cost terms in that order, each by rank."""
+    return F.get(tally, F.lit(0))["term"]
+
+
 def comparison_rows(documents: DataFrame, zscores: DataFrame | None, key: str = "doc_id") -> DataFrame:
     """Flat rows; z columns are null without z-scores."""
     if zscores is None:

@@ -1,4 +1,4 @@
-"""Sentence scoring (rows E1-E14): column expressions over sentences with tokens."""
+"""Sentence scoring (rows E1-E14): column expressions over a table of sentences, or over a document's array of them."""
 
 from __future__ import annotations
 
@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from .. import dictionaries as d
 from ..functions import text as t
+from .sentences import Features
 
 HIT_LISTS = ["growth_lm", "growth_phrases", "risk_lm", "risk_phrases", "uncertainty_lm", "cost_phrases"]
-#: Lexicons over this many words are joined instead of standing in the plan as literals.
-LITERAL_WORDS = 500
 
 
 @dataclass(frozen=True)
@@ -29,6 +28,7 @@ class Scorer:
     cost_phrases: list[str] = field(default_factory=lambda: list(d.COST_PHRASES))
     section_weights: dict[str, float] | None = None
     section_prefixes: dict[str, float] | None = None
+    negations: list[str] = field(default_factory=lambda: list(d.NEGATIONS))
     scope_negations: list[str] = field(default_factory=lambda: list(d.SCOPE_NEGATIONS))
     window: int = 5
     min_tokens: int | None = None
@@ -41,77 +41,109 @@ def without_blocked(words: list[str], blocked: list[str]) -> list[str]:
 
 
 def hits_by_join(sentences: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, growth_lm, risk_lm, uncertainty_lm) for lexicons too long for a literal: lemmas are exploded and joined."""
-    lem = sentences.select(*keys, F.explode(t.lemmas(F.col("tokens"))).alias("word")).join(lexicon, "word")
+    """(keys, growth_lm, risk_lm, uncertainty_lm) for lexicons too long for a literal: terms are exploded and joined."""
+    lem = sentences.select(*keys, F.explode("terms").alias("word")).join(lexicon, "word")
     lists = [F.sort_array(F.collect_set(F.when(F.col("category") == c, F.col("word")))).alias(f"{c}_lm") for c in ("growth", "risk", "uncertainty")]
     return lem.groupBy(*keys).agg(*lists)
 
 
+#: Gives a sentence's value by its name: a column of a table of sentences, or a field of an array's element.
+Get = Callable[[str], Column]
+SCORES = ["growth", "risk", "cost_pressure"]
+
+
+def _hits(get: Get, s: Scorer) -> Column:
+    """struct of the six hit lists."""
+    term = get("terms")
+    return t.let(F.lower(get("text")), lambda low: F.struct(
+        t.lexicon_hits(term, s.growth).alias("growth_lm"), t.phrase_hits(low, s.growth_phrases).alias("growth_phrases"),
+        t.lexicon_hits(term, s.risk).alias("risk_lm"), t.phrase_hits(low, s.risk_phrases).alias("risk_phrases"),
+        t.lexicon_hits(term, s.uncertainty).alias("uncertainty_lm"), t.phrase_hits(low, s.cost_phrases).alias("cost_phrases"),
+    ))
+
+
 def hit_columns(df: DataFrame, s: Scorer) -> DataFrame:
-    tok, text, lem = F.col("tokens"), F.col("text"), F.col("_lemmas")
-    df = df.select("*", F.explode(F.array(t.lemmas(tok))).alias("_lemmas"))
-    df = df.withColumns({
-        "growth_lm": t.lexicon_hits(tok, s.growth, lem), "risk_lm": t.lexicon_hits(tok, s.risk, lem),
-        "uncertainty_lm": t.lexicon_hits(tok, s.uncertainty, lem),
-        "growth_phrases": t.phrase_hits(text, s.growth_phrases), "risk_phrases": t.phrase_hits(text, s.risk_phrases),
-        "cost_phrases": t.phrase_hits(text, s.cost_phrases),
-    })
-    return df.drop("_lemmas")
+    return df.select("*", F.inline(F.array(_hits(F.col, s))))
 
 
-def raw_scores(df: DataFrame) -> DataFrame:
-    n = lambda c: F.size(c).cast("double")
-    return df.withColumns({
+def _some(get: Get, *cols: str) -> Column:
+    return sum((F.size(get(c)) for c in cols[1:]), F.size(get(cols[0]))) > 0
+
+
+def _raw(get: Get) -> dict[str, Column]:
+    n = lambda c: F.size(get(c)).cast("double")
+    return {
         "growth": n("growth_lm") + n("growth_phrases") * d.PHRASE_WEIGHT,
         "risk": n("risk_lm") + n("uncertainty_lm") * d.UNCERTAINTY_WEIGHT + n("risk_phrases") * d.PHRASE_WEIGHT,
         "cost_pressure": n("cost_phrases") * d.PHRASE_WEIGHT,
-    })
+    }
+
+
+def _flip(get: Get) -> dict[str, Column]:
+    return {c: F.when(get("has_negation"), -get(c)).otherwise(get(c)) for c in SCORES}
+
+
+def _zero(get: Get, when: Column | None = None) -> dict[str, Column]:
+    neg = get("has_negation") if when is None else when
+    return {
+        "growth": F.when(neg & _some(get, "growth_lm", "growth_phrases"), 0.0).otherwise(get("growth")),
+        "risk": F.when(neg & _some(get, "risk_lm", "risk_phrases"), 0.0).otherwise(get("risk")),
+        "cost_pressure": F.when(neg, 0.0).otherwise(get("cost_pressure")),
+    }
+
 
+def _scope(get: Get, s: Scorer) -> dict[str, Column]:
+    negations = list(dict.fromkeys([*s.negations, *s.scope_negations]))
+    opened = t.some_of(get("words"), negations) | t.some_of(get("lemma"), negations)
+    scoped = get("has_negation") & opened
+    near = lambda c: t.near_negation(get("words"), get("lemma"), get(c), s.window, negations)
+    out = _zero(get, get("has_negation") & ~opened)
+    return {
+        "growth": F.when(scoped & (F.size(get("growth_lm")) > 0) & near("growth_lm"), 0.0).otherwise(out["growth"]),
+        "risk": F.when(scoped & (F.size(get("risk_lm")) > 0) & near("risk_lm"), 0.0).otherwise(out["risk"]),
+        "cost_pressure": F.when(scoped, 0.0).otherwise(out["cost_pressure"]),
+    }
 
-def _some(*cols: str) -> Column:
-    return sum((F.size(c) for c in cols[1:]), F.size(cols[0])) > 0
+
+def _damp(get: Get, factor: float = d.HEDGE_FACTOR) -> dict[str, Column]:
+    return {c: F.when(get("has_hedge"), get(c) * factor).otherwise(get(c)) for c in SCORES}
+
+
+def _weigh(get: Get, s: Scorer) -> dict[str, Column]:
+    w = t.section_weight(get("section"), s.section_weights, s.section_prefixes)
+    return {c: get(c) * w for c in SCORES}
+
+
+def raw_scores(df: DataFrame) -> DataFrame:
+    return df.withColumns(_raw(F.col))
 
 
 def negate_flip(df: DataFrame) -> DataFrame:
     """Version 1: a negated sentence changes the sign of all three."""
-    return df.withColumns({c: F.when(F.col("has_negation"), -F.col(c)).otherwise(F.col(c)) for c in ("growth", "risk", "cost_pressure")})
+    return df.withColumns(_flip(F.col))
 
 
 def negate_zero(df: DataFrame, when: Column | None = None) -> DataFrame:
     """Version 2: what its hits made is cancelled; risk of uncertainty words alone survives; cost always goes."""
-    neg = F.col("has_negation") if when is None else when
-    return df.withColumns({
-        "growth": F.when(neg & _some("growth_lm", "growth_phrases"), 0.0).otherwise(F.col("growth")),
-        "risk": F.when(neg & _some("risk_lm", "risk_phrases"), 0.0).otherwise(F.col("risk")),
-        "cost_pressure": F.when(neg, 0.0).otherwise(F.col("cost_pressure")),
-    })
+    return df.withColumns(_zero(F.col, when))
 
 
 def negate_scope(df: DataFrame, s: Scorer) -> DataFrame:
     """Version 3: growth or risk is cancelled only if a negation is within the window of a lexicon hit of it; cost
     always; a flagged sentence without negation token falls back to version 2."""
-    tok = F.col("tokens")
-    scoped = F.col("has_negation") & t.any_negation(tok, s.scope_negations)
-    near = lambda c: t.near_negation(tok, F.col(c), s.window, s.scope_negations)
-    out = negate_zero(df, F.col("has_negation") & ~t.any_negation(tok, s.scope_negations))
-    return out.withColumns({
-        "growth": F.when(scoped & near("growth_lm"), 0.0).otherwise(F.col("growth")),
-        "risk": F.when(scoped & near("risk_lm"), 0.0).otherwise(F.col("risk")),
-        "cost_pressure": F.when(scoped, 0.0).otherwise(F.col("cost_pressure")),
-    })
+    return df.withColumns(_scope(F.col, s))
 
 
 def hedge_damp(df: DataFrame, factor: float = d.HEDGE_FACTOR) -> DataFrame:
-    return df.withColumns({c: F.when(F.col("has_hedge"), F.col(c) * factor).otherwise(F.col(c)) for c in ("growth", "risk", "cost_pressure")})
+    return df.withColumns(_damp(F.col, factor))
 
 
 def weigh_sections(df: DataFrame, s: Scorer) -> DataFrame:
-    w = t.section_weight(F.col("section"), s.section_weights, s.section_prefixes)
-    return df.withColumns({c: F.col(c) * w for c in ("growth", "risk", "cost_pressure")})
+    return df.withColumns(_weigh(F.col, s))
 
 
-def has_hit() -> Column:
-    return _some(*HIT_LISTS)
+def has_hit(get: Get = F.col) -> Column:
+    return _some(get, *HIT_LISTS)
 
 
 def score_sentences(df: DataFrame, scorer: Scorer, version: str = "v1", engine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -121,7 +153,7 @@ def score_sentences(df: DataFrame, scorer: Scorer, version: str = "v1", engine:
         return engine(df)
     version = built_version(scorer, version)
     scorer, least = _of_version(scorer, version)
-    return _finished(raw_scores(hit_columns(df.where(F.size("tokens") >= least), scorer)), scorer, version)
+    return _finished(raw_scores(hit_columns(df.where(F.size("words") >= least), scorer)), scorer, version)
 
 
 def built_version(scorer: Scorer, version: str) -> str:
@@ -136,10 +168,42 @@ def _of_version(scorer: Scorer, version: str) -> tuple[Scorer, int]:
     return scorer, d.MIN_TOKENS[version] if scorer.min_tokens is None else scorer.min_tokens
 
 
+def _steps(scorer: Scorer, version: str) -> list[Callable[[Get], dict[str, Column]]]:
+    """What makes scores out of raw ones, in order."""
+    negated = {"v1": _flip, "v2": _zero, "v3": lambda get: _scope(get, scorer)}[version]
+    return [negated, _damp, lambda get: _weigh(get, scorer)]
+
+
 def _finished(raw: DataFrame, scorer: Scorer, version: str) -> DataFrame:
-    out = {"v1": negate_flip, "v2": negate_zero, "v3": lambda x: negate_scope(x, scorer)}[version](raw)
-    out = weigh_sections(hedge_damp(out), scorer)
-    return out.withColumn("net_score", F.col("growth") - F.col("risk")).withColumn("engine_version", F.lit(version))
+    for step in _steps(scorer, version):
+        raw = raw.withColumns(step(F.col))
+    return raw.withColumn("net_score", F.col("growth") - F.col("risk")).withColumn("engine_version", F.lit(version))
+
+
+def scored_array(sentences: Column, scorer: Scorer, features: Features | None = None, version: str = "v1") -> Column:
+    """A document's sentences (``sentence_array``) scored inside the row: array<struct<sent_id, section, text, n_tokens, the six hit lists, growth,
+    risk, cost_pressure, net_score>>, the same values as ``score_sentences`` gives row by row. Words are dropped on the way."""
+    features, version = features or Features(), built_version(scorer, version)
+    scorer, least = _of_version(scorer, version)
+    with_words = F.transform(sentences, lambda x: F.struct(x.alias("s"), features.of(x["text"]).alias("f")))
+    enough = F.filter(with_words, lambda x: F.size(x["f"]["words"]) >= least)
+    hit = F.transform(enough, lambda x: F.struct(
+        x["s"].alias("s"), x["f"].alias("f"), _hits(lambda c: x["s"]["text"] if c == "text" else x["f"][c], scorer).alias("h")
+    ))
+
+    def scored(x: Column) -> Column:
+        own = {c: x["s"][c] for c in ("sent_id", "section", "text")} | {c: x["h"][c] for c in HIT_LISTS}
+        get = lambda c, known=own: known[c] if c in known else x["f"][c]
+        for step in [_raw, *_steps(scorer, version)]:
+            own = own | step(get)
+            get = lambda c, known=own: known[c] if c in known else x["f"][c]
+        kept = [own[c].alias(c) for c in ("sent_id", "section", "text")]
+        return t.let(F.struct(*[own[c].alias(c) for c in SCORES]), lambda v: F.struct(
+            *kept, F.size(x["f"]["words"]).alias("n_tokens"), *[own[c].alias(c) for c in HIT_LISTS], *[v[c].alias(c) for c in SCORES],
+            (v["growth"] - v["risk"]).alias("net_score"),
+        ))
+
+    return F.transform(hit, scored)
 
 
 def score_versions(df: DataFrame, scorer: Scorer, versions: list[str]) -> DataFrame:
@@ -150,12 +214,12 @@ def score_versions(df: DataFrame, scorer: Scorer, versions: list[str]) -> DataFr
     if len({tuple(s.growth_phrases) for s, _ in settings.values()}) > 1:  # other phrases make other hits
         return reduce(DataFrame.unionByName, [score_sentences(df, scorer, v) for v in versions])
     shared = next(iter(settings.values()))[0]
-    out = raw_scores(hit_columns(df.where(F.size("tokens") >= min(k for _, k in settings.values())), shared))
-    names = ["growth", "risk", "cost_pressure", "net_score", "engine_version"]
-    out = out.withColumn("_raw", F.struct(*names[:3]))
+    out = raw_scores(hit_columns(df.where(F.size("words") >= min(k for _, k in settings.values())), shared))
+    names = [*SCORES, "net_score", "engine_version"]
+    out = out.withColumn("_raw", F.struct(*SCORES))
     for v, (s, least) in settings.items():
-        out = _finished(out, s, v).withColumn(f"_{v}", F.when(F.size("tokens") >= least, F.struct(*names)))
-        out = out.drop(*names[3:]).withColumns({c: F.col(f"_raw.{c}") for c in names[:3]})
+        out = _finished(out, s, v).withColumn(f"_{v}", F.when(F.size("words") >= least, F.struct(*names)))
+        out = out.drop(*names[3:]).withColumns({c: F.col(f"_raw.{c}") for c in SCORES})
     each = F.explode(F.array_compact(F.array(*[f"_{v}" for v in versions]))).alias("_s")
     rest = [c for c in out.columns if c not in (*names, "_raw", *(f"_{v}" for v in versions))]
     return out.select(*rest, each).select(*rest, "_s.*")
@@ -163,6 +227,6 @@ def score_versions(df: DataFrame, scorer: Scorer, versions: list[str]) -> DataFr
 
 def simple_score(df: DataFrame, scorer: Scorer, key: str = "doc_id", least: int = 6) -> DataFrame:
     """(key, growth, risk): sums of sign times weight times hits; a negated sentence counts negative, a hedged one half."""
-    hit = hit_columns(df.where(F.size("tokens") >= least), scorer)
+    hit = hit_columns(df.where(F.size("words") >= least), scorer)
     weight = F.when(F.col("has_negation"), -1.0).otherwise(1.0) * F.when(F.col("has_hedge"), d.HEDGE_FACTOR).otherwise(1.0)
     return hit.groupBy(key).agg(F.sum(weight * F.size("growth_lm")).alias("growth"), F.sum(weight * F.size("risk_lm")).alias("risk"))

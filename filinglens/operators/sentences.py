@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,29 +37,65 @@ def first_sentences(sections: DataFrame, keys: DataFrame, key: str = "doc_id", o
     return split_sentences(some, key, one_section=one_section).where("sent_id = 0")
 
 
-def add_features(
-    sentences: DataFrame, stop: list[str] = d.STOP_WORDS, negation: list[str] = d.NEGATIONS, hedges: list[str] = d.HEDGES,
-    pattern: str = r"\w+|[^\w\s]", nouns=None, entities=None,
-) -> DataFrame:
-    """tokens, has_negation, has_hedge, text_masked and noun_phrases (empty unless ``nouns``, a Column -> Column, gives them;
+def sentence_array(sections: Column, least: int = 3) -> Column:
+    """array<struct<sent_id, section, text>> out of a document's sections (array<struct<section, body, ...>>): the same sentences and numbers as
+    those of ``split_sentences``, inside the row."""
+    cut = lambda s: F.filter(F.transform(t.sentences(F.coalesce(s["body"], F.lit(""))), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+    flat = F.flatten(F.transform(sections, lambda s: F.transform(cut(s), lambda x: F.struct(s["section"].alias("section"), x.alias("text")))))
+    return F.transform(flat, lambda x, i: F.struct(i.alias("sent_id"), x["section"].alias("section"), x["text"].alias("text")))
+
+
+@dataclass(frozen=True)
+class Features:
+    """What the features of a sentence depend on. ``lemma`` turns an array of forms into one of lemmas."""
+
+    stop: list[str] = field(default_factory=lambda: list(d.STOP_WORDS))
+    negation: list[str] = field(default_factory=lambda: list(d.NEGATIONS))
+    hedges: list[str] = field(default_factory=lambda: list(d.HEDGES))
+    pattern: str = t.TOKEN
+    lemma: Callable[[Column], Column] | None = None
+
+    def of(self, text: Column) -> Column:
+        """struct<words, lemma, terms, has_negation, has_hedge>; words and lemma are as long as each other."""
+        def struct(w: Column, lemma: Column | None) -> Column:
+            return F.struct(
+                w.alias("words"), (w if lemma is None else lemma).alias("lemma"), t.terms(w, lemma, self.stop).alias("terms"),
+                t.has_negation(w, self.negation).alias("has_negation"), t.has_hedge(w, lemma, self.hedges).alias("has_hedge"),
+            )
+
+        found = t.forms(text, self.pattern)
+        return t.let(found, lambda w: struct(w, None) if self.lemma is None else t.let(self.lemma(w), lambda x: struct(w, x)))
+
+
+def add_features(sentences: DataFrame, features: Features | None = None, nouns=None, entities=None) -> DataFrame:
+    """The columns of ``Features.of``, text_masked and noun_phrases (empty unless ``nouns``, a Column -> Column, gives them;
     ``entities`` may mask names before the rules do)."""
+    features = features or Features()
     masked = t.mask_entities(entities(F.col("text")) if entities else F.col("text"))
-    # exploding one array keeps the optimiser from cutting the tokens anew for every use
-    df = sentences.select("*", F.explode(F.array(t.tokens(F.col("text"), stop, negation, pattern))).alias("tokens"))
+    # unfolding an array of one keeps the optimiser from cutting the words anew for every use
+    if features.lemma is None:
+        df = sentences.select("*", F.inline(F.array(features.of(F.col("text")))))
+    else:  # a dictionary may be a Python function, which no lambda takes
+        df = sentences.withColumn("words", t.forms(F.col("text"), features.pattern))
+        df = df.withColumn("lemma", features.lemma(F.col("words")))
+        w, lemma = F.col("words"), F.col("lemma")
+        df = df.withColumns({
+            "terms": t.terms(w, lemma, features.stop), "has_negation": t.has_negation(w, features.negation), "has_hedge": t.has_hedge(w, lemma, features.hedges),
+        })
     return df.withColumns({
-        "has_negation": t.has_negation(F.col("tokens")), "has_hedge": t.has_hedge(F.col("tokens"), hedges), "text_masked": masked,
+        "text_masked": masked,
         "noun_phrases": F.filter(nouns(F.col("text")), lambda p: F.length(p).between(2, 49)) if nouns else F.array().cast("array<string>"),
     })
 
 
 def min_tokens(sentences: DataFrame, k: int) -> DataFrame:
-    return sentences.where(F.size("tokens") >= k)
+    return sentences.where(F.size("words") >= k)
 
 
 def preprocess_stats(sentences: DataFrame, key: str = "doc_id", version: str = "1") -> DataFrame:
     """Counts of each document and the map of its sentences by section. Two steps of partial aggregates, no list of sentences."""
     per = sentences.groupBy(key, "section").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("tok"), F.count_if("has_negation").alias("neg"), F.count_if("has_hedge").alias("hed")
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("tok"), F.count_if("has_negation").alias("neg"), F.count_if("has_hedge").alias("hed")
     )
     return per.groupBy(key).agg(
         F.sum("n").alias("n_sentences"), F.sum("tok").alias("n_tokens"), F.sum("neg").alias("n_negated"), F.sum("hed").alias("n_hedged"),

@@ -18,17 +18,31 @@ STOP = ["the", "of", "and", "to", "a", "in"]
 NEGATION, HEDGES = ["for"], ["as", "at"]
 SCORER = scoring.Scorer(
     growth=["with", "from", "are"], risk=["this", "was"], uncertainty=["be"], growth_phrases=["is the"], risk_phrases=["in the"],
-    cost_phrases=["on the"], scope_negations=["for"],
+    cost_phrases=["on the"], negations=NEGATION, scope_negations=["for"],
 )
-PATTERN = "[A-Za-z0-9]+"
+PATTERN = r"[\p{L}\p{N}]+"
+FEATURES = sentences.Features(STOP, NEGATION, HEDGES, PATTERN)
 SECTION_OF = {"en": "mdna", "de": "risk_factors", "fr": "forward_guidance"}
 FORM_OF = {"en": "10-K", "de": "10-Q", "fr": "8-K"}
 
 
+#: A table of fewer bytes a core than this is often one row group, hence one task.
+SMALL_SHARE = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of ``documents`` for work that is costly a row. Large tables come in as many tasks as they have row groups and are taken as
+    they are; the rows of one too small for that are dealt over the cores first."""
+    d = table(spark, sf_dir, "documents").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return d.repartition(cores) if size < cores * SMALL_SHARE else d
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one: spark.checkpoint.dir, else the session's checkpoint folder; on one machine without
     either a temporary one."""
@@ -76,7 +90,7 @@ RECORDS = f"""records AS (SELECT doc_id, upper(source) AS ticker, {case('lang',
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "doc_id", "source", "lang", "text")
     return d.select("doc_id", "source", F.lit(0).alias("section_ord"), by_value(F.col("lang"), SECTION_OF, "qa_A_0").alias("section"), F.col("text").alias("body"))
 
 
@@ -85,21 +99,28 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.add_features(split(spark, sf_dir), STOP, NEGATION, HEDGES, PATTERN)
+    return sentences.add_features(split(spark, sf_dir), FEATURES)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.hit_columns(featured(spark, sf_dir), SCORER)
 
 
+def scored_documents(spark: SparkSession, sf_dir: str, version: str = "v1") -> DataFrame:
+    """(doc_id, source, scored): each document with the array of its scored sentences."""
+    sents = sentences.sentence_array(F.array(F.struct("section", "body")))
+    return sections(spark, sf_dir).select("doc_id", "source", scoring.scored_array(sents, SCORER, FEATURES, version).alias("scored"))
+
+
 def scored(spark: SparkSession, sf_dir: str, version: str = "v1") -> DataFrame:
-    return scoring.score_sentences(featured(spark, sf_dir), SCORER, version)
+    """A row a scored sentence."""
+    return scored_documents(spark, sf_dir, version).select("doc_id", "source", F.inline("scored"))
 
 
 def scored_first(spark: SparkSession, sf_dir: str, keys: DataFrame, versions: list[str]) -> DataFrame:
     """The scored first sentences of the documents of ``keys`` (doc_id)."""
     first = sentences.first_sentences(sections(spark, sf_dir), keys, one_section=True)
-    return scoring.score_versions(sentences.add_features(first, STOP, NEGATION, HEDGES, PATTERN), SCORER, versions)
+    return scoring.score_versions(sentences.add_features(first, FEATURES), SCORER, versions)
 
 
 def once(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators import baseline, documents, scoring, sentences
 from ..sources import records as src
 from . import corpus as c
-from .corpus import FEAT, HIT, RAW, SCORER, SENTS, Query, featured, hits, j, joined, mean_s, r4, r4s, scored, scores_sql, split, table
+from .corpus import FEAT, HIT, RAW, SCORER, SENTS, Query, featured, hits, j, joined, mean_s, r4, r4s, scored, scored_documents, scores_sql, split, table
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -35,7 +35,7 @@ def d1_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FEAT} SELECT doc_id, sent_id, CAST(len(tk) AS BIGINT) AS n_tokens, array_to_string(tk, ' ') AS lemmas, CAST(len([x for x in tk if x IN ({c.quoted(c.STOP)})]) AS BIGINT) AS n_stop FROM feat")
 def d2_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    f = featured(spark, sf)
+    f = split(spark, sf).select("doc_id", "sent_id", F.explode(F.array(t.tokens(F.col("text"), c.STOP, c.NEGATION, c.PATTERN))).alias("tokens"))
     return f.select("doc_id", "sent_id", long(F.size("tokens"), "n_tokens"), F.array_join("tokens.lemma", " ").alias("lemmas"), long(F.size(F.filter("tokens", lambda x: x["is_stop"])), "n_stop"))
 
 
@@ -66,7 +66,7 @@ PHRASE = "[A-Z][a-z]*( [A-Z][a-z]*)*"
 
 @query(f"WITH {SENTS} SELECT doc_id, sent_id, CAST(len(p) AS BIGINT) AS n_noun_phrases, array_to_string(p, '|') AS noun_phrases FROM (SELECT doc_id, sent_id, [x for x in regexp_extract_all(text, '{PHRASE}') if length(x) BETWEEN 2 AND 49] AS p FROM sents)")
 def d6_noun_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    found = sentences.add_features(split(spark, sf), c.STOP, c.NEGATION, c.HEDGES, c.PATTERN, nouns=lambda x: F.regexp_extract_all(x, F.lit(PHRASE), F.lit(0)))
+    found = sentences.add_features(split(spark, sf), c.FEATURES, nouns=lambda x: F.regexp_extract_all(x, F.lit(PHRASE), F.lit(0)))
     return found.select("doc_id", "sent_id", long(F.size("noun_phrases"), "n_noun_phrases"), F.array_join("noun_phrases", "|").alias("noun_phrases"))
 
 
@@ -161,7 +161,7 @@ def e11_has_hit(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {FEAT} SELECT doc_id, sent_id, array_to_string(list_sort(list_intersect(lem, ['from', 'are'])), ',') AS growth_lm FROM feat")
 def e12_lexicon_v2(spark: SparkSession, sf: str) -> DataFrame:
     words = scoring.without_blocked(SCORER.growth, ["with"])
-    return featured(spark, sf).select("doc_id", "sent_id", F.array_join(t.lexicon_hits(F.col("tokens"), words), ",").alias("growth_lm"))
+    return featured(spark, sf).select("doc_id", "sent_id", F.array_join(t.lexicon_hits(F.col("terms"), words), ",").alias("growth_lm"))
 
 
 _S = f"(CASE WHEN has_negation THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * {_H}"
@@ -188,7 +188,7 @@ ds AS (SELECT d.doc_id, d.source, coalesce(g, 0) + 0.0 AS growth, coalesce(r, 0)
 
 
 def doc_scores(spark: SparkSession, sf: str) -> DataFrame:
-    out = documents.document_scores(scored(spark, sf), table(spark, sf, "documents").select("doc_id", "source"))
+    out = scored_documents(spark, sf).select("doc_id", "source", documents.scores_of(F.col("scored")).alias("s")).select("doc_id", "source", "s.*")
     return out.withColumns({x: F.col(x) + 0.0 for x in ("growth", "risk", "cost_pressure", "net_operating_signal")})
 
 
@@ -197,9 +197,22 @@ def f1_document_scores(spark: SparkSession, sf: str) -> DataFrame:
     return doc_scores(spark, sf)
 
 
+def covered(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, source, scored, scored_with_hits) of every document."""
+    return scored_documents(spark, sf).select("doc_id", "source", documents.coverage_of(F.col("scored")).alias("c")).select("doc_id", "source", "c.*")
+
+
+def tops(spark: SparkSession, sf: str) -> DataFrame:
+    return scored_documents(spark, sf).select("doc_id", F.inline(documents.top_of(F.col("scored"))))
+
+
+def tallies(spark: SparkSession, sf: str) -> DataFrame:
+    return scored_documents(spark, sf).select("doc_id", F.inline(documents.tally_of(F.col("scored"))))
+
+
 @query(f"WITH {scores_sql()} SELECT doc_id, count(*) AS scored, count(*) FILTER ({ANY_HIT}) AS scored_with_hits FROM sc GROUP BY doc_id")
 def f2_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.coverage(scored(spark, sf))
+    return covered(spark, sf).where("scored > 0").select("doc_id", "scored", "scored_with_hits")
 
 
 TURN_SECTION = "CASE role WHEN 'user' THEN 'qa_Q' WHEN 'assistant' THEN 'qa_A' ELSE 'prepared_remarks' END"
@@ -219,7 +232,7 @@ top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORD
 
 @query(f"WITH {TOP} SELECT doc_id, rank, sent_id, round(net_score, 2) + 0.0 AS net_score FROM top")
 def f4_top_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.top_sentences(scored(spark, sf)).select("doc_id", "rank", "sent_id", (F.round("net_score", 2) + 0.0).alias("net_score"))
+    return tops(spark, sf).select("doc_id", "rank", "sent_id", (F.round("net_score", 2) + 0.0).alias("net_score"))
 
 
 TALLY = scores_sql() + """,
@@ -231,12 +244,12 @@ tally AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id,
 
 @query(f"WITH {TALLY} SELECT * FROM tally")
 def f5_tally_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.tally_terms(scored(spark, sf))
+    return tallies(spark, sf)
 
 
 @query(f"WITH {TALLY} SELECT doc_id, dimension, term, source, count FROM tally WHERE rank <= 4")
 def f6_phrase_table(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.phrase_table(documents.tally_terms(scored(spark, sf))).drop("rank")
+    return documents.phrase_table(tallies(spark, sf)).drop("rank")
 
 
 BINS_SQL = """bins(ord, bin, lo, hi) AS (VALUES (0, '<= -4', -10.0, -4.0), (1, '-4 to -2', -4.0, -2.0), (2, '-2 to 0', -2.0, 0.0), (3, '0 to 2', 0.0, 2.0), (4, '2 to 4', 2.0, 4.0), (5, '>= 4', 4.0, 10.0))"""
@@ -249,13 +262,14 @@ def f7_net_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TOP} SELECT doc_id, rank, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '…' ELSE text END AS text, array_to_string(growth_lm || growth_phrases, ', ') AS growth_terms, array_to_string(risk_lm || risk_phrases, ', ') AS risk_terms, array_to_string(cost_phrases, ', ') AS cost_terms FROM top WHERE rank <= 10")
 def f8_evidence_table(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.evidence_table(documents.top_sentences(scored(spark, sf)))
+    return documents.evidence_table(tops(spark, sf))
 
 
 @query(f"WITH {TALLY}, {DOCS[len(scores_sql()) + 1:]}, dt AS (SELECT doc_id, arg_min(term, (CASE dimension WHEN 'growth' THEN 0 WHEN 'risk' THEN 1 ELSE 2 END) * 100 + rank) AS dominant_term FROM tally GROUP BY doc_id) SELECT ds.doc_id, CASE WHEN abs(growth) >= abs(risk) AND abs(growth) >= abs(cost_pressure) THEN 'growth' WHEN abs(risk) >= abs(cost_pressure) THEN 'risk' ELSE 'cost_pressure' END AS strongest, dominant_term FROM ds LEFT JOIN dt USING (doc_id)")
 def f9_strongest_dimension(spark: SparkSession, sf: str) -> DataFrame:
-    terms = documents.dominant_term(documents.tally_terms(scored(spark, sf)))
-    return documents.strongest_dimension(doc_scores(spark, sf)).join(terms, "doc_id", "left").select("doc_id", "strongest", "dominant_term")
+    x = F.col("scored")
+    both = scored_documents(spark, sf).select("doc_id", documents.scores_of(x).alias("s"), documents.dominant_of(documents.tally_of(x)).alias("dominant_term"))
+    return documents.strongest_dimension(both.select("doc_id", "s.*", "dominant_term")).select("doc_id", "strongest", "dominant_term")
 
 
 SECTOR_CASE = "CASE WHEN n <= 4 THEN 'S1' WHEN n <= 9 THEN 'S2' WHEN n <= 14 THEN 'S3' WHEN n <= 16 THEN 'S4' ELSE 'Unknown' END"
@@ -378,8 +392,8 @@ def f12_net_trend(spark: SparkSession, sf: str) -> DataFrame:
        "last AS (SELECT * FROM cov QUALIFY row_number() OVER (PARTITION BY source ORDER BY date DESC, doc_id) = 1), asked AS (SELECT DISTINCT source FROM documents WHERE doc_id % 7 = 0 UNION SELECT 'src99') "
        "SELECT source, doc_id, scored, doc_id IS NULL AS missing, coalesce(scored <= 50, false) AS low_coverage FROM asked LEFT JOIN last USING (source)")
 def f13_latest_report(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("source", "doc_id", (F.col("doc_id") % 50).alias("date"))
-    cov = d.join(documents.coverage(scored(spark, sf)).select("doc_id", "scored"), "doc_id", "left").withColumn("scored", F.coalesce("scored", F.lit(0)))
+    cov = covered(spark, sf).select("source", "doc_id", (F.col("doc_id") % 50).alias("date"), "scored")
+    d = table(spark, sf, "documents").select("source", "doc_id")
     asked = d.where("doc_id % 7 = 0").select("source").distinct().unionByName(d.limit(1).select(F.lit("src99").alias("source")))
     return documents.latest_report(cov, asked, "source", "date").select("source", "doc_id", "scored", "missing", "low_coverage")
 
@@ -404,7 +418,7 @@ tops AS (SELECT doc_id, string_agg(CAST(sent_id AS VARCHAR), ',' ORDER BY rank)
 def s6_nested_analyses(spark: SparkSession, sf: str) -> DataFrame:
     path = c.scratch(spark)
     rows = c.records(spark, sf).select("doc_id", "ticker", "form_type", "filing_date")
-    src.write_signals(documents.analyses(c.once(scored(spark, sf)), rows), path)
+    src.write_signals(documents.analyses(rows.join(scored_documents(spark, sf).drop("source"), "doc_id")), path)
     back = spark.read.parquet(path)
     scores = [(F.col(f"scores.{x}") + 0.0).alias(x) for x in ("growth", "risk", "cost_pressure", "net_operating_signal")]
     terms = F.transform("tallies", lambda x: F.concat(x["dimension"], F.lit(":"), x["term"], F.lit("="), x["count"].cast("string")))

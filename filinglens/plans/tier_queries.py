@@ -43,11 +43,11 @@ def h1_route_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return routed(spark, sf).select("doc_id", "sent_id", "method", "label", r4("net_score"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS ws FROM documents), tf AS (SELECT word, count(*) AS tf FROM (SELECT unnest(ws) AS word FROM w) GROUP BY word),
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}') AS ws FROM documents), tf AS (SELECT word, count(*) AS tf FROM (SELECT unnest(ws) AS word FROM w) GROUP BY word),
 df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM w) GROUP BY word)
 SELECT word, df, tf, round(ln((1 + (SELECT count(*) FROM w)) / (1 + df)::DOUBLE) + 1, 6) AS idf FROM tf JOIN df USING (word) ORDER BY tf DESC, word LIMIT 10000""")
 def h2_fit_idf(spark: SparkSession, sf: str) -> DataFrame:
-    return tiers.fit_idf(table(spark, sf, "documents"), word="[a-z0-9]{2,}").withColumn("idf", F.round("idf", 6))
+    return tiers.fit_idf(table(spark, sf, "documents"), word="[\\p{L}\\p{N}]{2,}").withColumn("idf", F.round("idf", 6))
 
 
 @query("""WITH tv AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim, coalesce(1 + r_regionkey * 0.5::DOUBLE, 1.0::DOUBLE) AS w

@@ -124,9 +124,12 @@ def test_transcript(spark):
     assert {r.doc_id for r in both.collect()} == {1, 2, 3}
 
 
+def bodies(spark, rows):
+    return spark.createDataFrame([(i, 0, s, x) for i, (s, x) in enumerate(rows)], "doc_id long, section_ord int, section string, body string")
+
+
 def feats(spark, rows, **how):
-    df = spark.createDataFrame([(i, 0, s, x) for i, (s, x) in enumerate(rows)], "doc_id long, section_ord int, section string, body string")
-    return sentences.add_features(sentences.split_sentences(df), **how)
+    return sentences.add_features(sentences.split_sentences(bodies(spark, rows)), sentences.Features(**how))
 
 
 def test_flags(spark):
@@ -174,6 +177,51 @@ def test_negation_against_python(spark):
         assert got["v3"][i] == pytest.approx((0.0 if near("up") else g, 0.0 if near("down") else r, 0.0) if neg else (g, r, k))
 
 
+def random_bodies(rng, n):
+    vocab = ["not", "no", "up", "Down", "x", "y", "z", "the", "may", "naïve", "Über", "up.", "down!", "y z", "\n"]
+    return [(rng.choice(["mdna", "risk_factors", "qa_A_3", "qa_Q_1"]), " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 80)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("version", ["v1", "v2", "v3"])
+def test_scores_inside_the_row(spark, version):
+    """Arrays of sentences give the same sentences, scores, tops and tallies as tables of them, without a shuffle."""
+    rng = random.Random(9)
+    s = scoring.Scorer(growth=["up", "über", "y"], risk=["down", *(f"w{i}" for i in range(40))], uncertainty=["naïve"], growth_phrases=["y z"], risk_phrases=["z y", "x x"], cost_phrases=["x y"])
+    f = sentences.Features(stop=["the", "y"])
+    two = [(i, 2 * i + j, j, sec, x) for i in range(60) for j, (sec, x) in enumerate(random_bodies(rng, 2))]
+    sections = spark.createDataFrame([(i, j, sec, x) for i, _, j, sec, x in two], "doc_id long, section_ord int, section string, body string")
+    rows = scoring.score_sentences(sentences.add_features(sentences.split_sentences(sections), f), s, version)
+    docs = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section_ord", "section", "body"))).alias("sections"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)  # the arrays as they come from a source
+    arrays = docs.select("doc_id", scoring.scored_array(sentences.sentence_array(F.col("sections")), s, f, version).alias("scored"))
+    cols = ["doc_id", "sent_id", "section", "text", *scoring.HIT_LISTS, *scoring.SCORES, "net_score"]
+    by_key = lambda df, *keys: sorted((tuple(r) for r in df.select(*keys).collect()), key=repr)
+    assert by_key(arrays.select("doc_id", F.inline("scored")), *cols) == by_key(rows, *cols)
+    x = F.col("scored")
+    flat = arrays.select("doc_id", documents.scores_of(x).alias("s")).select("doc_id", "s.*")
+    assert by_key(flat, *flat.columns) == by_key(documents.document_scores(rows, docs.select("doc_id")), *flat.columns)
+    top = arrays.select("doc_id", F.inline(documents.top_of(x, 3)))
+    assert by_key(top, *top.columns) == by_key(documents.top_sentences(rows, 3), *top.columns)
+    tally = arrays.select("doc_id", F.inline(documents.tally_of(x, 2)))
+    assert by_key(tally, *tally.columns) == by_key(documents.tally_terms(rows, 2), *tally.columns)
+    cover = arrays.select("doc_id", documents.coverage_of(x).alias("c")).select("doc_id", "c.*").where("scored > 0")
+    assert by_key(cover, *cover.columns) == by_key(documents.coverage(rows), *cover.columns)
+    for df in (flat, top, tally, documents.analyses(arrays)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_without_sentences(spark):
+    docs = spark.createDataFrame([(1, []), (2, [("mdna", "")]), (3, [("mdna", None)])], "doc_id long, sections array<struct<section: string, body: string>>")
+    arrays = docs.select("doc_id", scoring.scored_array(sentences.sentence_array(F.col("sections")), scoring.Scorer()).alias("scored"))
+    got = documents.analyses(arrays).collect()
+    assert [(tuple(r.scores), tuple(r.coverage), r.tallies, r.top_sentences) for r in got] == [((0.0,) * 4, (0, 0), [], [])] * 3
+
+
+def test_unicode_tokens(spark):
+    got = one(spark, "Das Café Straße, naïve—été", t.forms)
+    assert got == ["das", "café", "straße", ",", "naïve", "—", "été"]
+
+
 def test_uncertainty_survives(spark):
     s = scoring.Scorer(uncertainty=["maybe"])
     got = scoring.score_sentences(feats(spark, [("mdna", "this is not maybe so sure")]), s, "v2").first()
