@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from .. import dictionaries as d
 from ..functions import text as t
+from ..functions.models import phrase_column
 from .sentences import Features
 
 HIT_LISTS = ["growth_lm", "growth_phrases", "risk_lm", "risk_phrases", "uncertainty_lm", "cost_phrases"]
 
+#: From here on one pass of an automaton costs less than a look for each phrase.
+MANY_PHRASES = 60
+
 
 @dataclass(frozen=True)
 class Scorer:
@@ -52,18 +56,24 @@ Get = Callable[[str], Column]
 SCORES = ["growth", "risk", "cost_pressure"]
 
 
-def _hits(get: Get, s: Scorer) -> Column:
-    """struct of the six hit lists."""
+def _hits(get: Get, s: Scorer, found: Column | None = None) -> Column:
+    """struct of the six hit lists; ``found`` are the phrases of all three lists that the text contains, where they are known."""
     term = get("terms")
+    phrases = lambda low, own: t.phrase_hits(low, own) if found is None else F.sort_array(t.only(found, own))
     return t.let(F.lower(get("text")), lambda low: F.struct(
-        t.lexicon_hits(term, s.growth).alias("growth_lm"), t.phrase_hits(low, s.growth_phrases).alias("growth_phrases"),
-        t.lexicon_hits(term, s.risk).alias("risk_lm"), t.phrase_hits(low, s.risk_phrases).alias("risk_phrases"),
-        t.lexicon_hits(term, s.uncertainty).alias("uncertainty_lm"), t.phrase_hits(low, s.cost_phrases).alias("cost_phrases"),
+        t.lexicon_hits(term, s.growth).alias("growth_lm"), phrases(low, s.growth_phrases).alias("growth_phrases"),
+        t.lexicon_hits(term, s.risk).alias("risk_lm"), phrases(low, s.risk_phrases).alias("risk_phrases"),
+        t.lexicon_hits(term, s.uncertainty).alias("uncertainty_lm"), phrases(low, s.cost_phrases).alias("cost_phrases"),
     ))
 
 
 def hit_columns(df: DataFrame, s: Scorer) -> DataFrame:
-    return df.select("*", F.inline(F.array(_hits(F.col, s))))
+    """The six hit lists of every sentence. Over ``MANY_PHRASES`` phrases are found by an automaton that reads a sentence once."""
+    phrases = [*s.growth_phrases, *s.risk_phrases, *s.cost_phrases]
+    if len(phrases) <= MANY_PHRASES:
+        return df.select("*", F.inline(F.array(_hits(F.col, s))))
+    out = df.withColumn("_found", phrase_column(phrases)(F.lower("text")))
+    return out.select("*", F.inline(F.array(_hits(F.col, s, F.col("_found"))))).drop("_found")
 
 
 def _some(get: Get, *cols: str) -> Column:

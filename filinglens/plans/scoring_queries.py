@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import models
 from ..functions import text as t
 from ..operators import baseline, documents, scoring, sentences
 from ..sources import records as src
 from . import corpus as c
 from .corpus import FEAT, HIT, RAW, SCORER, SENTS, Query, featured, hits, j, joined, mean_s, r4, r4s, scored, scored_documents, scores_sql, split, table
 
+#: A phrase list comes from a dictionary; more entries than this are no list any more.
+MOST_PHRASES = 1_000_000
+
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -39,6 +43,42 @@ def d2_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("doc_id", "sent_id", long(F.size("tokens"), "n_tokens"), F.array_join("tokens.lemma", " ").alias("lemmas"), long(F.size(F.filter("tokens", lambda x: x["is_stop"])), "n_stop"))
 
 
+#: A dictionary out of the texts: forms in s whose rest is a form as well.
+LEMMAS = f"""forms AS (SELECT DISTINCT unnest(list_distinct([lower(x) for x in regexp_extract_all(text, '{c.PATTERN}')])) AS form FROM documents),
+lemmas AS (SELECT a.form, b.form AS lemma FROM forms a JOIN forms b ON a.form = b.form || 's' WHERE length(a.form) > 3),
+each AS (SELECT doc_id, sent_id, unnest(tk) AS form, generate_subscripts(tk, 1) AS pos FROM feat),
+lem2 AS (SELECT doc_id, sent_id, string_agg(coalesce(lemma, form), ' ' ORDER BY pos) AS lemmas, count(lemma) AS n_changed FROM each LEFT JOIN lemmas USING (form) GROUP BY doc_id, sent_id)"""
+
+
+def lemma_table(spark: SparkSession, sf: str) -> DataFrame:
+    found = t.forms(F.col("text"), c.PATTERN)
+    forms = table(spark, sf, "documents").select(F.explode(F.array_distinct(found)).alias("form")).distinct()
+    stems = forms.select(F.concat("form", F.lit("s")).alias("form"), F.col("form").alias("lemma"))
+    return c.once(forms.where(F.length("form") > 3).join(stems, "form"))
+
+
+def _lemma_rows(df: DataFrame) -> DataFrame:
+    changed = F.filter(F.arrays_zip("words", "lemma"), lambda x: x["words"] != x["lemma"])
+    return df.select("doc_id", "sent_id", F.array_join("lemma", " ").alias("lemmas"), long(F.size(changed), "n_changed"))
+
+
+@query(f"WITH {FEAT}, {LEMMAS} SELECT * FROM lem2")
+def d2_lemmas(spark: SparkSession, sf: str) -> DataFrame:
+    """Words by a dictionary that is sent to every worker."""
+    lemma = models.lemma_column(lemma_table(spark, sf))
+    if lemma is None:
+        return d2_lemmas_by_join(spark, sf)
+    words = split(spark, sf).select("doc_id", "sent_id", t.forms(F.col("text"), c.PATTERN).alias("words")).where(F.size("words") > 0)
+    return _lemma_rows(words.withColumn("lemma", lemma(F.col("words"))))
+
+
+@query(f"WITH {FEAT}, {LEMMAS} SELECT * FROM lem2")
+def d2_lemmas_by_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a join, as for a dictionary of any size."""
+    words = split(spark, sf).select("doc_id", "sent_id", t.forms(F.col("text"), c.PATTERN).alias("words"))
+    return _lemma_rows(words.join(models.lemmas_by_join(words, lemma_table(spark, sf), ["doc_id", "sent_id"]), ["doc_id", "sent_id"]))
+
+
 @query(f"WITH {FEAT} SELECT doc_id, sent_id, has_negation FROM feat")
 def d3_has_negation(spark: SparkSession, sf: str) -> DataFrame:
     return featured(spark, sf).select("doc_id", "sent_id", "has_negation")
@@ -70,6 +110,23 @@ def d6_noun_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "sent_id", long(F.size("noun_phrases"), "n_noun_phrases"), F.array_join("noun_phrases", "|").alias("noun_phrases"))
 
 
+def _phrase_model():
+    """A model as workers load it: batches of texts to lists of phrases."""
+    import re
+
+    import pyarrow as pa
+
+    found = re.compile(PHRASE)
+    return lambda texts: pa.array([None if x is None else [m[0] for m in found.finditer(x)] for x in texts.to_pylist()], pa.list_(pa.string()))
+
+
+@query(SQL["d6_noun_phrases"])
+def d6_noun_phrases_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through a model in Python, loaded once a worker."""
+    found = sentences.add_features(split(spark, sf), c.FEATURES, nouns=models.model_column(_phrase_model, "array<string>"))
+    return found.select("doc_id", "sent_id", long(F.size("noun_phrases"), "n_noun_phrases"), F.array_join("noun_phrases", "|").alias("noun_phrases"))
+
+
 @query(f"WITH {FEAT} SELECT doc_id, count(*) AS n_sentences, CAST(sum(len(tk)) AS BIGINT) AS n_tokens, count(*) FILTER (has_negation) AS n_negated, count(*) FILTER (has_hedge) AS n_hedged, any_value(section) || '=' || count(*) AS by_section FROM feat GROUP BY doc_id")
 def d7_preprocess_stats(spark: SparkSession, sf: str) -> DataFrame:
     s = sentences.preprocess_stats(featured(spark, sf))
@@ -99,6 +156,21 @@ def e2_phrase_hits(spark: SparkSession, sf: str) -> DataFrame:
     return hits(spark, sf).select("doc_id", "sent_id", joined("growth_phrases"), joined("risk_phrases"), joined("cost_phrases"))
 
 
+#: Many phrases: every two words that follow each other in a benchmark item.
+MANY = """many AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS p FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split(lower(text), ' ') AS w FROM benchmark)) WHERE w[i] <> '' AND w[i + 1] <> '')"""
+
+
+@query(f"WITH {SENTS}, {MANY} SELECT doc_id, sent_id, count(*) AS n, string_agg(p, '|' ORDER BY p) AS phrases FROM sents JOIN many ON contains(lower(text), p) GROUP BY doc_id, sent_id")
+def e2_many_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    w = F.split(F.lower("text"), " ", -1)
+    pairs = F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.when((F.get(w, i) != "") & (x != ""), F.concat_ws(" ", F.get(w, i), x)))
+    rows = table(spark, sf, "benchmark").select(F.explode(F.array_compact(pairs)).alias("p")).distinct().limit(MOST_PHRASES + 1).collect()
+    if len(rows) > MOST_PHRASES:
+        raise ValueError(f"over {MOST_PHRASES} phrases are no list any more")
+    found = split(spark, sf).withColumn("found", models.phrase_column([r.p for r in rows])(F.lower("text"))).where(F.size("found") > 0)
+    return found.select("doc_id", "sent_id", long(F.size("found"), "n"), F.array_join("found", "|").alias("phrases"))
+
+
 def _three(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "sent_id", r4("growth"), r4("risk"), r4("cost_pressure"))
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filinglens import dictionaries as d
+from filinglens.functions import models
 from filinglens.functions import text as t
 from filinglens.operators import baseline, cleaning, documents, evaluation, preparation, scoring, sentences, tiers
 from filinglens.sources import records
@@ -217,6 +218,63 @@ def test_scores_without_sentences(spark):
     assert [(tuple(r.scores), tuple(r.coverage), r.tallies, r.top_sentences) for r in got] == [((0.0,) * 4, (0, 0), [], [])] * 3
 
 
+def test_model_is_loaded_once_a_worker(spark, tmp_path):
+    """However many batches and tasks a worker runs. Nulls reach the model."""
+    import os
+
+    import pyarrow as pa
+
+    folder = str(tmp_path)
+
+    def load():
+        with open(f"{folder}/loads", "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda texts: pa.array([[] if x is None else x.split() for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    words = models.model_column(load, "array<string>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for _ in range(2):
+            df = spark.range(400, numPartitions=8).select(F.when(F.col("id") % 5 != 0, F.concat(F.lit("word "), F.col("id").cast("string"))).alias("text"))
+            assert df.select(F.sum(F.size(words(F.col("text")))).alias("n")).first().n == 640
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    loads = (tmp_path / "loads").read_text().split()
+    assert len(loads) == len(set(loads)) <= 8
+    nouns = sentences.add_features(spark.createDataFrame([("An old Tree",)], "text string"), nouns=words).first()
+    assert nouns.noun_phrases == ["An", "old", "Tree"]
+
+
+def test_lemmas(spark):
+    table = spark.createDataFrame([("was", "be"), ("were", "be"), ("cités", "cité"), ("gains", "gain"), ("gains", "gainz"), (None, "x"), ("y", None)], "form string, lemma string")
+    df = spark.createDataFrame([(1, ["gains", "were", "up", "gains"]), (2, []), (3, ["cités", "y"])], "id int, words array<string>")
+    want = {1: ["gain", "be", "up", "gain"], 2: [], 3: ["cité", "y"]}
+    lemma = models.lemma_column(table)
+    assert {r.id: r.l for r in df.select("id", lemma(F.col("words")).alias("l")).collect()} == want
+    assert {r.id: r.lemma for r in models.lemmas_by_join(df, table, ["id"]).collect()} == {k: v for k, v in want.items() if v}
+    assert models.lemma_column(table, max_forms=3) is None
+    rows = feats(spark, [("mdna", "The gains were not small")], lemma=lemma).collect()
+    assert rows[0].lemma == ["the", "gain", "be", "not", "small"] and sorted(rows[0].terms) == ["gain", "not", "small"]  # "were" is a stop word, so is its lemma
+    got = scoring.score_sentences(feats(spark, [("mdna", "The gains went up a lot")], lemma=lemma), scoring.Scorer(growth=["gain"])).first()
+    assert got.growth_lm == ["gain"] and got.growth == 1.0
+
+
+def test_many_phrases(spark):
+    """An automaton finds what a look for each phrase finds, also out of several automata."""
+    rng = random.Random(6)
+    phrases = sorted({"".join(rng.choice("abé ") for _ in range(rng.randint(1, 5))) for _ in range(700)})
+    texts = ["".join(rng.choice("abcé  ") for _ in range(rng.randint(0, 60))) for _ in range(200)] + [None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    for most in (1 << 20, 200):
+        found = models.phrase_column(phrases, most)
+        assert {r.i: r.p for r in df.select("i", found(F.col("text")).alias("p")).collect()} == {i: sorted(p for p in phrases if x is not None and p in x) for i, x in enumerate(texts)}
+    s = scoring.Scorer(growth_phrases=phrases[:300], risk_phrases=phrases[200:], cost_phrases=["zz", "é"])
+    few = scoring.hit_columns(feats(spark, [("mdna", x) for x in texts if x]), s).orderBy("doc_id", "sent_id").collect()
+    for r in few:
+        low = r.text.lower()
+        assert r.growth_phrases == [p for p in phrases[:300] if p in low] and r.risk_phrases == [p for p in phrases[200:] if p in low] and r.cost_phrases == [p for p in ("zz", "é") if p in low]
+
+
 def test_unicode_tokens(spark):
     got = one(spark, "Das Café Straße, naïve—été", t.forms)
     assert got == ["das", "café", "straße", ",", "naïve", "—", "été"]
