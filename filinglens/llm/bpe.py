@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import base64
 import codecs
-from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+import uuid
+from array import array
+from collections.abc import Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most bytes that a vocabulary file may have to be sent to all tasks.
 MAX_VOCABULARY = 64 << 20
-#: A transducer forgets its states, and a worker its pieces, beyond these numbers; both are only remembered work.
-MAX_STATES, MAX_PIECES, LONG_PIECE = 200_000, 400_000, 48
+#: A transducer forgets its steps, and a worker its pieces, beyond these numbers; both are only remembered work.
+MAX_STEPS, MAX_PIECES, LONG_PIECE = 400_000, 250_000, 48
 #: Characters of a text that are cut into pieces at once, and ids that are decoded at once.
 TEXT_STEP, ID_STEP = 1 << 20, 1 << 16
 
@@ -37,172 +41,241 @@ def read_ranks(vocabulary: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line.strip())}
 
 
+class Merges(NamedTuple):
+    """A rank file compiled: the tokens by rank, the two parts of each token's last merge, and the tokens that merges never reach."""
+
+    tokens: dict[int, bytes]
+    left: dict[int, int]
+    right: dict[int, int]
+    unreached: frozenset[bytes]
+
+
+def merged(ranks: dict[bytes, int], data: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
+    """The parts of ``data`` after all merges, least rank and then leftmost first, and the last pair that was merged."""
+    parts, last = [data[i : i + 1] for i in range(len(data))], None
+    while True:
+        best, where = -1, -1
+        for i in range(len(parts) - 1):
+            rank = ranks.get(parts[i] + parts[i + 1], -1)
+            if rank >= 0 and (best < 0 or rank < best):
+                best, where = rank, i
+        if where < 0:
+            return parts, last
+        last = (parts[where], parts[where + 1])
+        parts[where : where + 2] = [last[0] + last[1]]
+
+
+def compile_merges(ranks: dict[bytes, int]) -> Merges:
+    lacking = [b for b in range(256) if bytes([b]) not in ranks]
+    if lacking:
+        raise ValueError(f"the vocabulary lacks {len(lacking)} of the 256 single bytes")
+    left, right, unreached = {}, {}, set()
+    for token, rank in ranks.items():
+        if len(token) > 1:
+            parts, last = merged(ranks, token)
+            if len(parts) > 1:
+                unreached.add(token)
+                continue
+            left[rank], right[rank] = ranks[last[0]], ranks[last[1]]
+            if any(len(part) > 1 and ranks[part] > rank for part in last):
+                raise ValueError(f"token {token!r} has a lower rank than a part of it")
+    return Merges({rank: token for token, rank in ranks.items()}, left, right, frozenset(unreached))
+
+
 class State:
-    """What the bytes read so far leave open: the last token emitted, and for each place at which a further token may begin, the trie's node
-    of what was read since and the tokens up to it that aren't emitted yet."""
+    """The longest end of what was read that begins a token: a node of the vocabulary's trie. ``shorter`` is the state of the next shorter such
+    end; ``endings`` are the tokens that end here, the longest first, with their lengths and the tokens that they are known to fit behind."""
 
-    __slots__ = ("last", "live", "steps", "rest")
+    __slots__ = ("node", "steps", "shorter", "endings")
 
-    def __init__(self, last: int, live: tuple[tuple[int, tuple[int, ...]], ...]) -> None:
-        self.last, self.live = last, live
-        self.rest = live[-1][1]  # what is emitted if the piece ends here
-        self.steps: dict[int, tuple[State, tuple[int, ...]]] = {}
+    def __init__(self, node: int) -> None:
+        self.node, self.shorter = node, None
+        self.steps: dict[int, State] = {}
+        self.endings: tuple[tuple[int, int, dict[int, bool]], ...] = ()
 
 
 class Transducer:
-    """Merges compiled into a transducer from bytes to tokens, whose states are made when they are first reached.
+    """Merges compiled into a transducer from bytes to tokens, whose steps are determinised when they are first taken.
 
     The encoding of a piece without its last token is the encoding of what comes before it, and a sequence of tokens is an encoding
     exactly if every two neighbours are the encoding of their bytes. So each place of a piece has one encoding that ends there: the one
-    whose last token, read in the vocabulary's trie from an earlier place, may stand behind that place's encoding. Tokens
-    that the encodings of all places where a token may still begin have in common are emitted. Those places lie within the longest
-    token's length, which bounds the lookahead and what a state holds.
+    whose last token may stand behind the encoding that ends where that token begins.
+
+    No further token begins before the end that a state stands for. Each byte gives the last token of the encoding that ends behind it; a register holds those
+    since the last one emitted. Tokens are emitted as soon as the encodings of all places at which a token may still begin agree on
+    them; those places lie within the longest token's length.
     """
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        lacking = [b for b in range(256) if bytes([b]) not in ranks]
-        if lacking:
-            raise ValueError(f"the vocabulary lacks {len(lacking)} of the 256 single bytes")
-        self.ranks, self.tokens = ranks, {rank: token for token, rank in ranks.items()}
-        self.follow: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
-        for token, rank in ranks.items():
-            node = 0
-            for b in token:
-                if b not in self.follow[node]:
-                    self.follow[node][b] = len(self.follow)
-                    self.follow.append({})
-                    self.token_at.append(-1)
-                node = self.follow[node][b]
-            self.token_at[node] = rank
-        self.edges: dict[int, tuple[list[bytes], list[bytes]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        # a token that merges never reach stands only for a piece that equals it; the trie must not offer it elsewhere
-        self.whole: dict[bytes, tuple[int, ...]] = {}
-        for token, rank in ranks.items():
-            if len(token) > 1 and self._merge(token)[0] != [token]:
-                self.whole[token] = (rank,)
-        for token in self.whole:
-            node = 0
-            for b in token:
-                node = self.follow[node][b]
-            self.token_at[node] = -1
+    def __init__(self, merges: Merges) -> None:
+        self.merges = merges
+        self.ranks = {token: rank for rank, token in merges.tokens.items()}
+        # from here on a token is its rank plus one; 0 is none
+        self.length = [0] * (max(merges.tokens) + 2)
+        self.trie: dict[int, int] = {}  # node * 256 + byte -> node
+        self.node: list[tuple[int, int]] = [(0, 0)]  # parent and byte
+        self.depth, self.token = [0], [0]
+        for token, rank in self.ranks.items():
+            self.length[rank + 1] = len(token)
+            # a token that merges never reach stands only for a piece that equals it: it is not offered
+            if token in merges.unreached:
+                continue
+            at = 0
+            for byte in token:
+                edge = at << 8 | byte
+                if edge not in self.trie:
+                    self.trie[edge] = len(self.node)
+                    self.node.append((at, byte))
+                    self.depth.append(self.depth[at] + 1)
+                    self.token.append(0)
+                at = self.trie[edge]
+            self.token[at] = rank + 1
+        self.window = 8 * max(self.length)
         self._forget()
 
     def _forget(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.pairs = {}
-        self.start = self._state(-1, ((0, ()),))
-
-    def _state(self, last: int, live: tuple[tuple[int, tuple[int, ...]], ...]) -> State:
-        key = (last, live)
-        if key not in self.states:
-            self.states[key] = State(last, live)
-        return self.states[key]
-
-    def _merge(self, data: bytes, cut: int = 0) -> tuple[list[bytes], list[bytes], list[bytes]]:
-        """The parts of ``data`` after all merges, and the first and last parts on the way. With ``cut``, merges stop at the first across it."""
-        parts, at = [data[i : i + 1] for i in range(len(data))], 0
-        first, last = [parts[0]], [parts[-1]]
-        ranks = self.ranks
-        while True:
-            best, where = -1, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1], -1)
-                if rank >= 0 and (best < 0 or rank < best):
-                    best, where = rank, i
-            if where < 0:
-                return parts, first, last
-            if cut:
-                at = sum(map(len, parts[: where + 1]))
-                if at == cut:
-                    return [], first, last
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
-            if where == 0:
-                first.append(parts[0])
-            if where == len(parts) - 1:
-                last.append(parts[-1])
-
-    def _edges(self, token: int) -> tuple[list[bytes], list[bytes]]:
-        if token not in self.edges:
-            self.edges[token] = self._merge(self.tokens[token])[1:]
-        return self.edges[token]
+        self.made: dict[int, State] = {}
+        self.taken = 0
+        self.start = self._state(0)
 
     def _neighbours(self, a: int, b: int) -> bool:
-        """Whether the encoding of both tokens' bytes is these two. No merge can cross them unless a part that ends the first one on its way
-        and one that begins the second make a token; only then the merges are run."""
-        if a < 0:
-            return True
-        known = self.pairs.get((a, b))
-        if known is None:
-            lasts, firsts, ranks = self._edges(a)[1], self._edges(b)[0], self.ranks
-            known = not any(x + y in ranks for x in lasts for y in firsts)
-            if not known:
-                x, y = self.tokens[a], self.tokens[b]
-                known = bool(self._merge(x + y, len(x))[0])
-            self.pairs[a, b] = known
-        return known
-
-    def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        live, ended = [], None
-        for node, tokens in state.live:
-            node = self.follow[node].get(byte, -1)
-            if node < 0:
-                continue
-            live.append((node, tokens))
-            token = self.token_at[node]
-            if ended is None and token >= 0 and self._neighbours(tokens[-1] if tokens else state.last, token):
-                ended = (*tokens, token)
-        live.append((0, ended))
-        common = 0
-        while all(len(t) > common and t[common] == ended[common] for _, t in live):
-            common += 1
-        emitted = ended[:common]
-        if len(self.states) >= MAX_STATES:
-            self._forget()
-        step = (self._state(emitted[-1] if common else state.last, tuple((n, t[common:]) for n, t in live)), emitted)
-        state.steps[byte] = step
-        return step
+        """Whether the encoding of both tokens' bytes is these two: no merge across them comes before the merges that make them.
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+        Taken back in time, merge by merge: parts x and y stand beside each other until the next of the two merges that take them up, at
+        rank ``until``. Of merges of one rank the leftmost is first: one across comes after that of the left token, before that of the right.
+        """
+        tokens, ranks, left, right = self.merges.tokens, self.ranks, self.merges.left, self.merges.right
+        x, y, until = a, b, len(self.length)
+        while True:
+            if ranks.get(tokens[x] + tokens[y], until) < until:
+                return False
+            # of both last merges the later one is taken back; single bytes have none
+            made_x, made_y = x if x in right else -1, y if y in left else -1
+            if made_x < 0 and made_y < 0:
+                return True
+            if made_x > made_y:
+                x, until = right[x], made_x
+            else:
+                y, until = left[y], made_y + 1
+
+    def _fits(self, last: int, token: int, known: dict[int, bool]) -> bool:
+        self.taken += 1
+        fits = known[last] = not last or self._neighbours(last - 1, token - 1)
+        return fits
+
+    def _state(self, node: int) -> State:
+        if node not in self.made:
+            state = self.made[node] = State(node)
+            if node:
+                parent, byte = self.node[node]
+                state.shorter = self._step(self._state(parent).shorter, byte) if parent else self.start
+                own = ((self.token[node], self.depth[node], {}),) if self.token[node] else ()
+                state.endings = own + state.shorter.endings
+        return self.made[node]
+
+    def _step(self, state: State, byte: int) -> State:
+        if byte not in state.steps:
+            down = self.trie.get(state.node << 8 | byte)
+            self.taken += 1
+            state.steps[byte] = self._state(down) if down is not None else self._step(state.shorter, byte) if state.node else state
+        return state.steps[byte]
+
+    def _back(self, register: list[int], at: int) -> list[int]:
+        """The places between the tokens of the encoding that ends ``at``, from there back to the register's begin."""
+        length, places = self.length, [at]
+        while at:
+            at -= length[register[at]]
+            places.append(at)
+        return places
+
+    def _agreed(self, register: list[int], state: State) -> int:
+        """The last place that the encodings of all places at which a token may still begin go through."""
+        here, common = len(register) - 1, None
+        while True:
+            places = set(self._back(register, here - self.depth[state.node]))
+            common = places if common is None else common & places
+            if not state.node:
+                return max(common)
+            state = state.shorter
+
+    def _read(self, state: State, piece: bytes, register: list[int]) -> State:
+        """Read bytes on from a state; the register gets the last token of the encoding that ends behind each."""
+        at = len(register)
+        for byte in piece:
+            state = state.steps.get(byte) or self._step(state, byte)
+            for token, size, known in state.endings:
+                last = register[at - size]
+                fits = known.get(last)
+                if self._fits(last, token, known) if fits is None else fits:
+                    register.append(token)
+                    at += 1
+                    break
+        return state
+
+    def encode(self, piece: bytes) -> list[int]:
         """The tokens of one piece of text."""
-        if piece in self.whole:
-            return self.whole[piece]
+        if piece in self.merges.unreached:
+            return [self.ranks[piece]]
+        if self.taken >= MAX_STEPS:
+            self._forget()
         out: list[int] = []
-        state = self.start
-        for byte in piece:
-            step = state.steps.get(byte) or self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        return (*out, *state.rest)
+        register = [0]
+        if len(piece) <= self.window:
+            self._read(self.start, piece, register)
+        else:
+            state = self.start
+            for at in range(0, len(piece), self.window):
+                state = self._read(state, piece[at : at + self.window], register)
+                cut = self._agreed(register, state)
+                out += [register[p] - 1 for p in reversed(self._back(register, cut)[:-1])]
+                del register[:cut]
+        rest, at, length = [], len(register) - 1, self.length
+        while at:
+            token = register[at]
+            rest.append(token - 1)
+            at -= length[token]
+        rest.reverse()
+        return out + rest if out else rest
+
+
+class Later(Exception):
+    """A piece holds characters that the plain pattern may have put into the wrong class."""
+
+
+class Pieces(dict):
+    """The ids of pieces, as int32 bytes; short pieces are remembered, up to a number."""
+
+    def __init__(self, transducer: Transducer, later) -> None:
+        super().__init__()
+        self.transducer, self.later = transducer, later
+
+    def encoded(self, piece: str) -> bytes:
+        return array("i", self.transducer.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.later.search(piece):
+            raise Later
+        ids = self.encoded(piece)
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """Texts to ids: pieces by a pattern, each through the transducer. Short pieces are remembered, up to a number."""
+    """Texts to ids: pieces by a pattern, each through the transducer."""
 
-    def __init__(self, vocabulary: bytes, pattern: str) -> None:
+    def __init__(self, merges: Merges, pattern: str) -> None:
         import regex
 
-        self.transducer = Transducer(read_ranks(vocabulary))
         self.pattern = regex.compile(pattern)
         self.later = regex.compile(f"[{LATER}]")
         classes = {r"[^\s\p{L}\p{N}]": rf"[[^\s\p{{L}}\p{{N}}]||[{LATER}]]", r"\p{L}": rf"[\p{{L}}--[{LATER}]]", r"\p{N}": rf"[\p{{N}}--[{LATER}]]"}
         self.exact = regex.compile(regex.sub("|".join(map(regex.escape, classes)), lambda m: classes[m[0]], pattern), regex.V1)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _piece(self, piece: str, checked: bool) -> tuple[int, ...] | None:
-        """The ids of a piece, or None if it holds characters that the plain pattern may have put into the wrong class."""
-        if not checked and self.later.search(piece):
-            return None
-        ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-        if len(piece) <= LONG_PIECE and not self.later.search(piece):
-            if len(self.known) >= MAX_PIECES:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+        self.pieces = Pieces(Transducer(merges), self.later)
 
-    def _pieces(self, text: str, pattern) -> Iterator[list[str]]:
+    @staticmethod
+    def _cut(text: str, pattern) -> Iterator[list[str]]:
         if len(text) <= TEXT_STEP:
             yield pattern.findall(text)
             return
@@ -210,89 +283,94 @@ class Encoder:
         while some := list(islice(found, TEXT_STEP // 8)):
             yield some
 
-    def _ids(self, text: str, pattern, checked: bool) -> np.ndarray | None:
-        done = []
-        for pieces in self._pieces(text, pattern):
-            known = self.known.get
-            ids = [known(p) for p in pieces]
-            for i, found in enumerate(ids):
-                if found is None:
-                    ids[i] = self._piece(pieces[i], checked)
-                    if ids[i] is None:
-                        return None
-            done.append(np.fromiter(chain.from_iterable(ids), dtype=np.int32))
-        return np.concatenate(done) if done else np.zeros(0, dtype=np.int32)
-
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
-        ids = self._ids(text, self.pattern, False)
-        return self._ids(text, self.exact, True) if ids is None else ids
+        try:
+            ids = b"".join([b"".join(map(self.pieces.__getitem__, some)) for some in self._cut(text, self.pattern)])
+        except Later:
+            ids = b"".join([b"".join(map(self.pieces.encoded, some)) for some in self._cut(text, self.exact)])
+        return np.frombuffer(ids, dtype=np.int32)
 
 
 class StreamDecoder:
     """Ids to text as they come: bytes go through an incremental UTF-8 state machine, which holds back a character's bytes until its last;
-    what is no UTF-8 becomes U+FFFD."""
+    what is no UTF-8 becomes U+FFFD. ``tokens`` has each token's bytes at its rank."""
 
-    def __init__(self, tokens: dict[int, bytes]) -> None:
+    def __init__(self, tokens: pa.LargeBinaryArray) -> None:
         self.tokens = tokens
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: Iterable[int], final: bool = False) -> str:
-        return self.machine.decode(b"".join([self.tokens[i] for i in ids]), final)
+    def feed(self, ids: pa.Array, final: bool = False) -> str:
+        found = self.tokens.take(ids)
+        if found.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[found.offset : found.offset + len(found) + 1]
+        data = found.buffers()[2]
+        return self.machine.decode(b"" if data is None else memoryview(data)[ends[0] : ends[-1]], final)
+
+
+def token_array(tokens: dict[int, bytes]) -> pa.LargeBinaryArray:
+    return pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.large_binary())
 
 
-_encoders: dict[tuple[bytes, str], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(vocabulary: bytes, pattern: str) -> Encoder:
-    """One a worker process and vocabulary: its states and pieces serve all of the worker's tasks."""
-    key = (vocabulary, pattern)
+def _encoder(sent: Broadcast, pattern: str) -> Encoder:
+    """One a worker process and vocabulary: its steps and pieces serve all of the worker's tasks."""
+    merges, name = sent.value
+    key = f"{name} {pattern}"
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(vocabulary, pattern)
+        _encoders[key] = Encoder(merges, pattern)
     return _encoders[key]
 
 
-def _sent(docs: DataFrame, vocabulary: str):
-    """The vocabulary file as a broadcast value, if its size allows."""
-    with open(vocabulary, "rb") as f:
+def read_vocabulary(path: str) -> dict[bytes, int]:
+    """The ranks of a file that the driver can read, if its size allows to send them to all tasks."""
+    with open(path, "rb") as f:
         data = f.read(MAX_VOCABULARY + 1)
     if len(data) > MAX_VOCABULARY:
-        raise ValueError(f"{vocabulary} has more than {MAX_VOCABULARY} bytes")
-    return docs.sparkSession.sparkContext.broadcast(data)
+        raise ValueError(f"{path} has more than {MAX_VOCABULARY} bytes")
+    return read_ranks(data)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids (array<int>) of every whole text: each match of ``pattern`` encoded by itself, without special tokens.
 
-    ``vocabulary`` is a rank file that the driver can read. Defined cases: null and empty texts have no ids (an empty array); rows are
-    encoded one by one, so repeated ones are alike and no rows give none; long texts are cut into pieces step by step and long pieces
-    take time in proportion to their length; a column called ``out`` is replaced.
+    ``vocabulary`` is a rank file; the driver compiles its merges once and sends them to the tasks. Defined cases: null and empty texts
+    have no ids (an empty array); rows are encoded one by one, so repeated ones are alike and no rows give none; long texts are cut
+    into pieces step by step and long pieces take time in proportion to their length; a column called ``out`` is replaced.
     """
-    sent = _sent(docs, vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast((compile_merges(read_vocabulary(vocabulary)), uuid.uuid4().hex))
 
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _encoder(sent.value, pattern)
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = _encoder(sent, pattern)
         for texts in batches:
-            yield pd.Series([own.encode(t) for t in texts], dtype=object)
+            rows = [own.encode(t.as_py()) for t in texts]
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
+            values = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
+            if ends[-1] >= 2**31:
+                raise ValueError("a batch of texts has over two billion ids: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
-    return docs.withColumn(out, F.pandas_udf(ids, "array<int>")(F.col(text)))
+    return docs.withColumn(out, F.arrow_udf(ids, "array<int>")(F.col(text)))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of every row's ids. Null is an empty text, an id that isn't in the vocabulary an error; bytes that are
     no UTF-8 become U+FFFD."""
-    sent = _sent(docs, vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast({rank: token for token, rank in read_vocabulary(vocabulary).items()})
 
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = {rank: token for token, rank in read_ranks(sent.value).items()}
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens = token_array(sent.value)
         for rows in batches:
             done = []
             for row in rows:
-                machine, row = StreamDecoder(tokens), [] if row is None else row
-                parts = [machine.feed(row[i : i + ID_STEP].tolist()) for i in range(0, len(row), ID_STEP)]
-                done.append("".join([*parts, machine.feed((), True)]))
-            yield pd.Series(done, dtype=object)
+                machine, row = StreamDecoder(tokens), row.values
+                n = 0 if row is None else len(row)
+                done.append("".join([machine.feed(row[i : i + ID_STEP], i + ID_STEP >= n) for i in range(0, n, ID_STEP)]))
+            yield pa.array(done, pa.string())
 
-    return docs.withColumn(out, F.pandas_udf(texts, "string")(F.col(ids)))
+    return docs.withColumn(out, F.arrow_udf(texts, "string")(F.col(ids)))
