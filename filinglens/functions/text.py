@@ -36,6 +36,22 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def run_starts(ordered: Column, same) -> Column:
+    """Where the runs of a sorted array begin; ``same(a, b)`` says whether two neighbours belong to one."""
+    at = F.transform(ordered, lambda x, i: F.when((i == 0) | ~same(F.get(ordered, i - 1), x), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
+def counted(ordered: Column) -> Column:
+    """array<struct<value, n>> of a sorted array: each different value once."""
+    def pairs(x: Column) -> Column:
+        return let(run_starts(x, lambda a, b: a == b), lambda at: F.transform(at, lambda i, j: F.struct(
+            F.get(x, i).alias("value"), (F.coalesce(F.get(at, j + 1), F.size(x)) - i).cast("long").alias("n")
+        )))
+
+    return let(ordered, pairs)
+
+
 def words(values: Words) -> Column:
     return values if isinstance(values, Column) else F.array(*[F.lit(v) for v in values]).cast("array<string>")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import exact_mean
+from ..functions.text import millionths, ratio_of_millionths
 
 CORPUS = "_corpus_all"
 RELIABLE = 4
@@ -41,23 +43,53 @@ def latest_per_ticker(df: DataFrame, ticker: str = "ticker", date: str = "filing
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def _spread(c: str) -> Column:
-    s = F.round(F.stddev_samp(c), 4)
-    return F.when(s.isNull() | (F.stddev_samp(c) <= FLAT), 1.0).otherwise(s)
+METRICS = ["growth", "risk"]
+
+
+def _summed(df: DataFrame, sums: list[Column], tickers: Column, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*sums, F.sort_array(F.array_distinct(F.flatten(tickers))).alias("tickers"))
+
+
+def baseline_state(df: DataFrame, engine: str = "v1", ticker: str = "ticker", sector: str = "sector") -> DataFrame:
+    """(engine_version, sector, n, sums and sums of squares of growth and risk in whole millionths, tickers): a row a sector.
+
+    All parts add up, so states of different reports merge (``merge_states``) into exactly the state of them all.
+    """
+    x = {m: F.coalesce(millionths(F.col(m)), F.lit(0)).cast("decimal(19,0)") for m in METRICS}
+    rows = df.select(F.lit(engine).alias("engine_version"), F.col(sector).alias("sector"), F.array(F.col(ticker)).alias("_t"), *[c.alias(f"_{m}") for m, c in x.items()])
+    sums = [F.count(F.lit(1)).alias("n")]
+    for m in METRICS:
+        sums += [F.sum(f"_{m}").cast("decimal(38,0)").alias(f"{m}_sum"), F.sum(F.col(f"_{m}") * F.col(f"_{m}")).cast("decimal(38,0)").alias(f"{m}_squares")]
+    return _summed(rows, sums, F.collect_set("_t"), ["engine_version", "sector"])
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of all reports out of those of disjoint parts of them."""
+    every = reduce(DataFrame.unionByName, states)
+    sums = [F.sum(c).cast(t).alias(c) for c, t in every.drop("tickers", "engine_version", "sector").dtypes]
+    return _summed(every, sums, F.collect_list("tickers"), ["engine_version", "sector"])
+
+
+def _spread(m: str) -> Column:
+    """The sample's standard deviation out of whole sums, to 4 digits; 1 for a single or flat one."""
+    n = F.col("n").cast("decimal(18,0)")
+    over = (n * F.col(f"{m}_squares") - F.col(f"{m}_sum") * F.col(f"{m}_sum")).cast("double")
+    s = F.sqrt(F.greatest(over, F.lit(0.0)) / (F.col("n") * F.greatest(F.col("n") - 1, F.lit(1)))) / 1_000_000
+    return F.when((F.col("n") <= 1) | (s <= FLAT), 1.0).otherwise(F.round(s, 4))
+
+
+def stats_of(state: DataFrame) -> DataFrame:
+    """A baseline row a sector and one an engine for all (``_corpus_all``) out of a state."""
+    corpus = merge_states(state.withColumn("sector", F.lit(CORPUS)))
+    out = state.unionByName(corpus)
+    mean = lambda m: ratio_of_millionths(F.col(f"{m}_sum").cast("long"), F.col("n"), 4).alias(f"{m}_mean")
+    stats = [c for m in METRICS for c in (mean(m), _spread(m).alias(f"{m}_stdev"))]
+    return out.select("engine_version", F.col("sector").alias("reference"), "n", "tickers", (F.col("n") >= RELIABLE).alias("reliable"), *stats)
 
 
 def baseline_stats(df: DataFrame, engine: str = "v1", ticker: str = "ticker", sector: str = "sector") -> DataFrame:
-    """One row a sector and one for all (``_corpus_all``), by grouping sets in one shuffle."""
-    g = df.select(F.col(sector).alias("s"), F.col(ticker).alias("ticker"), "growth", "risk").groupingSets([["s"], []], "s")
-    out = g.agg(
-        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("ticker")).alias("tickers"),
-        F.coalesce(exact_mean("growth"), F.lit(0.0)).alias("growth_mean"), _spread("growth").alias("growth_stdev"),
-        F.coalesce(exact_mean("risk"), F.lit(0.0)).alias("risk_mean"), _spread("risk").alias("risk_stdev"),
-    )
-    return out.select(
-        F.lit(engine).alias("engine_version"), F.when(F.col("gid") == 1, F.lit(CORPUS)).otherwise(F.col("s")).alias("reference"), "n", "tickers",
-        (F.col("n") >= RELIABLE).alias("reliable"), "growth_mean", "growth_stdev", "risk_mean", "risk_stdev",
-    )
+    """One row a sector and one for all (``_corpus_all``); reports are read and shuffled once, as partial sums a sector."""
+    return stats_of(baseline_state(df, engine, ticker, sector))
 
 
 def reference_label(reference: Column, n: Column) -> Column:

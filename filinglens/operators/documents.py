@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import exact_mean, let, millionths, ratio_of_millionths
+from ..functions.text import exact_mean, let, millionths, ratio_of_millionths, run_starts
 from .scoring import HIT_LISTS, SCORES, has_hit
 
 #: Where a tallied term comes from: dimension, source, hit list.
@@ -93,9 +93,7 @@ def tally_of(scored: Column, n: int = 25) -> Column:
 
     def counted(h: Column) -> Column:
         before = lambda i: F.get(h, i - 1)
-        starts = F.filter(F.transform(h, lambda x, i: F.when(
-            (i == 0) | (before(i)["dimension"] != x["dimension"]) | (before(i)["term"] != x["term"]), i
-        )), lambda i: i.isNotNull())
+        starts = run_starts(h, lambda a, x: (a["dimension"] == x["dimension"]) & (a["term"] == x["term"]))
         return let(starts, lambda at: F.transform(at, lambda i, j: let(F.coalesce(F.get(at, j + 1), F.size(h)), lambda end: F.struct(
             F.get(h, i)["dimension"].alias("dimension"), (i - end).cast("long").alias("minus"), F.get(h, i)["term"].alias("term"), before(end)["source"].alias("source"),
         ))))

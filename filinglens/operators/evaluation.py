@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dictionaries as d
 from ..functions import text as t
 from . import tiers
+from .ranks import buckets_for, free_name, ranked, unit_hash
 
 
 def predict_items(items: DataFrame, scored: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -85,13 +85,16 @@ def error_sample(pred: DataFrame, n: int = 30, order: str = "id") -> DataFrame:
 
 
 def stratified_split(items: DataFrame, shares: tuple[float, float, float] = (0.70, 0.15, 0.15), seed: str = "42", label: str = "true_label", key: str = "id") -> DataFrame:
-    """``split`` train, val or test with the same proportions in every label: rows of a label in the order of a seeded hash, cut by rank."""
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(h, key))
-    n = F.count(F.lit(1)).over(W.partitionBy(label))
-    df = items.withColumn("_rank", rank).withColumn("_n", n)
-    a, b = F.floor(F.col("_n") * shares[0] + 0.5), F.floor(F.col("_n") * (shares[0] + shares[1]) + 0.5)
-    return df.withColumn("split", F.when(F.col("_rank") <= a, "train").when(F.col("_rank") <= b, "val").otherwise("test")).drop("_rank", "_n")
+    """``split`` train, val or test with the same proportions in every label: rows of a label in the order of a seeded hash, cut by rank.
+    Ranks are exact over ranges of the hash, so no task holds a whole label."""
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    h = F.md5(F.concat(text, F.lit(f"|{seed}")))
+    ahead = unit_hash(text, F.lit(seed))  # the same digest's first digits
+    rank, rows = free_name(items, "_rank"), free_name(items, "_rows")
+    df = ranked(items, [F.col(label)], ahead, [h, F.col(key)], rank, rows=rows, buckets=buckets_for(items))
+    n, place = F.col(rows), F.col(rank) + 1
+    a, b = F.floor(n * shares[0] + 0.5), F.floor(n * (shares[0] + shares[1]) + 0.5)
+    return df.select(*items.columns, F.when(place <= a, "train").when(place <= b, "val").otherwise("test").alias("split"))
 
 
 def class_distribution(items: DataFrame, by: str = "split", label: str = "true_label", labels: list[str] = d.LABELS) -> DataFrame:

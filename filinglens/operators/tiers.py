@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,24 +31,23 @@ def split_tiers(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fit_idf(texts: DataFrame, text: str = "text", max_features: int = 10_000, word: str = WORD) -> DataFrame:
-    """(word, df, tf, idf): smooth idf ln((1 + n) / (1 + df)) + 1 of the most frequent words of two characters or more."""
-    rows = texts.select(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)).alias("ws"))
-    n = rows.agg(F.count(F.lit(1)).alias("n_docs"))
-    per = rows.select(F.array_distinct("ws").alias("u"), "ws")
-    tf = per.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("tf"))
-    df = per.select(F.explode("u").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    top = tf.join(df, "word").orderBy(F.desc("tf"), "word").limit(max_features)
+    """(word, df, tf, idf): smooth idf ln((1 + n) / (1 + df)) + 1 of the most frequent words of two characters or more. A text is cut once and
+    its words counted inside the row; what is shuffled are partial sums a word."""
+    found = t.counted(F.sort_array(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))))
+    n = texts.agg(F.count(F.lit(1)).alias("n_docs"))
+    words = texts.select(F.inline(found)).groupBy(F.col("value").alias("word")).agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    top = words.orderBy(F.desc("tf"), "word").limit(max_features)
     return top.crossJoin(F.broadcast(n)).select("word", "df", "tf", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n is one row
 
 
 def idf_weighted_pool(token_vectors: DataFrame, idf: DataFrame | None, key: str = "id") -> DataFrame:
-    """(key, vector): sum(w v) / sum(w) over the tokens (key, word, vector) of a sentence; w is the word's idf, else 1."""
-    tv = token_vectors.withColumn("w", F.lit(1.0))
+    """(key, vector): sum(w v) / sum(w) over the tokens (key, word, vector) of a sentence; w is the word's idf, else 1. One vector aggregate:
+    a task hands on one vector a group."""
+    tv = token_vectors.where(F.col("vector").isNotNull()).withColumn("w", F.lit(1.0))
     if idf is not None:
         tv = tv.drop("w").join(idf.select("word", F.col("idf").alias("w")), "word", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
-    dims = tv.select(key, "w", F.posexplode("vector").alias("dim", "x"))
-    pooled = dims.groupBy(key, "dim").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    return pooled.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vector"))
+    vector = array_to_vector(F.col("vector").cast("array<double>"))
+    return tv.groupBy(key).agg(vector_to_array(Summarizer.mean(vector, F.col("w"))).alias("vector"))
 
 
 def train_classifier(data: DataFrame, C: float = 1.0, features: str = "vector", label: str = "label_id", max_iter: int = 100) -> LogisticRegressionModel:

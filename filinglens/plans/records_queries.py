@@ -352,3 +352,17 @@ def j1_stream(spark: SparkSession, sf: str) -> DataFrame:
         incremental.process_new_files(spark, source, d.schema, process, sink, checkpoint)
     return spark.read.parquet(sink)
 
+
+@query(f"WITH {RECORDS} SELECT ticker, form_type, filing_date, CAST(max(length(raw_text)) AS BIGINT) AS n_chars FROM records GROUP BY ALL")
+def j1_stream_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports that are delivered again, in a later file: each key is processed once."""
+    source, sink, checkpoint = (c.scratch(spark) for _ in range(3))
+    r = records(spark, sf).groupBy("ticker", "form_type", "filing_date").agg(F.max(F.length("raw_text")).cast("long").alias("n"))
+    r = c.once(r)
+    process = lambda df: df.select("ticker", "form_type", "filing_date", F.col("n").alias("n_chars"))
+    for k in range(3):  # the second delivery holds the first's rows again, the third some of both
+        r.where(F.length("filing_date") + F.length("ticker") <= 10 + k).write.mode("append").parquet(source)
+        incremental.process_new_records(spark, source, r.schema, process, sink, checkpoint)
+    r.write.mode("append").parquet(source)
+    incremental.process_new_records(spark, source, r.schema, process, sink, checkpoint)
+    return spark.read.parquet(sink).drop("batch")

@@ -408,6 +408,15 @@ def g5_sector_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(latest_baseline(spark, sf)).where("reference <> '_corpus_all'")
 
 
+@query(f"WITH {WHOLE} SELECT {BL} FROM bl")
+def g5_merged_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored state of some reports and that of those that came later, merged."""
+    rows, path = c.once(sectored(spark, sf)), c.scratch(spark)
+    baseline.baseline_state(rows.where("doc_id % 3 <> 0"), ticker="source").write.parquet(path)
+    later = baseline.baseline_state(rows.where("doc_id % 3 = 0"), ticker="source")
+    return _flat(baseline.stats_of(baseline.merge_states(spark.read.parquet(path), later)))
+
+
 @query(f"WITH {WHOLE} SELECT {BL} FROM bl WHERE reference = '_corpus_all'")
 def g6_corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(baseline.baseline_stats(sectored(spark, sf), ticker="source")).where("reference = '_corpus_all'")

@@ -376,6 +376,73 @@ def test_stream_is_incremental(spark, tmp_path):
     assert sorted(r.twice for r in spark.read.parquet(sink).collect()) == [0, 2, 4, 6, 8]
 
 
+def test_stream_by_key(spark, tmp_path):
+    """Records delivered again are dropped; a batch whose commit was lost runs again and leaves no row twice."""
+    source, sink, mark = (str(tmp_path / x) for x in ("source", "sink", "mark"))
+    schema = "ticker string, form_type string, filing_date string, v int"
+    row = lambda k, v: (f"T{k}", "10-K", "2024-01-01", v)
+    def deliver(*rows):
+        spark.createDataFrame(list(rows), schema).write.mode("append").parquet(source)
+        incremental.process_new_records(spark, source, schema, lambda df: df.withColumn("twice", F.col("v") * 2), sink, mark)
+
+    seen = lambda: sorted((r.ticker, r.twice) for r in spark.read.parquet(sink).collect())
+    deliver(row(1, 1), row(2, 2), row(2, 2))
+    deliver(row(2, 2), row(3, 3))
+    deliver(row(1, 1))
+    assert seen() == [("T1", 2), ("T2", 4), ("T3", 6)]
+    deliver(row(4, 4), row(5, 5))
+    last = max((tmp_path / "mark" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (last, last.with_name(f".{last.name}.crc")):
+        p.unlink(missing_ok=True)
+    incremental.process_new_records(spark, source, schema, lambda df: df.withColumn("twice", F.col("v") * 2), sink, mark)
+    deliver(row(5, 5), row(6, 6))
+    assert seen() == [("T1", 2), ("T2", 4), ("T3", 6), ("T4", 8), ("T5", 10), ("T6", 12)]
+
+
+def test_baseline_states_merge(spark):
+    """States of parts merge into exactly the state of all, in any order."""
+    rng = random.Random(12)
+    rows = [(f"T{rng.randint(0, 30)}", rng.choice(["A", "B", "C"]), round(rng.gauss(0, 3), 3), round(rng.gauss(1, 2), 3)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "ticker string, sector string, growth double, risk double").withColumn("k", F.monotonically_increasing_id() % 3).cache()
+    whole = sorted(map(tuple, baseline.stats_of(baseline.baseline_state(df)).collect()), key=repr)
+    parts = [baseline.baseline_state(df.where(f"k = {k}")) for k in (2, 0, 1)]
+    assert sorted(map(tuple, baseline.stats_of(baseline.merge_states(parts[0], baseline.merge_states(*parts[1:]))).collect()), key=repr) == whole
+    import statistics
+
+    for r in (x for x in whole if x[1] != "_corpus_all"):
+        mine = [g for _, s, g, _ in rows if s == r[1]]
+        assert r[2] == len(mine) and r[5] == pytest.approx(statistics.mean(mine), abs=6e-5) and r[6] == pytest.approx(statistics.stdev(mine), abs=6e-5)
+
+
+def test_pooling(spark):
+    rows = [(1, "a", [1.0, 2.0]), (1, "b", [3.0, 4.0]), (2, "c", [5.0, 6.0]), (2, "c", None)]
+    tv = spark.createDataFrame(rows, "id int, word string, vector array<double>")
+    idf = spark.createDataFrame([("a", 3.0)], "word string, idf double")
+    got = {r.id: r.vector for r in tiers.idf_weighted_pool(tv, idf).collect()}
+    assert got[1] == pytest.approx([1.5, 2.5]) and got[2] == pytest.approx([5.0, 6.0])
+    assert {r.id: r.vector for r in tiers.idf_weighted_pool(tv, None).collect()}[1] == pytest.approx([2.0, 3.0])
+
+
+def test_idf(spark):
+    texts = ["up up Down", "down été", "", None, "up"]
+    got = {r.word: (r.tf, r.df) for r in tiers.fit_idf(spark.createDataFrame([(x,) for x in texts], "text string")).collect()}
+    assert got == {"up": (3, 2), "down": (2, 2), "été": (1, 1)}
+
+
+def test_split_by_ranges(spark):
+    """The same rows as by a sort of each whole label."""
+    import hashlib
+
+    rows = [(i, d.LABELS[min(i % 7, 2)]) for i in range(900)] + [(None, "neutral")]
+    df = spark.createDataFrame(rows, "id long, true_label string")
+    got = {r.id: r.split for r in evaluation.stratified_split(df).collect()}
+    for label in d.LABELS:
+        mine = sorted((i for i, x in rows if x == label), key=lambda i: hashlib.md5(f"{'' if i is None else i}|42".encode()).hexdigest())
+        n = len(mine)
+        for k, i in enumerate(mine, 1):
+            assert got[i] == ("train" if k <= int(n * 0.7 + 0.5) else "val" if k <= int(n * (0.7 + 0.15) + 0.5) else "test")
+
+
 def test_version_fallback(spark):
     """Version 3 without scope words is version 2, once."""
     df = feats(spark, [("mdna", "we are not seeing any strong demand at all today")])
