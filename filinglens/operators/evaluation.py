@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dictionaries as d
 from ..functions import text as t
-from . import tiers
+from . import logistic
 from .ranks import buckets_for, free_name, ranked, unit_hash
 
 
@@ -101,21 +101,21 @@ def class_distribution(items: DataFrame, by: str = "split", label: str = "true_l
     return items.groupBy(by).agg(*[F.count_if(F.col(label) == x).alias(x) for x in labels])
 
 
-def tune_c(train: DataFrame, val: DataFrame, grid: list[float] = d.C_GRID, label: str = "true_label") -> tuple[float, DataFrame]:
-    """(best C, (C, macro_f1) of each): the first best by macro F1 on ``val``. Rows are (vector, label_id, label)."""
-    train, val = train.persist(), val.persist()
+def tune_c(train: DataFrame, val: DataFrame, grid: list[float] = d.C_GRID, label: str = "true_label", names: list[str] = d.LABELS) -> tuple[float, DataFrame]:
+    """(best C, (C, macro_f1) of each): the first best by macro F1 on ``val``. Rows are (vector, label_id, label). All penalties are fitted in the
+    same passes over ``train`` and judged in one over ``val``."""
+    train = train.persist()
     try:
-        results = []
-        for c in grid:
-            model = tiers.train_classifier(train, c)
-            pred = tiers.classify(val, model).withColumnRenamed("label", "pred_label").withColumn("true_label", F.col(label))
-            f1 = classification_report(pred).where("label = 'macro'").first().f1
-            results.append((float(c), float(f1)))
-        best = max(results, key=lambda r: r[1])[0]
-        return best, train.sparkSession.createDataFrame(results, "c double, macro_f1 double")
+        weights = logistic.fit_penalties(train, grid, len(names))
     finally:
         train.unpersist()
-        val.unpersist()
+    said = logistic.predictions(weights)(F.col("vector").cast("array<double>"))
+    each = val.where("vector IS NOT NULL").select(F.col(label).alias("true_label"), F.posexplode(said).alias("k", "y"))
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i + 1)
+    judged = each.select("true_label", pick([float(c) for c in grid], F.col("k")).alias("penalty"), pick(names, F.col("y")).alias("pred_label"))
+    found = {r.penalty: r.f1 for r in classification_report(judged, ["penalty"], names).where("label = 'macro'").collect()}
+    results = [(float(c), float(found.get(float(c), 0.0))) for c in grid]
+    return max(results, key=lambda r: r[1])[0], train.sparkSession.createDataFrame(results, "c double, macro_f1 double")
 
 
 def tune_threshold(pred: DataFrame, grid: list[float] = d.CONFIDENCE_GRID, last_tier: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from .. import dictionaries as d
 from ..functions import text as t
 from .scoring import has_hit
 
+#: How a label may have come about.
+METHODS = ["lexicon", "embedding", "llm", "llm_pending", "pending"]
 WORD = r"(?U)\b\w\w+\b"
 
 
@@ -144,10 +146,29 @@ def merge_tiers(decided: DataFrame, answered: DataFrame, keys: list[str], split_
 def tier_stats(rows: DataFrame) -> DataFrame:
     """(method, n, negative, neutral, positive, pct)."""
     counts = [F.count_if(F.col("label") == x).alias(x) for x in d.LABELS]
-    per = rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), *counts)
+    return _with_shares(rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), *counts))
+
+
+def _with_shares(per: DataFrame) -> DataFrame:
     return per.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()), 1))  # a window over one row a method
 
 
+def observe_tiers(rows: DataFrame, methods: list[str] = METHODS) -> tuple[DataFrame, Observation]:
+    """``rows`` that count themselves by method and label in whatever pass writes them; ``observed_stats`` reads the counts then."""
+    seen = Observation("tiers")
+    counts = [F.count_if((F.col("method") == m) & (F.col("label") == x)).alias(f"{m} {x}") for m in methods for x in d.LABELS]
+    return rows.observe(seen, *counts), seen
+
+
+def observed_stats(spark: SparkSession, seen: Observation, methods: list[str] = METHODS) -> DataFrame:
+    """The rows of ``tier_stats`` for rows that have been written, without another scan."""
+    found = seen.get
+    rows = [(m, *[found[f"{m} {x}"] for x in d.LABELS]) for m in methods]
+    schema = ", ".join(["method string", *[f"{x} long" for x in d.LABELS]])
+    per = spark.createDataFrame([r for r in rows if any(r[1:])], schema).withColumn("n", sum((F.col(x) for x in d.LABELS[1:]), F.col(d.LABELS[0])))
+    return _with_shares(per.select("method", "n", *d.LABELS))
+
+
 def normalize_row(rows: DataFrame) -> DataFrame:
     """Rows that a lexicon didn't score get growth and risk from the sides of their net score."""
     other = ~F.col("method").isin("lexicon")
@@ -183,12 +204,11 @@ def rescore_view(rows: DataFrame, rescored: DataFrame, key: str = "doc_id") -> D
     return rescored.join(n, key, "left").select(key, F.coalesce("n_answered", F.lit(0)).alias("n_answered"), F.round(boost, 4).alias("coverage_boost"))
 
 
-def tiered(scored: DataFrame, *tiers: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Each tier takes the rows that are still pending; what it leaves pending goes to the next."""
-    done, open_ = split_tiers(route_tiers(scored))
+def tiered(scored: DataFrame, *tiers: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Each tier takes the rows that are still pending; what it leaves pending goes to the next. ``cut`` is put on the routed rows and on each
+    tier's answers: one that writes them keeps a tier from running again for each of the two ways that its rows go."""
+    done, open_ = split_tiers(cut(route_tiers(scored)))
     for tier in tiers:
-        answered = tier(open_)
-        done = done.unionByName(answered.where("method <> 'pending'"), allowMissingColumns=True)
-        open_ = answered.where("method = 'pending'")
+        answered, left = split_tiers(cut(tier(open_)))
+        done, open_ = done.unionByName(answered, allowMissingColumns=True), left
     return done.unionByName(open_, allowMissingColumns=True)
-

@@ -35,12 +35,13 @@ rt AS (SELECT doc_id, sent_id, text, CASE WHEN {ANY_HIT} THEN 'lexicon' ELSE 'pe
 def routed(spark: SparkSession, sf: str) -> DataFrame:
     """Scored and routed sentences, computed once for all the steps that follow."""
     cols = ["doc_id", "sent_id", "text", "method", "label", "growth", "risk", "cost_pressure", "net_score"]
-    return once(tiers.route_tiers(scored(spark, sf)).select(cols))
+    rows = tiers.route_tiers(scored(spark, sf)).select(cols)
+    return once(rows.withColumn("text", F.when(F.col("method") == "pending", F.col("text"))))  # only prompts need it
 
 
 @query(f"WITH {ROUTED} SELECT doc_id, sent_id, method, label, {r4s('net_score')} FROM rt")
 def h1_route_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    return routed(spark, sf).select("doc_id", "sent_id", "method", "label", r4("net_score"))
+    return tiers.route_tiers(scored(spark, sf)).select("doc_id", "sent_id", "method", "label", r4("net_score"))
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}') AS ws FROM documents), tf AS (SELECT word, count(*) AS tf FROM (SELECT unnest(ws) AS word FROM w) GROUP BY word),
@@ -84,6 +85,20 @@ def h6_escalate(spark: SparkSession, sf: str) -> DataFrame:
     return tiers.escalate(v, 0.6, True).select("vec_id", "method")
 
 
+def classified(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors by a model of three quarters of them, each row with its true label."""
+    data = class_vectors(spark, sf)
+    names = F.array(*[F.lit(x) for x in ("negative", "neutral", "positive")])
+    data = data.withColumn("true_label", F.element_at(names, F.col("label_id").cast("int") + 1))
+    return tiers.classify(data, tiers.train_classifier(data.where("vec_id % 4 <> 0"), 0.1, max_iter=50))
+
+
+@query()
+def h6_escalate_classified(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of which the classifier itself isn't sure go to the last tier."""
+    return tiers.escalate(classified(spark, sf), 0.6, True).select("vec_id", "label", "confidence", "method")
+
+
 BATCHED = ROUTED + """,
 mem AS (SELECT doc_id, sent_id, text, CAST((rn - 1) // 10 AS INTEGER) AS batch, CAST((rn - 1) % 10 + 1 AS INTEGER) AS n FROM
  (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS rn FROM rt WHERE method = 'pending'))"""
@@ -163,6 +178,34 @@ def h12_tier_stats(spark: SparkSession, sf: str) -> DataFrame:
     return tiers.tier_stats(merged(spark, sf))
 
 
+FLOW = scores_sql() + f""",
+f1 AS (SELECT doc_id, sent_id, len(tk) AS n_tokens, CASE WHEN {ANY_HIT} THEN 'lexicon' WHEN len(tk) % 10 >= 6 THEN 'embedding' ELSE 'pending' END AS method,
+ CASE WHEN {ANY_HIT} THEN CASE WHEN net_score > 0.1 THEN 'positive' WHEN net_score < -0.1 THEN 'negative' ELSE 'neutral' END
+ ELSE CASE len(tk) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END END AS label FROM sc),
+f2 AS (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1) % 10 + 1 AS INTEGER) AS n FROM f1 WHERE method = 'pending'),
+fl AS (SELECT method, label FROM f1 WHERE method <> 'pending' UNION ALL SELECT 'llm', CASE WHEN (doc_id + sent_id) % 7 = 0 OR {ANSWER} = 'unsure' THEN 'neutral' ELSE lower({ANSWER}) END FROM f2)"""
+
+
+@query(f"WITH {FLOW} SELECT method, count(*) AS n, count(*) FILTER (label = 'negative') AS negative, count(*) FILTER (label = 'neutral') AS neutral, count(*) FILTER (label = 'positive') AS positive, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM fl GROUP BY method")
+def h12_tiered_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexicon, a classifier and answers as one flow: each tier sees what the one before left, and the pass that writes the result counts it."""
+    def classifier(rows: DataFrame) -> DataFrame:
+        n = F.col("n_tokens") % 3
+        out = tiers.escalate(rows.withColumn("confidence", (F.col("n_tokens") % 10) / 10.0), 0.6, True)
+        label = F.when(n == 0, "negative").when(n == 1, "neutral").otherwise("positive")
+        return out.withColumns({"label": label, "method": F.when(F.col("method") == "embedding", "embedding").otherwise("pending")})
+
+    def answered(rows: DataFrame) -> DataFrame:
+        m, r = answers(rows)
+        return tiers.merge_tiers(rows, tiers.parse_responses(m, r, KEYS), ["doc_id", "sent_id"])
+
+    narrow = ["doc_id", "sent_id", "text", "n_tokens", *scoring.HIT_LISTS, *scoring.SCORES, "net_score"]
+    keep = lambda df: once(df.drop(*scoring.HIT_LISTS))
+    rows, seen = tiers.observe_tiers(tiers.tiered(scored(spark, sf).select(narrow), classifier, answered, cut=keep))
+    once(rows.select("doc_id", "sent_id", "method", "label", "net_score"))
+    return tiers.observed_stats(spark, seen)
+
+
 @query(f"WITH {MERGED} SELECT doc_id, sent_id, method, {r4s("CASE WHEN method = 'lexicon' THEN growth ELSE greatest(net_score, 0) END", 'growth')}, {r4s("CASE WHEN method = 'lexicon' THEN risk ELSE greatest(-net_score, 0) END", 'risk')} FROM mg")
 def h13_normalize_row(spark: SparkSession, sf: str) -> DataFrame:
     return tiers.normalize_row(merged(spark, sf)).select("doc_id", "sent_id", "method", r4("growth"), r4("risk"))
@@ -320,6 +363,13 @@ def i11_tune_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return ev.tune_threshold(predicted(spark, sf).withColumn("confidence", (F.col("id") % 100) / 100.0), last_tier=True)
 
 
+@query()
+def i11_tune_classified(spark: SparkSession, sf: str) -> DataFrame:
+    """The report at each confidence of the classifier, on the vectors that it hasn't seen."""
+    held = classified(spark, sf).where("vec_id % 4 = 0").select("true_label", F.col("label").alias("pred_label"), "confidence")
+    return ev.tune_threshold(held, last_tier=True)
+
+
 @query(f"WITH {ENGINES}, {GRID}{_report_sql('en', 'engine').rsplit('SELECT engine, label, round', 1)[0]}, cv AS (SELECT engine, round(count(*) FILTER (method = 'lexicon') / count(*)::DOUBLE, 4) AS coverage FROM en GROUP BY engine) SELECT engine, round(max(f) FILTER (label = 'accuracy'), 4) AS accuracy, round(max(f) FILTER (label = 'macro'), 4) AS macro_f1, round(max(f) FILTER (label = 'weighted'), 4) AS weighted_f1, any_value(coverage) AS coverage FROM rep JOIN cv USING (engine) GROUP BY engine")
 def i12_engine_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return ev.engine_comparison(engines(spark, sf))

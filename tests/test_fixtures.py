@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from filinglens import dictionaries as d
 from filinglens.functions import models
 from filinglens.functions import text as t
-from filinglens.operators import baseline, cleaning, documents, evaluation, preparation, scoring, sentences, tiers
+from filinglens.operators import baseline, cleaning, documents, evaluation, logistic, preparation, scoring, sentences, tiers
 from filinglens.sources import records
 from filinglens.streaming import incremental
 
@@ -340,15 +340,106 @@ def test_histogram(spark):
     assert got == {"<= -4": 1, "-4 to -2": 1, "-2 to 0": 1, "0 to 2": 0, "2 to 4": 0, ">= 4": 1}
 
 
-def test_classifier_and_tuning(spark):
-    rng = random.Random(1)
-    rows = [(i, [rng.gauss(3.0 * (i % 3 == k), 1.0) for k in range(3)], i % 3, d.LABELS[i % 3]) for i in range(240)]
-    df = spark.createDataFrame(rows, "id long, vector array<double>, label_id int, true_label string")
+def fit_alone(x, y, c, classes=3):
+    """The same objective by plain gradient steps, in numpy."""
+    import numpy as np
+
+    n, k = len(x), classes
+    one = np.hstack([x, np.ones((n, 1))])
+    w, free = np.zeros((k, one.shape[1])), np.ones(one.shape[1])
+    free[-1] = 0.0
+    speed = 1.0 / (0.5 * np.linalg.eigvalsh(one.T @ one / n)[-1] + 1 / (c * n))
+    ahead, momentum = w, 1.0
+    for _ in range(6000):
+        z = one @ ahead.T
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(n), y] -= 1
+        new = ahead - speed * (p.T @ one / n + ahead * free / (c * n))
+        following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        ahead, w, momentum = new + (momentum - 1) / following * (new - w), new, following
+    return w
+
+
+def centred(w):
+    """Weights up to what the same shift of all classes' intercepts changes."""
+    w = w.copy()
+    w[:, -1] -= w[:, -1].mean()
+    return w
+
+
+def class_rows(rng, n):
+    rows = [(i, [rng.gauss(1.2 * (i % 3 == k), 1.0) for k in range(4)], i % 3, d.LABELS[i % 3]) for i in range(n)]
+    return rows, "id long, vector array<double>, label_id int, true_label string"
+
+
+def test_penalties_in_one_pass(spark):
+    """Every model equals an independent fit, and Spark's own, to 1e-3; the best C is the brute-force one."""
+    import numpy as np
+
+    rows, schema = class_rows(random.Random(1), 300)
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    got = logistic.fit_penalties(df, d.C_GRID)
+    for c, w in zip(d.C_GRID, got, strict=True):
+        assert np.abs(centred(w) - centred(fit_alone(x, y, c))).max() < 1e-3
+        model = tiers.train_classifier(df, c)
+        assert np.abs(centred(np.hstack([model.coefficientMatrix.toArray(), model.interceptVector.toArray()[:, None]])) - centred(w)).max() < 2e-3
     split = evaluation.stratified_split(df)
-    best, table = evaluation.tune_c(split.where("split = 'train'"), split.where("split = 'val'"), [0.1, 1.0])
-    assert best in (0.1, 1.0) and table.count() == 2
-    out = tiers.classify(split.where("split = 'test'"), tiers.train_classifier(split.where("split = 'train'"), best))
-    assert out.where("label = true_label").count() / out.count() > 0.8
+    train, val = (split.where(f"split = '{s}'").orderBy("id").collect() for s in ("train", "val"))
+    best, table = evaluation.tune_c(split.where("split = 'train'"), split.where("split = 'val'"))
+    want = []
+    for c in d.C_GRID:
+        w = fit_alone(np.array([r.vector for r in train]), np.array([r.label_id for r in train]), c)
+        said = (np.hstack([np.array([r.vector for r in val]), np.ones((len(val), 1))]) @ w.T).argmax(axis=1)
+        f1 = []
+        for k in range(3):
+            hit = sum(1 for r, s in zip(val, said) if r.label_id == k == s)
+            f1.append(2 * hit / max(1, sum(r.label_id == k for r in val) + sum(s == k for s in said)))
+        want.append((c, round(sum(f1) / 3, 4)))
+    assert [tuple(r) for r in table.orderBy("c").collect()] == want and best == max(want, key=lambda r: r[1])[0]
+
+
+def test_classifier(spark):
+    """Labels, confidences and nets are those of the fitted probabilities."""
+    import numpy as np
+
+    rows, schema = class_rows(random.Random(2), 240)
+    df = spark.createDataFrame(rows, schema)
+    w = fit_alone(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), 1.0)
+    z = np.hstack([np.array([r[1] for r in rows]), np.ones((240, 1))]) @ w.T
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    out = tiers.escalate(tiers.classify(df, tiers.train_classifier(df, 1.0)), 0.6, True).orderBy("id").collect()
+    for r, q in zip(out, p, strict=True):
+        assert r.confidence == pytest.approx(q.max(), abs=1e-3) and r.net_score == pytest.approx(q[2] - q[0], abs=1e-3)
+        assert r.label == d.LABELS[int(q.argmax())] or np.sort(q)[-1] - np.sort(q)[-2] < 1e-3
+        assert r.method == ("llm_pending" if r.confidence < 0.6 else "embedding")
+
+
+def test_tiers_as_one_flow(spark, tmp_path):
+    """Each tier sees only what was left; the counts come from the pass that writes."""
+    rows = [(i, [["x"]] * (i % 2), 0.5) for i in range(40)]
+    df = spark.createDataFrame([(i, "a" if h else None, n) for i, h, n in rows], "id int, hit string, net_score double")
+    lists = {c: F.when(F.col("hit").isNotNull(), F.array("hit")).otherwise(F.array().cast("array<string>")) if c == "growth_lm" else F.array().cast("array<string>") for c in scoring.HIT_LISTS}
+    df = df.withColumns({**lists, **{c: F.lit(0.0) for c in scoring.SCORES}})
+    sizes, n = [], [0]
+
+    def cut(x):
+        n[0] += 1
+        x.write.parquet(str(tmp_path / str(n[0])))
+        return spark.read.parquet(str(tmp_path / str(n[0])))
+
+    def tier(method, test):
+        def run(x):
+            sizes.append(x.count())
+            return x.withColumns({"method": F.when(F.expr(test), method).otherwise("pending"), "label": F.lit("positive")})
+        return run
+
+    out, seen = tiers.observe_tiers(tiers.tiered(df, tier("embedding", "id < 20"), tier("llm", "id < 30"), cut=cut))
+    out.write.parquet(str(tmp_path / "out"))
+    assert sizes == [20, 10]
+    got = sorted(map(tuple, tiers.observed_stats(spark, seen).collect()))
+    assert got == sorted(map(tuple, tiers.tier_stats(spark.read.parquet(str(tmp_path / "out"))).collect())) and [r[:2] for r in got] == [("embedding", 10), ("lexicon", 20), ("llm", 5), ("pending", 5)]
 
 
 def test_sources(spark, tmp_path):
