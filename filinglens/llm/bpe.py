@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Most bytes that a vocabulary file may have to be sent to all tasks.
 MAX_VOCABULARY = 64 << 20
 #: A transducer forgets its steps, and a worker its pieces, beyond these numbers; both are only remembered work.
-MAX_STEPS, MAX_PIECES, LONG_PIECE = 400_000, 250_000, 48
+MAX_STEPS, MAX_PIECES, LONG_PIECE = 250_000, 200_000, 48
 #: Characters of a text that are cut into pieces at once, and ids that are decoded at once.
 TEXT_STEP, ID_STEP = 1 << 20, 1 << 16
 
@@ -112,8 +112,7 @@ class Transducer:
         # from here on a token is its rank plus one; 0 is none
         self.length = [0] * (max(merges.tokens) + 2)
         self.trie: dict[int, int] = {}  # node * 256 + byte -> node
-        self.node: list[tuple[int, int]] = [(0, 0)]  # parent and byte
-        self.depth, self.token = [0], [0]
+        self.parent, self.byte, self.depth, self.token = (array("i", [0]) for _ in range(4))  # of a node
         for token, rank in self.ranks.items():
             self.length[rank + 1] = len(token)
             # a token that merges never reach stands only for a piece that equals it: it is not offered
@@ -123,8 +122,9 @@ class Transducer:
             for byte in token:
                 edge = at << 8 | byte
                 if edge not in self.trie:
-                    self.trie[edge] = len(self.node)
-                    self.node.append((at, byte))
+                    self.trie[edge] = len(self.parent)
+                    self.parent.append(at)
+                    self.byte.append(byte)
                     self.depth.append(self.depth[at] + 1)
                     self.token.append(0)
                 at = self.trie[edge]
@@ -166,8 +166,8 @@ class Transducer:
         if node not in self.made:
             state = self.made[node] = State(node)
             if node:
-                parent, byte = self.node[node]
-                state.shorter = self._step(self._state(parent).shorter, byte) if parent else self.start
+                parent = self.parent[node]
+                state.shorter = self._step(self._state(parent).shorter, self.byte[node]) if parent else self.start
                 own = ((self.token[node], self.depth[node], {}),) if self.token[node] else ()
                 state.endings = own + state.shorter.endings
         return self.made[node]

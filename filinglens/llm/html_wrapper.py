@@ -7,7 +7,7 @@ import html as html_lib
 import json
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -20,8 +20,7 @@ from .base import materialise
 #: Pages that a wrapper is inferred from, of each template of a host, chosen by hash; the wrapper is applied to every page of it. The
 #: templates are found on all pages: they agree in host, kind (with and without article or main tags) and shape.
 SAMPLE_PAGES = 6
-#: Containers are sought in so many outer levels; sequences of a larger product of lengths are aligned on their rarer terms.
-LEVELS = 64
+#: Sequences of a larger product of lengths are aligned on their rarer terms.
 ALIGN_ALL = 200_000
 #: The share of the varying text that a container holds at least.
 MOST = 0.6
@@ -109,15 +108,29 @@ class Paths:
         return known
 
     def labels(self, node: int) -> tuple[str, ...]:
-        """The outer LEVELS labels of a path."""
-        while self.depth[node] > LEVELS:
-            node = self.parent[node]
+        """The labels of a path, from the outermost on."""
         out = []
         while node:
             out.append(self.label[node])
             node = self.parent[node]
         return tuple(reversed(out))
 
+    def add_up(self, at: dict[int, int]) -> list[int]:
+        """For every node the sum of the numbers at it and below it; parents come first."""
+        sums = [0] * len(self.parent)
+        for node, n in at.items():
+            sums[node] = n
+        for node in range(len(sums) - 1, 0, -1):
+            sums[self.parent[node]] += sums[node]
+        return sums
+
+    def inherit(self, test: Callable[[int], bool]) -> list[bool]:
+        """For every node whether the test holds for it or a node above it."""
+        out = [False] * len(self.parent)
+        for node in range(1, len(out)):
+            out[node] = out[self.parent[node]] or test(node)
+        return out
+
 
 def placed(toks: list[Token], paths: Paths) -> Iterator[tuple[int, int, str | None]]:
     """(index, path, text or None for a block's edge) for what a reader sees, with unclosed tags closed as browsers do."""
@@ -186,7 +199,7 @@ class Node:
 
     kind: str
     label: str = ""
-    path: tuple[str, ...] = ()
+    path: int = 0  # of a text: its node in the tree of all pages' paths
     slot: bool = False
     chars: int = 0
     inner: list["Node"] = field(default_factory=list)
@@ -207,19 +220,15 @@ class Node:
         return f"({' '.join(n.show() for n in self.inner)}){self.kind}"
 
 
-def stream(page: str) -> list[Node]:
-    """The tokens of a page as expression terms; space between tags is no term."""
-    toks, tree = tokens(page), Paths()
-    known: dict[int, tuple[str, ...]] = {}
+def stream(page: str, tree: Paths) -> list[Node]:
+    """The tokens of a page as expression terms; space between tags is no term. Paths are nodes of ``tree``, which pages share."""
+    toks = tokens(page)
     paths = {i: p for i, p, t in placed(toks, tree) if t is not None}
     out = []
     for i, (kind, label) in enumerate(toks):
         if kind == "#":
             if text := _SPACE.sub(" ", label).strip():
-                p = paths.get(i, 0)
-                if p not in known:
-                    known[p] = tree.labels(p)
-                out.append(Node("#", text, known[p], False, len(text)))
+                out.append(Node("#", text, paths.get(i, 0), False, len(text)))
         else:
             out.append(Node(kind, label))
     return out
@@ -314,44 +323,52 @@ class Wrapper:
 def infer(pages: list[str]) -> Wrapper:
     """The wrapper of some pages: their token streams aligned one by one into an expression, and the container of its slots."""
     expression: list[Node] = []
-    n = 0
+    tree, n = Paths(), 0
     for page in pages:
         if not page:
             continue
-        new = fold(stream(page))
+        new = fold(stream(page, tree))
         if n:
             units = units_of(expression) | units_of(new)
             new = align(fold(expression, units), fold(new, units))
         expression = new
         n += 1
-    return Wrapper(container(list(_leaves(expression)), n), " ".join(x.show() for x in expression))
+    return Wrapper(container(list(_leaves(expression)), n, tree), " ".join(x.show() for x in expression))
 
 
-def container(leaves: list[Node], pages: int) -> tuple[str, ...]:
+def container(leaves: list[Node], pages: int, tree: Paths) -> tuple[str, ...]:
     """The deepest container with MOST of the text that varies (one page: of all text) and isn't linked. If article or main
-    elements hold a fifth of that text, only those are considered; what labels exclude isn't counted, unless that leaves nothing."""
-    text = [x for x in leaves if (x.slot or pages == 1) and not any(p.split(".", 1)[0] == "a" for p in x.path)] or leaves
+    elements hold a fifth of that text, only those are considered; what labels exclude isn't counted, unless that leaves nothing.
+    Sums and tests run once over the tree of all paths, so the time doesn't grow with its depth."""
+    name = [x.split(".", 1)[0] for x in tree.label]
+    linked = tree.inherit(lambda p: name[p] == "a")
+    text = [x for x in leaves if (x.slot or pages == 1) and not linked[x.path]] or leaves
+
+    def held(some: list[Node]) -> list[int]:
+        at: Counter = Counter()
+        for x in some:
+            at[x.path] += x.chars
+        return tree.add_up(at)
+
     # in a table of leaves a label counts below what holds most of the text only, so that no ancestor of the article excludes it
-    whole = sum(x.chars for x in text)
-    inside: Counter = Counter()
-    for x in text:
-        for k in range(1, len(x.path) + 1):
-            inside[x.path[:k]] += x.chars
-    least = 0.5 * whole
-    kept = [x for x in text if not any(excluded(p) and (p.split(".", 1)[0] in OUTSIDE or inside[x.path[: k + 1]] < least) for k, p in enumerate(x.path))] or text
-    total = sum(x.chars for x in kept)
-    mass: Counter = Counter()
+    inside = held(text)
+    least = 0.5 * inside[0]
+    out = tree.inherit(lambda p: excluded(tree.label[p]) and (name[p] in OUTSIDE or inside[p] < least))
+    kept = [x for x in text if not out[x.path]] or text
+    mass = held(kept)
+    seen = tree.inherit(lambda p: False)
     for x in kept:
-        for k, label in enumerate(x.path, 1):
-            name = label.split(".", 1)[0]
-            if name in BLOCK and name not in INLINE_END_AT and name not in PARTS:
-                mass[x.path[:k]] += x.chars
-    marked = {p: c for p, c in mass.items() if p[-1].split(".", 1)[0] in MAIN and c >= 0.2 * total}
+        p = x.path
+        while p and not seen[p]:
+            seen[p] = True
+            p = tree.parent[p]
+    holders = [p for p in range(1, len(name)) if seen[p] and name[p] in BLOCK and name[p] not in INLINE_END_AT and name[p] not in PARTS]
+    marked = [p for p in holders if name[p] in MAIN and mass[p] >= 0.2 * mass[0]]
     if marked:
-        article = {p: c for p, c in marked.items() if p[-1].split(".", 1)[0] == "article"}
-        return max(article or marked, key=lambda p: (marked[p], -len(p)))
-    good = [p for p, c in mass.items() if c >= MOST * total]
-    return max(good, key=lambda p: (len(p), mass[p]), default=())
+        article = [p for p in marked if name[p] == "article"]
+        return tree.labels(max(article or marked, key=lambda p: (mass[p], -tree.depth[p])))
+    good = [p for p in holders if mass[p] >= MOST * mass[0]]
+    return tree.labels(max(good, key=lambda p: (tree.depth[p], mass[p]), default=0))
 
 
 def _leaves(nodes: list[Node]) -> Iterator[Node]:

@@ -563,6 +563,16 @@ def test_html_nested(unit):
     assert out.count("x") == (1 << 20) // len(unit) and time.perf_counter() - start < 30
 
 
+@pytest.mark.parametrize("unit", ["<b>x", "<div>x", "<div class=a>y<b>x", "<ul><li>x"])
+def test_html_nested_inference(unit):
+    """The same through the inference of a wrapper, with the text that matters at the bottom."""
+    start = time.perf_counter()
+    pages = ["<body>" + unit * ((1 << 20) // len(unit)) + f"<section class=q><p>{k} {'deep words ' * 300000}</p></section>" for k in range(2)]
+    w = html_wrapper.infer(pages)
+    assert w.main[-1] == "section.q" and time.perf_counter() - start < 60
+    assert html_wrapper.extract(pages[0], w).startswith("0 deep words")
+
+
 def test_html_templates():
     """Generated pages of several templates, with and without marks: the article's blocks are what went in."""
     rng = random.Random(21)
