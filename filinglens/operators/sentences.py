@@ -101,3 +101,21 @@ def preprocess_stats(sentences: DataFrame, key: str = "doc_id", version: str = "
         F.sum("n").alias("n_sentences"), F.sum("tok").alias("n_tokens"), F.sum("neg").alias("n_negated"), F.sum("hed").alias("n_hedged"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "n")))).alias("sentences_by_section"),
     ).withColumn("version", F.lit(version))
+
+
+def stats_of(sentences: Column, features: Features | None = None, version: str = "1") -> Column:
+    """struct of what ``preprocess_stats`` gives, out of a document's ``sentence_array``, inside the row."""
+    features = features or Features()
+    seen = F.transform(sentences, lambda x: t.let(features.of(x["text"]), lambda f: F.struct(
+        x["section"].alias("section"), F.size(f["words"]).cast("long").alias("n"), f["has_negation"].alias("neg"), f["has_hedge"].alias("hed")
+    )))
+
+    def counts(rows: Column) -> Column:
+        by = t.counted(F.sort_array(F.transform(rows, lambda x: x["section"])))
+        return F.struct(
+            F.size(rows).cast("long").alias("n_sentences"), F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_tokens"),
+            F.size(F.filter(rows, lambda x: x["neg"])).cast("long").alias("n_negated"), F.size(F.filter(rows, lambda x: x["hed"])).cast("long").alias("n_hedged"),
+            F.map_from_entries(by).alias("sentences_by_section"), F.lit(version).alias("version"),
+        )
+
+    return t.let(seen, counts)

@@ -129,7 +129,8 @@ def d6_noun_phrases_by_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FEAT} SELECT doc_id, count(*) AS n_sentences, CAST(sum(len(tk)) AS BIGINT) AS n_tokens, count(*) FILTER (has_negation) AS n_negated, count(*) FILTER (has_hedge) AS n_hedged, any_value(section) || '=' || count(*) AS by_section FROM feat GROUP BY doc_id")
 def d7_preprocess_stats(spark: SparkSession, sf: str) -> DataFrame:
-    s = sentences.preprocess_stats(featured(spark, sf))
+    found = sentences.stats_of(sentences.sentence_array(F.array(F.struct("section", "body"))), c.FEATURES)
+    s = c.sections(spark, sf).select("doc_id", found.alias("s")).select("doc_id", "s.*").where("n_sentences > 0")
     by = F.array_join(F.transform(F.map_entries("sentences_by_section"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return s.select("doc_id", "n_sentences", "n_tokens", "n_negated", "n_hedged", by.alias("by_section"))
 

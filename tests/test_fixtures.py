@@ -205,9 +205,13 @@ def test_scores_inside_the_row(spark, version):
     assert by_key(top, *top.columns) == by_key(documents.top_sentences(rows, 3), *top.columns)
     tally = arrays.select("doc_id", F.inline(documents.tally_of(x, 2)))
     assert by_key(tally, *tally.columns) == by_key(documents.tally_terms(rows, 2), *tally.columns)
+    stats = docs.select("doc_id", sentences.stats_of(sentences.sentence_array(F.col("sections")), f).alias("s")).select("doc_id", "s.*").where("n_sentences > 0")
+    other = sentences.preprocess_stats(sentences.add_features(sentences.split_sentences(sections), f))
+    flat_map = lambda df: df.withColumn("sentences_by_section", F.map_entries("sentences_by_section"))
+    assert by_key(flat_map(stats), *stats.columns) == by_key(flat_map(other), *stats.columns)
     cover = arrays.select("doc_id", documents.coverage_of(x).alias("c")).select("doc_id", "c.*").where("scored > 0")
     assert by_key(cover, *cover.columns) == by_key(documents.coverage(rows), *cover.columns)
-    for df in (flat, top, tally, documents.analyses(arrays)):
+    for df in (flat, top, tally, stats, documents.analyses(arrays)):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
