@@ -33,6 +33,48 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_neighbours_query(spark):
+    """The registered search against all cosines: exact scores, order and ties, recall of 0.9 at least."""
+    import numpy as np
+
+    rows = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect() if r.embedding is not None]
+    rows = [(i, v) for i, v in rows if np.isfinite(v).all() and (v != 0).any()]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v / np.linalg.norm(v) for _, v in rows])
+    got: dict[int, list] = {}
+    for r in QUERIES["op3_nearest_neighbours"](spark, SF).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {int(i) for i in ids if i % 50 == 0}
+    found = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        cosine = x @ x[k]
+        mine = sorted(got[int(ids[k])])
+        assert [r for r, _, _ in mine] == list(range(1, 6)) and [(-s, i) for _, i, s in mine] == sorted((-s, i) for _, i, s in mine)
+        place = {int(i): c for i, c in zip(ids, cosine)}
+        assert all(i != ids[k] and abs(place[i] - s) < 1e-9 for _, i, s in mine)
+        best = sorted((-c, i) for i, c in place.items() if i != ids[k])[:5]
+        found += len({i for _, i in best} & {i for _, i, _ in mine})
+    assert found >= 0.9 * 5 * len(got)
+
+
+def test_token_counts_query(spark):
+    """The registered totals against every document's length by the library."""
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+
+    from filinglens.llm.token_counts import PATTERN, VOCABULARY
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    lengths = sorted(len(own.encode_ordinary(r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    got = {r.n_tokens: r for r in QUERIES["op10_token_counts"](spark, SF).collect()}
+    assert sorted(got) == sorted(set(lengths))
+    for n, r in got.items():
+        upto = [x for x in lengths if x <= n]
+        assert (r.n_docs, r.docs_upto, r.docs_over, r.tokens_upto) == (lengths.count(n), len(upto), len(lengths) - len(upto), sum(upto))
+        assert r.truncated_total == sum(min(x, n) for x in lengths) and r.lost_tokens == sum(lengths) - r.truncated_total
+        assert r.quantile == len(upto) / len(lengths)
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, sizes = docs.columns, [docs.count()]
