@@ -38,8 +38,8 @@ class Scorer:
     min_tokens: int | None = None
 
 
-def without_blocked(words: list[str], blocked: list[str]) -> list[str]:
-    """The second version's smaller block list, applied to an unblocked lexicon."""
+def without_blocked(words: list[str], blocked: list[str] = d.GROWTH_BLOCKED_V2) -> list[str]:
+    """An unblocked growth lexicon without the second version's block list, which is smaller than the first's."""
     gone = set(blocked)
     return [w for w in words if w not in gone]
 

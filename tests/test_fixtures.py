@@ -545,3 +545,9 @@ def test_version_fallback(spark):
     v2 = scoring.score_sentences(df, s, "v2").collect()
     assert scoring.score_sentences(df, s, "v3").collect() == v2 and v2[0].engine_version == "v2"
     assert [r.engine_version for r in scoring.score_versions(df, s, ["v1", "v2", "v3"]).collect()] == ["v1", "v2"]
+
+
+def test_blocked_words():
+    """The second version's lexicon keeps words of benefit that the first leaves out."""
+    words = ["able", "benefit", "strong", "success", "enjoyed"]
+    assert scoring.without_blocked(words) == ["benefit", "strong", "enjoyed"] and scoring.without_blocked(words, d.GROWTH_BLOCKED) == ["strong"]
