@@ -24,6 +24,8 @@ FILLED = 34
 DISTINCT = 0.5
 #: Words of 64 bits in the sketch of a line; the bits on which its points fall are set.
 WORDS = 5
+#: Words of 64 bits (a power of two) in the bitmap of all shingles of a line that is in a candidate pair.
+FINE = 16
 #: What travels with a row of a bucket.
 SKETCH = ["copies", "n", *(f"x{w}" for w in range(WORDS))]
 #: Rows of a bucket that meet in one group of the join; larger buckets are dealt over several.
@@ -173,13 +175,36 @@ def _apart(rows: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     ).dropDuplicates(["a", "b"])
 
 
+def _bitmaps(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, k1, k2, n, y0, ...) for every line in ``pairs``: the number of its positions, and the bits on which its shingles fall."""
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    rows = texts.select("k1", "k2", "norm").join(named.join(nodes.select("node", "k1", "k2"), "node"), ["k1", "k2"])
+    rows = rows.select("k1", "k2", "node", F.explode(F.array(F.encode(F.make_valid_utf8("norm"), "UTF-32"))).alias("code"))
+    last = F.greatest(F.octet_length("code") - (4 * SHINGLE - 1), F.lit(1))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), last, F.lit(4))))
+    rows = rows.select("k1", "k2", "node", F.xxhash64(F.substring("code", F.col("at"), F.lit(4 * SHINGLE))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    rows = rows.select("k1", "k2", "node", bit.alias("bit"), F.shiftright("h", 6).bitwiseAND(F.lit(FINE - 1)).cast("int").alias("word"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0).cast("long")).alias(f"y{w}") for w in range(FINE)]
+    return rows.groupBy("k1", "k2", "node").agg(F.count(F.lit(1)).alias("n"), *words)
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The rows of ``pairs`` whose lines a and b have the similarity ``threshold``, on all their shingles."""
-    name = lambda side: nodes.select(F.col("node").alias(side), F.col("k1").alias(f"{side}1"), F.col("k2").alias(f"{side}2"))
-    text = lambda side: texts.select(F.col("k1").alias(f"{side}1"), F.col("k2").alias(f"{side}2"), F.col("norm").alias(f"{side}_text"))
-    both = pairs.join(name("a"), "a").join(name("b"), "b").join(text("a"), ["a1", "a2"]).join(text("b"), ["b1", "b2"])
+    """The rows of ``pairs`` whose lines a and b have the similarity ``threshold``, on all their shingles.
+
+    Each bit in which two bitmaps differ stands for a shingle that one line alone has at the least, and lines of that similarity have at
+    most (1 - t) / (1 + t) of their shingles alone, which are no more than their positions; so the bitmaps rule out most other pairs, and
+    never one that counts, before texts meet.
+    """
+    maps = materialise(_bitmaps(pairs, nodes, texts))
+    side = lambda s: maps.select(*[F.col(c).alias(s if c == "node" else f"{s}_{c}") for c in maps.columns])
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"a_y{w}").bitwiseXOR(F.col(f"b_y{w}"))) for w in range(FINE)])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(differ * (1 + threshold) <= (1 - threshold) * (F.col("a_n") + F.col("b_n")) + 1e-6)
+    near = near.select(*pairs.columns, "a_k1", "a_k2", "b_k1", "b_k2")
+    text = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("k1", "k2", "norm")])
+    both = near.join(text("a"), ["a_k1", "a_k2"]).join(text("b"), ["b_k1", "b_k2"])
     # exploding one array keeps the optimiser from cutting both lines again for every use of their shingles
-    sets = F.struct(shingles(F.col("a_text")).alias("x"), shingles(F.col("b_text")).alias("y"))
+    sets = F.struct(shingles(F.col("a_norm")).alias("x"), shingles(F.col("b_norm")).alias("y"))
     both = both.select(*pairs.columns, F.explode(F.array(sets)).alias("s"))
     both = both.select(*pairs.columns, F.size("s.x").alias("nx"), F.size("s.y").alias("ny"), F.explode(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("common"))
     return both.where(F.col("common") >= threshold * (F.col("nx") + F.col("ny") - F.col("common")) - 1e-9).select(pairs.columns)
@@ -191,7 +216,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
 
     Lines are compared after lower-casing and white space folding. Equal lines are one distinct line, by 128 bits of hash. Distinct
     lines get a signature of the character shingles at all their positions, in one permutation, cut into bands; lines that share a
-    band and are alike by their sketches are candidates, checked by exact Jaccard similarity of all their shingles: first each with
+    band and are alike by their sketches are candidates, checked by bitmaps and then by exact Jaccard similarity of all their shingles: first each with
     the most frequent of its bucket, then all that are still in different components. A distributed union-find makes components, and the
     line of the smallest (key, line_no) of each stays.
 
