@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+import bisect
 import html as html_lib
 import json
 import re
@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,8 +21,6 @@ from .base import materialise
 #: Pages that a wrapper is inferred from, of each template of a host, chosen by hash; the wrapper is applied to every page of it. The
 #: templates are found on all pages: they agree in host, kind (with and without article or main tags) and shape.
 SAMPLE_PAGES = 6
-#: Sequences of a larger product of lengths are aligned on their rarer terms.
-ALIGN_ALL = 200_000
 #: The share of the varying text that a container holds at least.
 MOST = 0.6
 SALTS = 16
@@ -234,29 +233,59 @@ def stream(page: str, tree: Paths) -> list[Node]:
     return out
 
 
-def fold(nodes: list[Node], units: set[tuple] = frozenset(), longest: int = 12) -> list[Node]:
-    """Tandem repeats (and single occurrences of a known unit) become repeated groups, short units first."""
-    for size in range(1, longest + 1):
-        keys = [n.key() for n in nodes]
+def fold(nodes: list[Node], units: set[tuple] = frozenset()) -> list[Node]:
+    """Tandem repeats (and single occurrences of a known unit) become repeated groups, short units first, of any length."""
+    known: dict[tuple, int] = {}
+    heads: dict[int, set[tuple]] = {}  # known units by length
+    for u in units:
+        heads.setdefault(len(u) - 1, set()).add(u[1:])
+    keys: list[tuple] | None = None
+    size = 0
+    while True:
+        if keys is None:
+            keys = [n.key() for n in nodes]
+            codes = np.array([known.setdefault(k, len(known)) for k in keys], dtype=np.int64)
+            sizes = sorted(_distances(codes.tolist()) | set(heads))
+        at = bisect.bisect_right(sizes, size)
+        if at == len(sizes) or sizes[at] > len(nodes):
+            return nodes
+        size = sizes[at]
+        same = np.append(codes[:-size] == codes[size:], False)  # a term and the one a unit later
+        ends = np.flatnonzero(~same)
+        run = ends[np.searchsorted(ends, np.arange(len(same)))] - np.arange(len(same))
+        wanted = heads.get(size, frozenset())
+        first = {u[0] for u in wanted}
+        if not first and not (run >= size).any():
+            continue
         out: list[Node] = []
-        i = 0
+        i, folded = 0, False
         while i < len(nodes):
-            unit = tuple(keys[i : i + size])
-            n = 1
-            if len(unit) == size and _closed(nodes[i : i + size]):
-                while tuple(keys[i + n * size : i + (n + 1) * size]) == unit:
-                    n += 1
-                if n > 1 or ("+", *unit) in units:
-                    group = nodes[i : i + size]
-                    for k in range(1, n):
-                        group = [_merge(a, b) for a, b in zip(group, nodes[i + k * size : i + (k + 1) * size], strict=True)]
-                    out.append(Node("+", inner=group))
-                    i += n * size
-                    continue
-            out.append(nodes[i])
-            i += 1
-        nodes = out
-    return nodes
+            n = int(run[i]) // size + 1 if i < len(run) else 1
+            single = n == 1 and keys[i] in first and i + size <= len(nodes) and tuple(keys[i : i + size]) in wanted
+            if (n > 1 or single) and _closed(nodes[i : i + 1]):
+                group = nodes[i : i + size]
+                for k in range(1, n):
+                    group = [_merge(a, b) for a, b in zip(group, nodes[i + k * size : i + (k + 1) * size], strict=True)]
+                out.append(Node("+", inner=group))
+                i += n * size
+                folded = True
+            else:
+                out.append(nodes[i])
+                i += 1
+        if folded:
+            nodes, keys = out, None
+
+
+def _distances(codes: list[int]) -> set[int]:
+    """The lengths that repeated units may have: how far a term, alone and with both neighbours, is from where it stood last."""
+    out = set(range(1, 13))
+    for seen in (codes, list(zip([-1, *codes], codes, [*codes[1:], -1], strict=False))):
+        last: dict = {}
+        for i, c in enumerate(seen):
+            if c in last:
+                out.add(i - last[c])
+            last[c] = i
+    return out
 
 
 def _closed(nodes: list[Node]) -> bool:
@@ -283,7 +312,6 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     bare = lambda ns: [n.inner if n.kind == "?" else [n] for n in ns]
     fa = [x for part in bare(a) for x in part]
     optional = {id(x) for n in a if n.kind == "?" for x in n.inner}
-    m = difflib.SequenceMatcher(None, [n.key() for n in fa], [n.key() for n in b], autojunk=len(fa) * len(b) > ALIGN_ALL)
 
     def put(nodes: list[Node]) -> None:
         if not nodes:
@@ -293,17 +321,79 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
         else:
             out.append(Node("?", inner=list(nodes)))
 
-    for op, i, j, k, n in m.get_opcodes():
-        if op == "equal":
-            for x, y in zip(fa[i:j], b[k:n], strict=True):
-                merged = _merge(x, y)
-                put([merged]) if id(x) in optional else out.append(merged)
-        else:
-            put(fa[i:j])
-            put(b[k:n])
+    known: dict[tuple, int] = {}
+    ca, cb = ([known.setdefault(n.key(), len(known)) for n in ns] for ns in (fa, b))
+    i = k = 0
+    for j, n in [*common(ca, cb), (len(fa), len(b))]:
+        put(fa[i:j])
+        put(b[k:n])
+        if j < len(fa):
+            merged = _merge(fa[j], b[n])
+            put([merged]) if id(fa[j]) in optional else out.append(merged)
+        i, k = j + 1, n + 1
     return out
 
 
+def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The places (i, j) of a common subsequence, in order: equal ends, between them what each side has once, and so on in the gaps; in
+    a gap without such terms the first occurrence goes with the first, the second with the second. The time is about n log n a level
+    of gaps, for sequences of any length."""
+    out: list[tuple[int, int]] = []
+    gaps = [(0, len(a), 0, len(b))]
+    while gaps:
+        i, j, k, n = gaps.pop()
+        while i < j and k < n and a[i] == b[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        while i < j and k < n and a[j - 1] == b[n - 1]:
+            j, n = j - 1, n - 1
+            out.append((j, n))
+        if i == j or k == n:
+            continue
+        na, nb = Counter(a[i:j]), Counter(b[k:n])
+        once = {c for c, m in na.items() if m == 1 and nb.get(c) == 1}
+        seen: Counter = Counter()
+        place = {}
+        for y in range(k, n):
+            if not once or b[y] in once:
+                place[b[y], seen[b[y]]] = y
+                seen[b[y]] += 1
+        seen.clear()
+        met = []
+        for x in range(i, j):
+            if not once or a[x] in once:
+                if (y := place.get((a[x], seen[a[x]]))) is not None:
+                    met.append((x, y))
+                seen[a[x]] += 1
+        rising = _rising(met)
+        out += rising
+        if once:
+            edges = [(i - 1, k - 1), *rising, (j, n)]
+            gaps += [(x + 1, x2, y + 1, y2) for (x, y), (x2, y2) in zip(edges, edges[1:], strict=False)]
+    return sorted(out)
+
+
+def _rising(met: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of pairs sorted by the first number in which the second rises too."""
+    tops: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
+    for at, (_, y) in enumerate(met):
+        length = bisect.bisect_left(tops, y)
+        back.append(ends[length - 1] if length else -1)
+        if length == len(tops):
+            tops.append(y)
+            ends.append(at)
+        else:
+            tops[length], ends[length] = y, at
+    out = []
+    at = ends[-1] if ends else -1
+    while at >= 0:
+        out.append(met[at])
+        at = back[at]
+    return out[::-1]
+
+
 @dataclass
 class Wrapper:
     """A template's union-free ``expression``, and what it says of the article: ``main`` is the path of the container that holds

@@ -241,3 +241,26 @@ def test_bpe_query(spark, oracle):
         ids = oracle.encode_ordinary(r.text or "")
         want.add((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(r.text or "")))
     assert {tuple(r) for r in QUERIES["op13_byte_bpe"](spark, SF).collect()} == want
+
+
+def test_html_long_units_and_alignment():
+    """Units of any length fold, and sequences of any length are aligned on common terms in order, by one rule at every size."""
+    from filinglens.llm import html_wrapper as hw
+
+    row = "<tr>" + "".join(f"<td class=c{c}>x</td>" for c in "abcdefghijklmnopqrst") + "</tr>"
+    expression = hw.infer([f"<table>{row * 50}</table>"]).expression
+    assert expression.count("<td.") == 20 and ")+" in expression
+    rng = random.Random(3)
+    for n, kinds in ((0, 3), (30, 3), (300, 5), (300, 1000), (5000, 40)):
+        a = [rng.randrange(kinds) for _ in range(n)]
+        b = [x for x in a if rng.random() < 0.9] + [rng.randrange(kinds) for _ in range(n // 10)]
+        pairs = hw.common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        assert hw.common(a, a) == [(i, i) for i in range(n)]
+    # what each side has once is met, wherever the rest moves
+    assert hw.common([1, 2, 2, 3, 9], [1, 7, 2, 3, 8]) == [(0, 0), (2, 2), (3, 3)]
+    # an inserted block is one optional group, the rest stays
+    once = "<body><h1>a</h1><p>b</p></body>"
+    more = "<body><h1>c</h1><div><i>d</i></div><p>e</p></body>"
+    assert hw.infer([once, more]).expression.count(")?") == 1
