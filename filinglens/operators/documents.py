@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import exact_mean, let, millionths, ratio_of_millionths, run_starts
-from .scoring import HIT_LISTS, SCORES, has_hit
+from .scoring import HIT_LISTS, SCORES, Get, has_hit
 
 #: Where a tallied term comes from: dimension, source, hit list.
 TALLIED = [("growth", "phrase", "growth_phrases"), ("growth", "LM", "growth_lm"), ("risk", "phrase", "risk_phrases"), ("risk", "LM", "risk_lm"), ("cost_pressure", "phrase", "cost_phrases")]
@@ -36,9 +36,14 @@ def sentences_by_section(sentences: DataFrame, key: str = "doc_id") -> DataFrame
     return n.withColumn("ord", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "section")))
 
 
+def _strength(get: Get) -> Column:
+    """|net| + |cost| in whole millionths: sums of the same scores in another order are equal."""
+    return millionths(F.abs(get("net_score")) + F.abs(get("cost_pressure")))
+
+
 def top_sentences(scored: DataFrame, n: int = 20, key: str = "doc_id") -> DataFrame:
-    """The ``n`` of largest |net| + |cost| of each document, ties in sentence order."""
-    w = W.partitionBy(key).orderBy(F.desc(F.abs("net_score") + F.abs("cost_pressure")), "sent_id")
+    """The ``n`` of largest |net| + |cost|, in whole millionths, of each document, ties in sentence order."""
+    w = W.partitionBy(key).orderBy(F.desc(_strength(F.col)), "sent_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
@@ -76,7 +81,7 @@ def coverage_of(scored: Column) -> Column:
 def top_of(scored: Column, n: int = 20) -> Column:
     """array<struct<rank, sent_id, section, text, hit lists, scores, net_score>>: the rows of ``top_sentences``, inside the row. Only the
     sentences' keys are sorted."""
-    keys = F.transform(scored, lambda x, i: F.struct((-(F.abs(x["net_score"]) + F.abs(x["cost_pressure"]))).alias("k"), x["sent_id"].alias("sent_id"), i.alias("i")))
+    keys = F.transform(scored, lambda x, i: F.struct((-_strength(lambda c: x[c])).alias("k"), x["sent_id"].alias("sent_id"), i.alias("i")))
     cols = ["sent_id", "section", "text", *HIT_LISTS, *SCORES, "net_score"]
     first = F.slice(F.sort_array(keys), 1, n)
     return F.transform(first, lambda k, r: let(F.get(scored, k["i"]), lambda x: F.struct((r + 1).cast("int").alias("rank"), *[x[c].alias(c) for c in cols])))
