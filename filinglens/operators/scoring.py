@@ -57,10 +57,11 @@ SCORES = ["growth", "risk", "cost_pressure"]
 
 
 def _hits(get: Get, s: Scorer, found: Column | None = None) -> Column:
-    """struct of the six hit lists; ``found`` are the phrases of all three lists that the text contains, where they are known."""
+    """struct of the six hit lists, out of ``terms`` and ``low`` (the lower-cased text); ``found`` are the phrases of all three lists that
+    it contains, where they are known."""
     term = get("terms")
     phrases = lambda low, own: t.phrase_hits(low, own) if found is None else F.sort_array(t.only(found, own))
-    return t.let(F.lower(get("text")), lambda low: F.struct(
+    return t.let(get("low"), lambda low: F.struct(
         t.lexicon_hits(term, s.growth).alias("growth_lm"), phrases(low, s.growth_phrases).alias("growth_phrases"),
         t.lexicon_hits(term, s.risk).alias("risk_lm"), phrases(low, s.risk_phrases).alias("risk_phrases"),
         t.lexicon_hits(term, s.uncertainty).alias("uncertainty_lm"), phrases(low, s.cost_phrases).alias("cost_phrases"),
@@ -70,10 +71,11 @@ def _hits(get: Get, s: Scorer, found: Column | None = None) -> Column:
 def hit_columns(df: DataFrame, s: Scorer) -> DataFrame:
     """The six hit lists of every sentence. Over ``MANY_PHRASES`` phrases are found by an automaton that reads a sentence once."""
     phrases = [*s.growth_phrases, *s.risk_phrases, *s.cost_phrases]
+    get = lambda c: F.lower("text") if c == "low" else F.col(c)
     if len(phrases) <= MANY_PHRASES:
-        return df.select("*", F.inline(F.array(_hits(F.col, s))))
+        return df.select("*", F.inline(F.array(_hits(get, s))))
     out = df.withColumn("_found", phrase_column(phrases)(F.lower("text")))
-    return out.select("*", F.inline(F.array(_hits(F.col, s, F.col("_found"))))).drop("_found")
+    return out.select("*", F.inline(F.array(_hits(get, s, F.col("_found"))))).drop("_found")
 
 
 def _some(get: Get, *cols: str) -> Column:
@@ -195,11 +197,13 @@ def scored_array(sentences: Column, scorer: Scorer, features: Features | None =
     risk, cost_pressure, net_score>>, the same values as ``score_sentences`` gives row by row. Words are dropped on the way."""
     features, version = features or Features(), built_version(scorer, version)
     scorer, least = _of_version(scorer, version)
-    with_words = F.transform(sentences, lambda x: F.struct(x.alias("s"), features.of(x["text"]).alias("f")))
-    enough = F.filter(with_words, lambda x: F.size(x["f"]["words"]) >= least)
-    hit = F.transform(enough, lambda x: F.struct(
-        x["s"].alias("s"), x["f"].alias("f"), _hits(lambda c: x["s"]["text"] if c == "text" else x["f"][c], scorer).alias("h")
-    ))
+    low = F.transform(sentences, lambda x: t.let(F.lower(x["text"]), lambda y: F.struct(x.alias("s"), y.alias("low"), features.words_of(y).alias("w"))))
+    enough = F.filter(low, lambda x: F.size(x["w"]) >= least)
+    # a sentence's words are looked up once in all lists together, and what is found there in each one
+    listed = list(dict.fromkeys([*scorer.growth, *scorer.risk, *scorer.uncertainty]))
+    hit = F.transform(enough, lambda x: t.let(features.flags_of(x["w"], listed), lambda f: F.struct(
+        x["s"].alias("s"), f.alias("f"), _hits(lambda c: x["low"] if c == "low" else f[c], scorer).alias("h")
+    )))
 
     def scored(x: Column) -> Column:
         own = {c: x["s"][c] for c in ("sent_id", "section", "text")} | {c: x["h"][c] for c in HIT_LISTS}

@@ -57,14 +57,27 @@ class Features:
 
     def of(self, text: Column) -> Column:
         """struct<words, lemma, terms, has_negation, has_hedge>; words and lemma are as long as each other."""
-        def struct(w: Column, lemma: Column | None) -> Column:
+        return t.let(self.words_of(F.lower(text)), lambda w: self.flags_of(w))
+
+    def words_of(self, low: Column) -> Column:
+        """The tokens of a text in lower case."""
+        return F.regexp_extract_all(low, F.lit(self.pattern), F.lit(0))
+
+    def flags_of(self, words: Column, listed: list[str] | None = None) -> Column:
+        """``of`` out of the words. With ``listed`` terms are only those that are in that list; without a dictionary the words then are searched
+        once for everything."""
+        def struct(w: Column, lemma: Column | None, seen: Column) -> Column:
             return F.struct(
-                w.alias("words"), (w if lemma is None else lemma).alias("lemma"), t.terms(w, lemma, self.stop).alias("terms"),
-                t.has_negation(w, self.negation).alias("has_negation"), t.has_hedge(w, lemma, self.hedges).alias("has_hedge"),
+                w.alias("words"), (w if lemma is None else lemma).alias("lemma"), t.terms(seen, lemma, self.stop).alias("terms"),
+                t.has_negation(seen, self.negation).alias("has_negation"), t.has_hedge(seen, lemma, self.hedges).alias("has_hedge"),
             )
 
-        found = t.forms(text, self.pattern)
-        return t.let(found, lambda w: struct(w, None) if self.lemma is None else t.let(self.lemma(w), lambda x: struct(w, x)))
+        if self.lemma is not None:
+            return t.let(self.lemma(words), lambda x: struct(words, x, words))
+        if listed is None:
+            return struct(words, None, words)
+        known = t.only(words, list(dict.fromkeys([*listed, *self.negation, *self.hedges])))
+        return t.let(known, lambda seen: struct(words, None, seen))
 
 
 def add_features(sentences: DataFrame, features: Features | None = None, nouns=None, entities=None) -> DataFrame:

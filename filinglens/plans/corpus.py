@@ -109,7 +109,13 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_documents(spark: SparkSession, sf_dir: str, version: str = "v1") -> DataFrame:
     """(doc_id, source, scored): each document with the array of its scored sentences."""
     sents = sentences.sentence_array(F.array(F.struct("section", "body")))
-    return sections(spark, sf_dir).select("doc_id", "source", scoring.scored_array(sents, SCORER, FEATURES, version).alias("scored"))
+    return sections(spark, sf_dir).select("doc_id", "source", held(scoring.scored_array(sents, SCORER, FEATURES, version)).alias("scored"))
+
+
+def held(value: Column) -> Column:
+    """``value``, computed once a row: a filter on it, also one that the optimiser adds before rows are unfolded, and columns out of it
+    read what an unfolded array of one holds, in place of computing it anew."""
+    return F.explode(F.array(value))
 
 
 def scored(spark: SparkSession, sf_dir: str, version: str = "v1") -> DataFrame:

@@ -261,7 +261,7 @@ ds AS (SELECT d.doc_id, d.source, coalesce(g, 0) + 0.0 AS growth, coalesce(r, 0)
 
 
 def doc_scores(spark: SparkSession, sf: str) -> DataFrame:
-    out = scored_documents(spark, sf).select("doc_id", "source", documents.scores_of(F.col("scored")).alias("s")).select("doc_id", "source", "s.*")
+    out = scored_documents(spark, sf).select("doc_id", "source", c.held(documents.scores_of(F.col("scored"))).alias("s")).select("doc_id", "source", "s.*")
     return out.withColumns({x: F.col(x) + 0.0 for x in ("growth", "risk", "cost_pressure", "net_operating_signal")})
 
 
@@ -272,15 +272,15 @@ def f1_document_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def covered(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source, scored, scored_with_hits) of every document."""
-    return scored_documents(spark, sf).select("doc_id", "source", documents.coverage_of(F.col("scored")).alias("c")).select("doc_id", "source", "c.*")
+    return scored_documents(spark, sf).select("doc_id", "source", c.held(documents.coverage_of(F.col("scored"))).alias("c")).select("doc_id", "source", "c.*")
 
 
 def tops(spark: SparkSession, sf: str) -> DataFrame:
-    return scored_documents(spark, sf).select("doc_id", F.inline(documents.top_of(F.col("scored"))))
+    return scored_documents(spark, sf).select("doc_id", c.held(documents.top_of(F.col("scored"))).alias("x")).select("doc_id", F.inline("x"))
 
 
 def tallies(spark: SparkSession, sf: str) -> DataFrame:
-    return scored_documents(spark, sf).select("doc_id", F.inline(documents.tally_of(F.col("scored"))))
+    return scored_documents(spark, sf).select("doc_id", c.held(documents.tally_of(F.col("scored"))).alias("x")).select("doc_id", F.inline("x"))
 
 
 @query(f"WITH {scores_sql()} SELECT doc_id, count(*) AS scored, count(*) FILTER ({ANY_HIT}) AS scored_with_hits FROM sc GROUP BY doc_id")
