@@ -65,9 +65,12 @@ def baseline_state(df: DataFrame, engine: str = "v1", ticker: str = "ticker", se
 
 def merge_states(*states: DataFrame) -> DataFrame:
     """The state of all reports out of those of disjoint parts of them."""
-    every = reduce(DataFrame.unionByName, states)
-    sums = [F.sum(c).cast(t).alias(c) for c, t in every.drop("tickers", "engine_version", "sector").dtypes]
-    return _summed(every, sums, F.collect_list("tickers"), ["engine_version", "sector"])
+    return _merged(reduce(DataFrame.unionByName, states), ["engine_version", "sector"])
+
+
+def _merged(states: DataFrame, keys: list[str]) -> DataFrame:
+    sums = [F.sum(c).cast(t).alias(c) for c, t in states.drop("tickers", *keys).dtypes]
+    return _summed(states, sums, F.collect_list("tickers"), keys)
 
 
 def _spread(m: str) -> Column:
@@ -79,9 +82,11 @@ def _spread(m: str) -> Column:
 
 
 def stats_of(state: DataFrame) -> DataFrame:
-    """A baseline row a sector and one an engine for all (``_corpus_all``) out of a state."""
-    corpus = merge_states(state.withColumn("sector", F.lit(CORPUS)))
-    out = state.unionByName(corpus)
+    """A baseline row a sector and one an engine for all (``_corpus_all``) out of a state. Each row of the state counts for its
+    sector and for all, in one flow: a union with the state summed anew would compute the reports twice."""
+    each = state.withColumn("_all", F.explode(F.array(F.lit(False), F.lit(True))))
+    each = each.withColumn("sector", F.when(F.col("_all"), CORPUS).otherwise(F.col("sector")))
+    out = _merged(each, ["engine_version", "sector", "_all"])
     mean = lambda m: ratio_of_millionths(F.col(f"{m}_sum").cast("long"), F.col("n"), 4).alias(f"{m}_mean")
     stats = [c for m in METRICS for c in (mean(m), _spread(m).alias(f"{m}_stdev"))]
     return out.select("engine_version", F.col("sector").alias("reference"), "n", "tickers", (F.col("n") >= RELIABLE).alias("reliable"), *stats)
