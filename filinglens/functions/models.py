@@ -64,13 +64,24 @@ def lemma_column(table: DataFrame, max_forms: int = MAX_FORMS) -> Callable[[Colu
     return model_column(load, "array<string>")
 
 
+def known_forms(df: DataFrame, table: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
+    """(keys, known): of each row that has any, the map of those of its ``words`` that the table has to their lemmas. What travels are a row's
+    different words, once, and what was found; ``keys`` tell rows apart."""
+    least = table.where("form IS NOT NULL AND lemma IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("lemma"))
+    each = df.select(*keys, F.explode(F.array_distinct(words)).alias("form")).join(least, "form")
+    return each.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("form", "lemma"))).alias("known"))
+
+
+def by_known(words: Column, known: Column) -> Column:
+    """The lemmas of words by a map of ``known_forms`` (null: none is known); others stay."""
+    return F.when(known.isNull(), words).otherwise(F.transform(words, lambda w: F.coalesce(F.element_at(known, w), w)))
+
+
 def lemmas_by_join(df: DataFrame, table: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
     """(keys, lemma): each row's lemmas in the order of its ``words``, by a join, for tables of any size. ``keys`` tell rows apart; rows
     without words have none."""
-    least = table.where("form IS NOT NULL AND lemma IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("lemma"))
-    each = df.select(*keys, F.posexplode(words).alias("pos", "form")).join(least, "form", "left")
-    found = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("lemma", "form").alias("lemma"))))
-    return each.groupBy(*keys).agg(F.transform(found, lambda x: x["lemma"]).alias("lemma"))
+    rows = df.select(*keys, words).where(F.size(words) > 0).join(known_forms(df, table, keys, words), keys, "left")
+    return rows.select(*keys, by_known(F.col(words), F.col("known")).alias("lemma"))
 
 
 def phrase_column(phrases: list[str], max_characters: int = MAX_PHRASE_CHARACTERS) -> Callable[[Column], Column]:

@@ -74,9 +74,12 @@ def d2_lemmas(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FEAT}, {LEMMAS} SELECT * FROM lem2")
 def d2_lemmas_by_join(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by a join, as for a dictionary of any size."""
-    words = split(spark, sf).select("doc_id", "sent_id", t.forms(F.col("text"), c.PATTERN).alias("words"))
-    return _lemma_rows(words.join(models.lemmas_by_join(words, lemma_table(spark, sf), ["doc_id", "sent_id"]), ["doc_id", "sent_id"]))
+    """The same by a join, as for a dictionary of any size: each document's different words meet it, not each sentence's."""
+    docs = c.sections(spark, sf)
+    known = models.known_forms(docs.select("doc_id", t.forms(F.col("body"), c.PATTERN).alias("words")), lemma_table(spark, sf), ["doc_id"])
+    sents = sentences.split_sentences(docs.select("doc_id", "body").join(known, "doc_id", "left"), one_section=True)
+    words = sents.select("doc_id", "sent_id", "known", c.held(t.forms(F.col("text"), c.PATTERN)).alias("words")).where(F.size("words") > 0)
+    return _lemma_rows(words.select("doc_id", "sent_id", "words", c.held(models.by_known(F.col("words"), F.col("known"))).alias("lemma")))
 
 
 @query(f"WITH {FEAT} SELECT doc_id, sent_id, has_negation FROM feat")
