@@ -157,8 +157,9 @@ def _lengths(df: DataFrame) -> list[int]:
 def _descend(rows: DataFrame, subtrees: DataFrame, leaf: int, bits: int) -> DataFrame:
     """(id, tree, hash, depth, crowded): how long a prefix each query follows in each tree: the longest that ``leaf`` vectors hold, or one bit
     more where over CROWDED times as many do (at all bits there is none: those subtrees are searched in blocks)."""
-    at = rows.withColumn("depth", F.explode(F.array(*[F.lit(x) for x in _lengths(subtrees)])))
-    at = at.withColumn("prefix", _prefix("hash", F.col("depth"), bits)).join(subtrees, ["tree", "depth", "prefix"])
+    # a column's name of its own tells the queries' lengths, in a plan, from those of all rows in _search_at
+    at = rows.withColumn("length", F.explode(F.array(*[F.lit(x) for x in _lengths(subtrees)])))
+    at = at.withColumn("prefix", _prefix("hash", F.col("length"), bits)).withColumnRenamed("length", "depth").join(subtrees, ["tree", "depth", "prefix"])
     last = at.groupBy("id", "tree", "hash").agg(F.max(F.struct("depth", "n")).alias("x"))
     crowded = F.col("x.n") > CROWDED * leaf
     return last.select("id", "tree", "hash", F.least(F.col("x.depth") + crowded.cast("int"), F.lit(bits)).alias("depth"), crowded.alias("crowded"))
