@@ -124,8 +124,8 @@ def decode_text(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Pieces between white space that follows . ! or ?"""
-    return F.split(text, r"(?<=[.!?])\s+", -1)
+    """Pieces between white space that follows . ! or ? (what stands before is looked at behind white space only)."""
+    return F.split(text, r"\s(?<=[.!?]\s)\s*", -1)
 
 
 def contains_any(text: Column, values: Words) -> Column:
@@ -212,6 +212,13 @@ def phrase_hits(low: Column, phrases: Words) -> Column:
     return F.sort_array(F.filter(words(phrases), lambda p: F.contains(low, p)))
 
 
+def phrase_hits_plain(low: Column, phrases: list[str]) -> Column:
+    """``phrase_hits`` of a short list without a lambda, so that code is generated for it."""
+    none = F.array().cast("array<string>")
+    found = [F.when(F.contains(low, F.lit(p)), words([p])).otherwise(none) for p in sorted(phrases)]
+    return F.concat(none, *found)
+
+
 def near_negation(found: Column, lemma: Column, hits: Column, window: int = 5, negation: Words = d.SCOPE_NEGATIONS) -> Column:
     """Whether a negation stands within ``window`` tokens of a token whose lemma is among ``hits``."""
     negates = lambda w, i: member(w, negation) | member(F.get(lemma, i), negation)

@@ -220,6 +220,41 @@ def scored_array(sentences: Column, scorer: Scorer, features: Features | None =
     return F.transform(hit, scored)
 
 
+def scored_rows(sentences: DataFrame, scorer: Scorer, features: Features | None = None, version: str = "v1") -> DataFrame:
+    """Rows of ``sentences`` (..., section, text) scored: their columns, n_tokens, the six hit lists, growth, risk, cost_pressure and net_score, the
+    same values as ``scored_array`` makes inside a document's row.
+
+    For work that goes on with rows. Lambdas are evaluated node by node; here short lists meet array functions without one, so Spark generates code
+    for the whole way from a sentence to its scores. What several steps use is held in an unfolded array of one.
+    """
+    features, version = features or Features(), built_version(scorer, version)
+    scorer, least = _of_version(scorer, version)
+    hold = lambda value, name: F.explode(F.array(value)).alias(name)
+    words = sentences.select("*", hold(F.lower("text"), "_low"))
+    words = words.select("*", hold(features.words_of(F.col("_low")), "_w")).where(F.size("_w") >= least)
+    sought = list(dict.fromkeys([*scorer.growth, *scorer.risk, *scorer.uncertainty, *features.negation, *features.hedges]))
+    if features.lemma is None:
+        seen = words.select("*", hold(t.only(F.col("_w"), sought), "_seen")).withColumn("lemma", F.col("_w"))
+        lemma = None
+    else:
+        seen = words.withColumn("_seen", F.col("_w")).withColumn("lemma", features.lemma(F.col("_w")))
+        lemma = F.col("lemma")
+    found, phrases = F.col("_seen"), [*scorer.growth_phrases, *scorer.risk_phrases, *scorer.cost_phrases]
+    if len(phrases) > MANY_PHRASES:
+        seen = seen.withColumn("_found", phrase_column(phrases)("_low"))
+        of = lambda own: F.sort_array(t.only(F.col("_found"), own))
+    else:
+        of = lambda own: (t.phrase_hits_plain if len(own) <= t.SHORT else t.phrase_hits)(F.col("_low"), own)
+    seen = seen.select("*", hold(t.terms(found, lemma, features.stop), "terms"))
+    raw = raw_scores(seen.select(
+        *sentences.columns, F.size("_w").alias("n_tokens"), F.col("_w").alias("words"), "lemma",
+        t.has_negation(found, features.negation).alias("has_negation"), t.has_hedge(found, lemma, features.hedges).alias("has_hedge"),
+        *[t.lexicon_hits(F.col("terms"), getattr(scorer, c)).alias(f"{c}_lm") for c in ("growth", "risk", "uncertainty")],
+        *[of(getattr(scorer, f"{c}_phrases")).alias(f"{c}_phrases") for c in ("growth", "risk", "cost")],
+    ))
+    return _finished(raw, scorer, version).select(*sentences.columns, "n_tokens", *HIT_LISTS, *SCORES, "net_score")
+
+
 def score_versions(df: DataFrame, scorer: Scorer, versions: list[str]) -> DataFrame:
     """The rows of ``score_sentences`` for several versions, out of one pass: sentences are tokenised and their hits found once, the
     versions' scores are columns of one row, and those are unfolded last."""

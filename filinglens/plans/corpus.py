@@ -120,7 +120,8 @@ def held(value: Column) -> Column:
 
 def scored(spark: SparkSession, sf_dir: str, version: str = "v1") -> DataFrame:
     """A row a scored sentence."""
-    return scored_documents(spark, sf_dir, version).select("doc_id", "source", F.inline("scored"))
+    names = ["sent_id", "section", "text", "n_tokens", *scoring.HIT_LISTS, *scoring.SCORES, "net_score"]
+    return scoring.scored_rows(split(spark, sf_dir), SCORER, FEATURES, version).select("doc_id", "source", *names)
 
 
 def scored_first(spark: SparkSession, sf_dir: str, keys: DataFrame, versions: list[str]) -> DataFrame:
