@@ -90,8 +90,9 @@ def make_batches(pending: DataFrame, size: int = 10, key: str = "doc_id", order:
 
 
 def _lines(responses: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines that aren't blank and their parts, which are cut once: filters on what is read from them would else cut them again each."""
     rows = responses.select(*keys, F.posexplode(F.split("response_text", "\n", -1)).alias("pos", "line")).where(F.trim("line") != "")
-    return rows.withColumn("parts", F.transform(F.split("line", r"\|", -1), lambda x: F.trim(x)))
+    return rows.select("*", F.explode(F.array(F.transform(F.split("line", r"\|", -1), lambda x: F.trim(x)))).alias("parts"))
 
 
 def parse_responses(members: DataFrame, responses: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,11 +32,11 @@ rt AS (SELECT doc_id, sent_id, text, CASE WHEN {ANY_HIT} THEN 'lexicon' ELSE 'pe
  CASE WHEN {ANY_HIT} THEN net_score ELSE 0 END AS net_score FROM sc)"""
 
 
-def routed(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored and routed sentences, computed once for all the steps that follow."""
+def routed(spark: SparkSession, sf: str, prompts: bool = False) -> DataFrame:
+    """Scored and routed sentences, computed once for all the steps that follow; with the texts of the pending ones, if ``prompts`` are made."""
     cols = ["doc_id", "sent_id", "text", "method", "label", "growth", "risk", "cost_pressure", "net_score"]
     rows = tiers.route_tiers(scored(spark, sf)).select(cols)
-    return once(rows.withColumn("text", F.when(F.col("method") == "pending", F.col("text"))))  # only prompts need it
+    return once(rows.withColumn("text", F.when(F.col("method") == "pending", F.col("text"))) if prompts else rows.drop("text"))
 
 
 @query(f"WITH {ROUTED} SELECT doc_id, sent_id, method, label, {r4s('net_score')} FROM rt")
@@ -111,7 +111,7 @@ def batches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {BATCHED} SELECT doc_id, batch, string_agg(n || '. ' || text, chr(10) ORDER BY n) AS prompt FROM mem GROUP BY doc_id, batch")
 def h7_make_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return batches(routed(spark, sf))[1]
+    return batches(routed(spark, sf, prompts=True))[1]
 
 
 #: What a model might answer: a label by number, one in seven lines broken, one number answered twice.
@@ -121,7 +121,8 @@ ans AS (SELECT *, CASE WHEN (doc_id + sent_id) % 7 = 0 THEN NULL WHEN {ANSWER} =
 
 
 def answers(rows: DataFrame, score: bool = False) -> tuple[DataFrame, DataFrame]:
-    m, _ = batches(rows)
+    """Pending sentences with their numbers (doc_id, sent_id, batch, n), written once for all that joins them, and a response for each batch."""
+    m = once(batches(rows.withColumn("text", F.lit("")))[0].select("doc_id", "sent_id", "batch", "n"))
     k = (F.col("doc_id") + F.col("n")) % 4
     label = F.when(k == 0, "Positive").when(k == 1, "negative").when(k == 2, "neutral").otherwise("unsure")
     number = F.col("n").cast("string")
@@ -199,7 +200,7 @@ def h12_tiered_flow(spark: SparkSession, sf: str) -> DataFrame:
         m, r = answers(rows)
         return tiers.merge_tiers(rows, tiers.parse_responses(m, r, KEYS), ["doc_id", "sent_id"])
 
-    narrow = ["doc_id", "sent_id", "text", "n_tokens", *scoring.HIT_LISTS, *scoring.SCORES, "net_score"]
+    narrow = ["doc_id", "sent_id", "n_tokens", *scoring.HIT_LISTS, *scoring.SCORES, "net_score"]
     keep = lambda df: once(df.drop(*scoring.HIT_LISTS))
     rows, seen = tiers.observe_tiers(tiers.tiered(scored(spark, sf).select(narrow), classifier, answered, cut=keep))
     once(rows.select("doc_id", "sent_id", "method", "label", "net_score"))
