@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from ..operators.ranks import buckets_for, free_name, ranked, unit_hash
 
 __all__ = [
-    "buckets_for", "clustered", "connected_components", "free_name", "groups_of", "materialise", "ranked", "shared_dir", "unit_hash", "words_sql",
+    "buckets_for", "clustered", "connected_components", "free_name", "groups_of", "materialise", "ranked", "shared_dir",
+    "shuffles_dropped", "unit_hash", "words_sql",
 ]
 
 
@@ -49,6 +51,22 @@ def clustered(df: DataFrame, *keys: str) -> DataFrame:
     return spark.table(name)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go as soon as it has ended, in place of when the driver next collects its garbage: for work whose
+    steps read tables that earlier ones wrote."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node in it.
 

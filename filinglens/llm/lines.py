@@ -6,9 +6,11 @@ import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import clustered, connected_components, materialise
+from ..functions.text import let
+from .base import clustered, connected_components, materialise, shuffles_dropped
 
 #: Characters of a shingle, and the similarity from which lines are one.
 SHINGLE = 5
@@ -24,8 +26,10 @@ FILLED = 34
 DISTINCT = 0.5
 #: Words of 64 bits in the sketch of a line; the bits on which its points fall are set.
 WORDS = 5
-#: Words of 64 bits (a power of two) in the bitmap of all shingles of a line that is in a candidate pair.
+#: Words of 64 bits (a power of two) in the bitmap of all shingles of a line that is in a candidate pair, and from how many pairs a line
+#: on bitmaps cost less than checking all pairs.
 FINE = 16
+MANY = 2
 #: What travels with a row of a bucket.
 SKETCH = ["copies", "n", *(f"x{w}" for w in range(WORDS))]
 #: Rows of a bucket that meet in one group of the join; larger buckets are dealt over several.
@@ -47,6 +51,22 @@ def shingles(norm: Column) -> Column:
     )
 
 
+def _codes(norm: str) -> Column:
+    """A line at four bytes a character, so that no position is searched for."""
+    return F.encode(F.make_valid_utf8(norm), "UTF-32")
+
+
+def _starts(code: Column) -> Column:
+    """The places in ``_codes`` where shingles begin."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(code) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+
+
+def _hashes(norm: str) -> Column:
+    """The 64-bit hashes of the distinct shingles of a line. Its codes are a lambda's variable: a column of bytes would be copied whole for
+    every shingle."""
+    return F.array_distinct(let(_codes(norm), lambda code: F.transform(_starts(code), lambda at: F.xxhash64(F.substring(code, at, F.lit(4 * SHINGLE))))))
+
+
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, line_no, norm, k1, k2) of every line that isn't blank: its normal form and the two halves of that one's 128-bit hash."""
     lines = docs.select(F.col(key).cast("long").alias("id"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("line_no", "line"))
@@ -56,14 +76,11 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def _positions(texts: DataFrame) -> DataFrame:
-    """(k1, k2, copies, n, turn, shingle) for every position of every line and every turn that can throw a point below its limit.
-
-    Lines are cut at four bytes a character, so that no position is searched for."""
+    """(k1, k2, copies, n, turn, shingle) for every position of every line and every turn that can throw a point below its limit."""
     n = F.greatest(F.length("norm") - (SHINGLE - 1), F.lit(1))
-    rows = texts.select("k1", "k2", "copies", n.alias("n"), F.explode(F.array(F.encode(F.make_valid_utf8("norm"), "UTF-32"))).alias("code"))
+    rows = texts.select("k1", "k2", "copies", n.alias("n"), F.explode(F.array(_codes("norm"))).alias("code"))
     rows = rows.withColumn("turn", F.explode(_turns()))
-    last = F.greatest(F.octet_length("code") - (4 * SHINGLE - 1), F.lit(1))
-    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), last, F.lit(4))))
+    rows = rows.withColumn("at", F.explode(_starts(F.col("code"))))
     return rows.select("k1", "k2", "copies", "n", "turn", F.substring("code", F.col("at"), F.lit(4 * SHINGLE)).alias("shingle"))
 
 
@@ -111,7 +128,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
 def _nodes(texts: DataFrame) -> DataFrame:
     """(node, k1, k2, copies, n, x0, ..., b0, ...): a number for every distinct line, and its signature."""
     strong = materialise(_signatures(_positions(texts)).select(F.monotonically_increasing_id().alias("node"), "*")).where(F.col("filled") >= FILLED)
-    weak = texts.join(strong.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    weak = texts.join(strong.select("k1", "k2").hint("shuffle_hash"), ["k1", "k2"], "left_anti")
     again = _signatures(_distinct(weak))
     return strong.unionByName(materialise(again.select((-1 - F.monotonically_increasing_id()).alias("node"), "*"))).drop("filled")
 
@@ -138,8 +155,9 @@ def _alike(x: str, y: str, threshold: float) -> Column:
 def _buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node, copies, n, x0, ...): the lines of every band key that more than one line has, clustered by it."""
     rows = nodes.select("node", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket")).where("bucket IS NOT NULL")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    return clustered(rows.join(sizes, "bucket").join(nodes.select("node", *SKETCH), "node"), "bucket")
+    # one shuffle and one sort: a join with the buckets' counts would move and sort all of these rows again
+    rows = rows.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("bucket"))).where("size > 1").drop("size")
+    return clustered(rows.join(nodes.select("node", *SKETCH), "node"), "bucket")
 
 
 def _stars(rows: DataFrame, threshold: float) -> DataFrame:
@@ -175,38 +193,47 @@ def _apart(rows: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     ).dropDuplicates(["a", "b"])
 
 
-def _bitmaps(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, k1, k2, n, y0, ...) for every line in ``pairs``: the number of its positions, and the bits on which its shingles fall."""
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = texts.select("k1", "k2", "norm").join(named.join(nodes.select("node", "k1", "k2"), "node"), ["k1", "k2"])
-    rows = rows.select("k1", "k2", "node", F.explode(F.array(F.encode(F.make_valid_utf8("norm"), "UTF-32"))).alias("code"))
-    last = F.greatest(F.octet_length("code") - (4 * SHINGLE - 1), F.lit(1))
-    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), last, F.lit(4))))
-    rows = rows.select("k1", "k2", "node", F.xxhash64(F.substring("code", F.col("at"), F.lit(4 * SHINGLE))).alias("h"))
+def _bitmaps(lines: DataFrame) -> DataFrame:
+    """(node, n, y0, ...) for every row of ``lines`` (node, norm): the number of its positions, and the bits on which its shingles fall."""
+    rows = lines.select("node", F.explode(F.array(_codes("norm"))).alias("code"))
+    rows = rows.withColumn("at", F.explode(_starts(F.col("code"))))
+    rows = rows.select("node", F.xxhash64(F.substring("code", F.col("at"), F.lit(4 * SHINGLE))).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    rows = rows.select("k1", "k2", "node", bit.alias("bit"), F.shiftright("h", 6).bitwiseAND(F.lit(FINE - 1)).cast("int").alias("word"))
+    rows = rows.select("node", bit.alias("bit"), F.shiftright("h", 6).bitwiseAND(F.lit(FINE - 1)).cast("int").alias("word"))
     words = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0).cast("long")).alias(f"y{w}") for w in range(FINE)]
-    return rows.groupBy("k1", "k2", "node").agg(F.count(F.lit(1)).alias("n"), *words)
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *words)
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The rows of ``pairs`` whose lines a and b have the similarity ``threshold``, on all their shingles.
+def _possible(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` without most of those whose lines don't have the similarity ``threshold``, and with all that have it.
 
     Each bit in which two bitmaps differ stands for a shingle that one line alone has at the least, and lines of that similarity have at
-    most (1 - t) / (1 + t) of their shingles alone, which are no more than their positions; so the bitmaps rule out most other pairs, and
-    never one that counts, before texts meet.
+    most (1 - t) / (1 + t) of their shingles alone, which are no more than their positions.
     """
-    maps = materialise(_bitmaps(pairs, nodes, texts))
+    maps = materialise(_bitmaps(lines))
     side = lambda s: maps.select(*[F.col(c).alias(s if c == "node" else f"{s}_{c}") for c in maps.columns])
     differ = reduce(Column.__add__, [F.bit_count(F.col(f"a_y{w}").bitwiseXOR(F.col(f"b_y{w}"))) for w in range(FINE)])
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(differ * (1 + threshold) <= (1 - threshold) * (F.col("a_n") + F.col("b_n")) + 1e-6)
-    near = near.select(*pairs.columns, "a_k1", "a_k2", "b_k1", "b_k2")
-    text = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("k1", "k2", "norm")])
-    both = near.join(text("a"), ["a_k1", "a_k2"]).join(text("b"), ["b_k1", "b_k2"])
+    return near.select(pairs.columns)
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``pairs`` whose lines a and b have the similarity ``threshold``, on all their shingles.
+
+    Only the lines in a pair travel. Where lines have many pairs each, bitmaps rule out most of them before texts meet; else making the
+    bitmaps would cost more than the checks.
+    """
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keys = nodes.select("node", "k1", "k2").join(named, "node")
+    lines = clustered(texts.select("k1", "k2", "norm").join(keys.hint("shuffle_hash"), ["k1", "k2"]).select("node", "norm"), "node")
+    if pairs.count() > MANY * lines.count():
+        pairs = _possible(pairs, lines, threshold)
+    text = lambda s: lines.select(F.col("node").alias(s), F.col("norm").alias(f"{s}_norm"))
+    both = pairs.join(text("a"), "a").join(text("b"), "b")
     # exploding one array keeps the optimiser from cutting both lines again for every use of their shingles
-    sets = F.struct(shingles(F.col("a_norm")).alias("x"), shingles(F.col("b_norm")).alias("y"))
-    both = both.select(*pairs.columns, F.explode(F.array(sets)).alias("s"))
-    both = both.select(*pairs.columns, F.size("s.x").alias("nx"), F.size("s.y").alias("ny"), F.explode(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("common"))
+    both = both.select(*pairs.columns, F.inline(F.array(F.struct(_hashes("a_norm").alias("x"), _hashes("b_norm").alias("y")))))
+    sizes = F.struct(F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
+    both = both.select(*pairs.columns, F.inline(F.array(sizes)))
     return both.where(F.col("common") >= threshold * (F.col("nx") + F.col("ny") - F.col("common")) - 1e-9).select(pairs.columns)
 
 
@@ -216,7 +243,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
 
     Lines are compared after lower-casing and white space folding. Equal lines are one distinct line, by 128 bits of hash. Distinct
     lines get a signature of the character shingles at all their positions, in one permutation, cut into bands; lines that share a
-    band and are alike by their sketches are candidates, checked by bitmaps and then by exact Jaccard similarity of all their shingles: first each with
+    band and are alike by their sketches are candidates, checked by exact Jaccard similarity of all their shingles, by 64 bits of hash: first each with
     the most frequent of its bucket, then all that are still in different components. A distributed union-find makes components, and the
     line of the smallest (key, line_no) of each stays.
 
@@ -225,16 +252,17 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
     """
     place = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "line_no")
     lines = line_table(docs, key, text)
-    texts = clustered(lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "k1", "k2")
-    nodes = _nodes(texts)
-    rows = _buckets(nodes)
-    links = materialise(_links(materialise(_stars(rows, threshold)), nodes, texts, threshold))
-    more = materialise(_apart(rows, connected_components(links), threshold))
-    if not more.isEmpty():
-        more = _links(more, nodes, texts, threshold).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-        links = materialise(links.unionByName(more))
-    classes = connected_components(links).join(nodes.select("node", "k1", "k2"), "node")
-    classes = materialise(classes.join(texts.select("k1", "k2", "first"), ["k1", "k2"]).select("k1", "k2", "component", "first"))
+    with shuffles_dropped(docs.sparkSession):
+        texts = clustered(lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "k1", "k2")
+        nodes = _nodes(texts)
+        rows = _buckets(nodes)
+        links = materialise(_links(materialise(_stars(rows, threshold)), nodes, texts, threshold))
+        more = materialise(_apart(rows, connected_components(links), threshold))
+        if not more.isEmpty():
+            more = _links(more, nodes, texts, threshold).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+            links = materialise(links.unionByName(more))
+        classes = connected_components(links).join(nodes.select("node", "k1", "k2"), "node")
+        classes = materialise(classes.join(texts.select("k1", "k2", "first"), ["k1", "k2"]).select("k1", "k2", "component", "first"))
     heads = classes.groupBy("component").agg(F.min("first").alias("head"))
     merged = classes.join(heads, "component").select("k1", "k2", "head")
     told = texts.select("k1", "k2", "first").join(merged, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("head", "first").alias("head"))
