@@ -26,8 +26,9 @@ def document_scores(scored: DataFrame, documents: DataFrame, key: str = "doc_id"
     return documents.join(means, key, "left").select(*documents.columns, *cols)
 
 
-def coverage(scored: DataFrame, key: str = "doc_id") -> DataFrame:
-    return scored.groupBy(key).agg(F.count(F.lit(1)).alias("scored"), F.count_if(has_hit()).alias("scored_with_hits"))
+def coverage(scored: DataFrame, key: str = "doc_id", hit: Column | None = None) -> DataFrame:
+    """(key, scored, scored_with_hits); ``hit`` tells whether a row has one, where its hit lists weren't made."""
+    return scored.groupBy(key).agg(F.count(F.lit(1)).alias("scored"), F.count_if(has_hit() if hit is None else hit).alias("scored_with_hits"))
 
 
 def sentences_by_section(sentences: DataFrame, key: str = "doc_id") -> DataFrame:

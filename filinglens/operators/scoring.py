@@ -255,6 +255,27 @@ def scored_rows(sentences: DataFrame, scorer: Scorer, features: Features | None
     return _finished(raw, scorer, version).select(*sentences.columns, "n_tokens", *HIT_LISTS, *SCORES, "net_score")
 
 
+def hit_rows(sentences: DataFrame, scorer: Scorer, features: Features | None = None, version: str = "v1") -> DataFrame:
+    """The rows that ``scored_rows`` keeps, with their own columns and ``any_hit``, which is ``has_hit`` there.
+
+    For counts. No list of hits is made: a sentence's first tokens tell whether it has enough of them (``features.pattern`` matches no empty text),
+    and it is cut into all of them only if it contains a listed word anywhere. Dictionaries and long lists take the way of ``scored_rows``.
+    """
+    features, version = features or Features(), built_version(scorer, version)
+    own, least = _of_version(scorer, version)
+    phrases = list(dict.fromkeys([*own.growth_phrases, *own.risk_phrases, *own.cost_phrases]))
+    listed = [w for w in dict.fromkeys([*own.growth, *own.risk, *own.uncertainty]) if w not in set(features.stop)]
+    if features.lemma is not None or max(len(phrases), len(listed)) > t.SHORT:
+        return scored_rows(sentences, scorer, features, version).select(*sentences.columns, has_hit().alias("any_hit"))
+    low = F.col("_low")
+    within = lambda values: reduce(Column.__or__, [F.contains(low, F.lit(v)) for v in values], F.lit(False))
+    rows = sentences.select("*", F.explode(F.array(F.lower("text"))).alias("_low"))
+    # an atomic group gives nothing back, so each takes one token, from the left
+    rows = rows.where(F.rlike(low, F.lit(rf"\A(?>(?s:.*?)(?:{features.pattern})){{{least}}}")))
+    words = F.when(within(listed), t.some_of(features.words_of(low), listed)).otherwise(F.lit(False))
+    return rows.select(*sentences.columns, (within(phrases) | words).alias("any_hit"))
+
+
 def score_versions(df: DataFrame, scorer: Scorer, versions: list[str]) -> DataFrame:
     """The rows of ``score_sentences`` for several versions, out of one pass: sentences are tokenised and their hits found once, the
     versions' scores are columns of one row, and those are unfolded last."""

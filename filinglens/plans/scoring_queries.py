@@ -288,7 +288,7 @@ def tallies(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {scores_sql()} SELECT doc_id, count(*) AS scored, count(*) FILTER ({ANY_HIT}) AS scored_with_hits FROM sc GROUP BY doc_id")
 def f2_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.coverage(scored(spark, sf))
+    return documents.coverage(scoring.hit_rows(split(spark, sf).select("doc_id", "text"), SCORER, c.FEATURES), hit=F.col("any_hit"))
 
 
 TURN_SECTION = "CASE role WHEN 'user' THEN 'qa_Q' WHEN 'assistant' THEN 'qa_A' ELSE 'prepared_remarks' END"
