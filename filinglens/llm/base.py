@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.ranks import buckets_for, free_name, ranked, unit_hash
 
 __all__ = [
-    "buckets_for", "clustered", "connected_components", "free_name", "groups_of", "materialise", "ranked", "shared_dir",
+    "buckets_for", "clustered", "connected_components", "emptied", "free_name", "groups_of", "materialise", "ranked", "shared_dir",
     "shuffles_dropped", "unit_hash", "words_sql",
 ]
 
@@ -40,12 +40,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clustered(df: DataFrame, *keys: str) -> DataFrame:
+def emptied(*tables: DataFrame) -> None:
+    """Give back the disk of tables that ``materialise`` or ``clustered`` wrote, once all that was read from them is written itself."""
+    for table in tables:
+        for folder in sorted({f.rsplit("/", 1)[0] for f in table.inputFiles()}):
+            table.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(folder)
+
+
+def clustered(df: DataFrame, *keys: str, deal: bool = False) -> DataFrame:
     """As ``materialise``, but bucketed by ``keys`` into as many buckets as shuffles have partitions: joins and aggregates by those
-    keys don't shuffle the table again."""
+    keys don't shuffle the table again. Every task writes a file for each bucket of its rows: unless ``df`` is dealt by ``keys`` already,
+    ``deal`` it, so that each bucket is one file."""
     spark = df.sparkSession
     name = f"filinglens_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if deal:
+        df = df.repartition(buckets, *keys)
     writer = df.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
     writer.bucketBy(buckets, *keys).saveAsTable(name)
     return spark.table(name)
@@ -53,18 +63,21 @@ def clustered(df: DataFrame, *keys: str) -> DataFrame:
 
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Inside, the shuffle files of a query go as soon as it has ended, in place of when the driver next collects its garbage: for work whose
-    steps read tables that earlier ones wrote."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    """For work whose steps read tables that earlier ones wrote. Inside, the shuffle files of a query go as soon as it has ended, in place of
+    when the driver next collects its garbage, and small files of those tables are read many to a task: each task that shuffles opens a
+    file for every partition."""
+    inside = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.files.openCostInBytes": "262144"}
+    before = {key: spark.conf.get(key, None) for key in inside}
+    for key, value in inside.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

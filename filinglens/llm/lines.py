@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .base import clustered, connected_components, materialise, shuffles_dropped
+from .base import clustered, connected_components, emptied, materialise, shuffles_dropped
 
 #: Characters of a shingle, and the similarity from which lines are one.
 SHINGLE = 5
@@ -28,10 +28,12 @@ DISTINCT = 0.5
 WORDS = 5
 #: Words of 64 bits (a power of two) in the bitmap of all shingles of a line that is in a candidate pair, and from how many pairs a line
 #: on bitmaps cost less than checking all pairs.
-FINE = 16
+FINE = 32
 MANY = 2
 #: What travels with a row of a bucket.
 SKETCH = ["copies", "n", *(f"x{w}" for w in range(WORDS))]
+#: Lines of a bucket up to which all meet all at once; most buckets have two or three lines, which share a band by chance.
+SMALL = 8
 #: Rows of a bucket that meet in one group of the join; larger buckets are dealt over several.
 SLICE = 1024
 
@@ -153,11 +155,21 @@ def _alike(x: str, y: str, threshold: float) -> Column:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, copies, n, x0, ...): the lines of every band key that more than one line has, clustered by it."""
+    """(bucket, size, node, copies, n, x0, ...): the lines of every band key that more than one line has, clustered by it."""
     rows = nodes.select("node", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket")).where("bucket IS NOT NULL")
     # one shuffle and one sort: a join with the buckets' counts would move and sort all of these rows again
-    rows = rows.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("bucket"))).where("size > 1").drop("size")
-    return clustered(rows.join(nodes.select("node", *SKETCH), "node"), "bucket")
+    rows = rows.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("bucket")).cast("int")).where("size > 1")
+    rows = materialise(rows)  # its shuffle, the widest of all, goes before sketches are joined
+    found = clustered(rows.join(nodes.select("node", *SKETCH), "node"), "bucket", deal=True)
+    emptied(rows)
+    return found
+
+
+def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of lines of a bucket whose sketches allow the similarity."""
+    x, y = rows.alias("x"), rows.alias("y").hint("shuffle_hash")
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & _alike("x", "y", threshold))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def _stars(rows: DataFrame, threshold: float) -> DataFrame:
@@ -166,7 +178,7 @@ def _stars(rows: DataFrame, threshold: float) -> DataFrame:
     heads = rows.groupBy("bucket").agg(F.max(F.struct("copies", (-F.col("node")).alias("last"), *SKETCH[1:])).alias("y"))
     met = rows.alias("x").join(heads, "bucket").where((F.col("x.node") != -F.col("y.last")) & _alike("x", "y", threshold))
     a, b = F.col("x.node"), -F.col("y.last")
-    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
 def _apart(rows: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -225,7 +237,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: floa
     """
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     keys = nodes.select("node", "k1", "k2").join(named, "node")
-    lines = clustered(texts.select("k1", "k2", "norm").join(keys.hint("shuffle_hash"), ["k1", "k2"]).select("node", "norm"), "node")
+    lines = materialise(texts.select("k1", "k2", "norm").join(keys.hint("shuffle_hash"), ["k1", "k2"]).select("node", "norm"))
     if pairs.count() > MANY * lines.count():
         pairs = _possible(pairs, lines, threshold)
     text = lambda s: lines.select(F.col("node").alias(s), F.col("norm").alias(f"{s}_norm"))
@@ -243,8 +255,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
 
     Lines are compared after lower-casing and white space folding. Equal lines are one distinct line, by 128 bits of hash. Distinct
     lines get a signature of the character shingles at all their positions, in one permutation, cut into bands; lines that share a
-    band and are alike by their sketches are candidates, checked by exact Jaccard similarity of all their shingles, by 64 bits of hash: first each with
-    the most frequent of its bucket, then all that are still in different components. A distributed union-find makes components, and the
+    band and are alike by their sketches are candidates, checked by exact Jaccard similarity of all their shingles, by 64 bits of hash: in small
+    buckets all at once, in others first each with the most frequent, then all that are still in different components. A distributed union-find makes components, and the
     line of the smallest (key, line_no) of each stays.
 
     Defined cases: null and blank lines have no row; null keys come first in order; equal lines of repeated rows count once each; a line of at
@@ -256,13 +268,17 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_i
         texts = clustered(lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "k1", "k2")
         nodes = _nodes(texts)
         rows = _buckets(nodes)
-        links = materialise(_links(materialise(_stars(rows, threshold)), nodes, texts, threshold))
-        more = materialise(_apart(rows, connected_components(links), threshold))
+        large = rows.where(F.col("size") > SMALL).drop("size")
+        pairs = materialise(_pairs(rows.where(F.col("size") <= SMALL).drop("size"), threshold).union(_stars(large, threshold)).distinct())
+        links = materialise(_links(pairs, nodes, texts, threshold))
+        more = materialise(_apart(large, connected_components(links), threshold))
+        emptied(rows)
         if not more.isEmpty():
             more = _links(more, nodes, texts, threshold).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
             links = materialise(links.unionByName(more))
         classes = connected_components(links).join(nodes.select("node", "k1", "k2"), "node")
         classes = materialise(classes.join(texts.select("k1", "k2", "first"), ["k1", "k2"]).select("k1", "k2", "component", "first"))
+        emptied(nodes)
     heads = classes.groupBy("component").agg(F.min("first").alias("head"))
     merged = classes.join(heads, "component").select("k1", "k2", "head")
     told = texts.select("k1", "k2", "first").join(merged, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("head", "first").alias("head"))
